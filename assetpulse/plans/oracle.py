@@ -32,7 +32,7 @@ def statements() -> dict[str, str]:
     out = {}
     for name, sql in SQL.items():
         names = needed(sql)
-        head = "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in names) + "\n" if names else ""
+        head = "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in names) + "\n" if names else ""
         out[name] = head + sql
     return out
 

@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.geometry import utm_xy
 from ..functions.timeaxis import TimeAxis, utc
 from ..params import Params
 from ..session import fixed_table, use_utc
@@ -28,6 +29,7 @@ UNITS = ("°C", "mm/s", "%", "psi")
 ASSET_TYPES = ("building", "road", "bridge", "power", "street_light")
 CATEGORIES = ("Buildings", "Transportation", "Transportation", "Utilities", "Utilities")
 WEST, SOUTH, WIDTH, HEIGHT = -100.03, 37.745, 0.025, 0.017
+CENTRAL_MERIDIAN = -99.0  # UTM zone 14
 BBOX = (-100.025, 37.750, -100.010, 37.758)
 CENTRE = (-100.0175, 37.7535)
 
@@ -138,6 +140,34 @@ class Plant:
             self.sensors.select("sensor_id", "asset_id", "sensor_type", "placement", "lon", "lat"), "sensor_id"
         )
 
+    def planar(self, df: DataFrame) -> DataFrame:
+        """Adds UTM x, y (zone of the area)."""
+        return df.withColumn("_u", utm_xy(F.col("lon"), F.col("lat"), CENTRAL_MERIDIAN)).select("*", "_u.x", "_u.y").drop("_u")
+
+    @cached_property
+    def utm_box(self) -> tuple[float, float, float, float]:
+        """Planar bounds of all assets (one aggregate)."""
+        row = self.planar(self.assets).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+        return tuple(row)
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """A three-vertex line for every asset, starting at its point."""
+        n = F.col("num")
+
+        def vertex(dx, dy):
+            return F.struct((F.col("lon") + dx).alias("lon"), (F.col("lat") + dy).alias("lat"))
+
+        zero = F.lit(0.0)
+        return self.assets.withColumn(
+            "coords",
+            F.array(
+                vertex(zero, zero),
+                vertex((F.pmod(n, F.lit(11)) - 5) * 0.0002, (F.pmod(n, F.lit(13)) - 6) * 0.0002),
+                vertex((F.pmod(n, F.lit(17)) - 8) * 0.0002, (F.pmod(n, F.lit(7)) - 3) * 0.0002),
+            ),
+        )
+
     @cached_property
     def labelled_events(self) -> DataFrame:
         """Ground truth: abnormal events carry a sensor, benign ones act on a sensor type (or on all of them)."""
