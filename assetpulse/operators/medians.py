@@ -1,7 +1,7 @@
 """Exact medians.
 
 ``percentile`` keeps every distinct value of a group in one task, which is fine for groups bounded by the time
-axis (one sensor's cells). Groups that grow with the number of sensors or events use ``grouped_median``.
+axis (one sensor's cells). Groups that grow with the number of sensors or events use ``grouped_quantile``.
 """
 
 from __future__ import annotations
@@ -16,17 +16,17 @@ def median(value: Column) -> Column:
     return F.percentile(value, F.lit(0.5))
 
 
-def grouped_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
-    """Exact median per group for groups of any size: ``keys``, ``n``, ``out``.
+def grouped_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
+    """Exact interpolated quantile per group for groups of any size: ``keys``, ``n``, ``out``.
 
-    A mergeable quantile sketch first brackets the median with a guaranteed rank error. The second pass counts
+    A mergeable quantile sketch first brackets the wanted rank with a guaranteed rank error. The second pass counts
     what lies below the bracket and keeps only the distinct values inside it (about 6 n / 10,000 of them), both
     with map-side combination, so no task ever holds a whole group.
     """
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).alias("_v"))
     eps = 2.0 / ACCURACY
     bracket = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", [0.5 - eps, 0.5 + eps], ACCURACY).alias("_b"), F.count("*").alias("n")
+        F.percentile_approx("_v", [max(q - eps, 0.0), min(q + eps, 1.0)], ACCURACY).alias("_b"), F.count("*").alias("n")
     )
     inside = (
         rows.join(bracket, keys)
@@ -35,8 +35,9 @@ def grouped_median(df: DataFrame, keys: list[str], value: str, out: str = "media
         .agg(F.count("*").alias("_c"))
     )
     upto = F.sum("_c").over(W.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()))
-    low = F.floor((F.col("n") - 1) / 2)
-    high = F.floor(F.col("n") / 2)
+    place = (F.col("n") - 1) * q
+    low, high = F.floor(place), F.ceil(place)
+    share = place - low
     return (
         inside.withColumn("_upto", upto)
         .groupBy(*keys, "n")
@@ -44,10 +45,15 @@ def grouped_median(df: DataFrame, keys: list[str], value: str, out: str = "media
             F.min(F.when(F.col("_upto") > low, F.col("_v"))).alias("_lo"),
             F.min(F.when(F.col("_upto") > high, F.col("_v"))).alias("_hi"),
         )
-        .select(*keys, "n", (F.col("_lo") * 0.5 + F.col("_hi") * 0.5).alias(out))
+        .select(*keys, "n", (F.col("_lo") * (1.0 - share) + F.col("_hi") * share).alias(out))
     )
 
 
+def grouped_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
+    """Exact median per group for groups of any size."""
+    return grouped_quantile(df, keys, value, 0.5, out)
+
+
 def robust_scale(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Median and 1.4826 * MAD per key, for groups bounded by the axis (see ``grouped_median`` otherwise)."""
     from ..params import MAD_TO_SIGMA

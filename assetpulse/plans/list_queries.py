@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.rounding import round_up
+from ..functions import rules
 from ..operators import asof, baseline, grid, health, listing, playback, proximity, quality, stats
 from ..params import LOG_DOMAIN_TYPES, SCALE_FLOORS
 from .catalog import AS_OF, as_of, health_series, plain_events, plain_flags, plain_scores, query, simple_scores, status_series
@@ -67,8 +67,8 @@ def asset_list_page(p: Plant) -> DataFrame:
 
 @query
 def active_anomalies(p: Plant) -> DataFrame:
-    e = plain_events(p)
-    return listing.active_anomalies(e, p.assets).select("sensor_id", "start_cell", "asset_name", "asset_type", "severity")
+    now = p.anomalies.withColumn("status", rules.anomaly_status(as_of(p)))
+    return listing.active_anomalies(now, p.assets).select("anomaly_id", "asset_name", "asset_type", "severity")
 
 
 @query

@@ -55,8 +55,7 @@ SELECT (SELECT count(*) FROM al) AS total, asset_id, asset_type, status, sensor_
 LIMIT 15 OFFSET 10
 """)
 oracle("active_anomalies", """
-SELECT ev.sensor_id, ev.a AS start_cell, x.name AS asset_name, x.asset_type, ev.severity
-FROM ev JOIN assets x ON x.asset_id = ev.asset_id WHERE ev.status = 'active'
+SELECT anomaly_id, asset_name, asset_type, severity FROM vis WHERE status_at = 'active'
 """)
 oracle("sensor_list", """
 SELECT c.sensor_id, c.asset_id, a.name AS asset_name, c.status,
@@ -119,7 +118,7 @@ SELECT asset_id, array_to_string(list_sort(list_filter([
     'addr:city=' || CASE WHEN num % 4 = 0 THEN 'null' ELSE 'Town' END,
     CASE WHEN asset_type IN ('building', 'power') THEN 'operator=' || c_mktsegment END,
     CASE WHEN asset_type = 'road' THEN 'surface=' || CASE WHEN num % 3 = 0 THEN 'null' ELSE 'paved' END END,
-    CASE WHEN asset_type = 'power' THEN 'voltage=' || c_nationkey END], x -> x IS NOT NULL)), ';') AS properties
+    CASE WHEN asset_type = 'power' THEN 'voltage=' || c_nationkey END], lambda x: x IS NOT NULL)), ';') AS properties
 FROM assets JOIN customer ON c_custkey = num
 """)
 oracle("provenance", """
@@ -225,7 +224,7 @@ FULL JOIN (SELECT DISTINCT o_custkey * 2 AS k FROM orders) i ON i.k = e.k
 oracle("status_parity", "SELECT count(*) AS compared, 0::BIGINT AS missing, 0::BIGINT AS different FROM sn")
 oracle("causal_texts", """
 SELECT doc_id, array_to_string(w, ',') AS words FROM (SELECT doc_id, list_filter(['fail', 'unsafe', 'damage', 'leak', 'break',
-  'collapse', 'danger', 'caused', 'because', 'due to'], x -> contains(lower(text), x)) AS w FROM documents) WHERE len(w) > 0
+  'collapse', 'danger', 'caused', 'because', 'due to'], lambda x: contains(lower(text), x)) AS w FROM documents) WHERE len(w) > 0
 """)
 oracle("row_counts", "\nUNION ALL ".join(
     f"SELECT '{t}' AS \"table\", count(*) AS n FROM {t}" for t in ("customer", "events", "lineitem", "orders", "part", "supplier")

@@ -1,5 +1,5 @@
 """All registered queries."""
 
-from . import catalog, list_queries, spatial_queries  # noqa: F401
+from . import catalog, etl_queries, list_queries, spatial_queries  # noqa: F401
 
 QUERIES = catalog.QUERIES
