@@ -243,13 +243,15 @@ def _pending(df: DataFrame, kind: str | Column, geom_type, coords: Column, point
 
 def _attributes(kind: str, **extra: Column) -> Column:
     """Map of the tags of interest and the derived values that are present."""
+    picked = tg.tags_of_interest(F.col("tags"), TAG_KEYS[kind], kind == "building")
+    if not extra:
+        return picked
     derived = F.map_from_entries(
         F.filter(
             F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in extra.items()]),
             lambda e: e["value"].isNotNull(),
         )
     )
-    picked = tg.tags_of_interest(F.col("tags"), TAG_KEYS[kind], kind == "building")
     names = list(extra)
     plain = F.map_filter(picked, lambda k, v: ~k.isin(*names))
     return F.map_concat(derived, plain)
@@ -495,7 +497,8 @@ def number_assets(pending: DataFrame) -> DataFrame:
 def build_registry(elements: DataFrame, inventory: DataFrame | None, box: Box, pivot_year: int, heights: DataFrame | None = None) -> DataFrame:
     """Elements and inventory features to the numbered asset registry."""
     unique = materialize(first_of_each(elements), "elements")
-    actions = with_actions(unique.where((F.col("type") == "way") & (F.size("coords") > 0)), box, heights)
+    # five layers and the bridge chains read the actions: clip and measure once
+    actions = materialize(with_actions(unique.where((F.col("type") == "way") & (F.size("coords") > 0)), box, heights), "actions")
     chains = materialize(merge_chains(actions.select("id", "bridge_class", "nodes", "coords", "name")), "chains")
     spark = elements.sparkSession
     records = (

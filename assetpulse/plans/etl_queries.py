@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import tags as tg
 from ..functions.rounding import round_even
@@ -26,6 +26,12 @@ def line_clip(p: Plant) -> DataFrame:
     )
 
 
+def tag_map(**tags) -> Column:
+    """Map of the tags that have a value."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in tags.items()])
+    return F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))
+
+
 def elements(p: Plant) -> DataFrame:
     """Map elements from the customers: one way per customer, one node per supplier, tags by nation key."""
     k = F.pmod(F.col("c_nationkey"), F.lit(8))
@@ -34,18 +40,17 @@ def elements(p: Plant) -> DataFrame:
     area = k.isin(0, 5)
     coords = F.when(area, F.concat("coords", F.slice("coords", 1, 1))).otherwise(F.col("coords"))
     name = F.when(n % 6 == 0, n.cast("string")).when(n % 7 == 0, " ").otherwise(F.col("c_name"))
-    pairs = F.array(
-        F.struct(F.lit("building").alias("key"), F.when(k == 0, "yes").alias("value")),
-        F.struct(F.lit("highway"), F.when(k == 1, "residential").when(k == 2, "primary").when(k == 6, "proposed")),
-        F.struct(F.lit("bridge"), F.when(k == 2, "yes")),
-        F.struct(F.lit("railway"), F.when(k == 3, "rail")),
-        F.struct(F.lit("power"), F.when(k == 4, "line").when(k == 5, "substation")),
-        F.struct(F.lit("leisure"), F.when(k == 7, "park")),
-        F.struct(F.lit("name"), name),
-        F.struct(F.lit("height"), F.when(n % 5 == 0, F.concat((n % 40).cast("string"), F.lit(" ft")))),
-        F.struct(F.lit("operator"), F.col("c_mktsegment")),
+    tags = tag_map(
+        building=F.when(k == 0, "yes"),
+        highway=F.when(k == 1, "residential").when(k == 2, "primary").when(k == 6, "proposed"),
+        bridge=F.when(k == 2, "yes"),
+        railway=F.when(k == 3, "rail"),
+        power=F.when(k == 4, "line").when(k == 5, "substation"),
+        leisure=F.when(k == 7, "park"),
+        name=name,
+        height=F.when(n % 5 == 0, F.concat((n % 40).cast("string"), F.lit(" ft"))),
+        operator=F.col("c_mktsegment"),
     )
-    tags = F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))
     last = F.when(n % 4 == 3, n + 2_000_000).otherwise(n + 1)
     ways = both.select(
         F.lit("way").alias("type"), n.alias("id"), F.lit(0).alias("pos"),
@@ -107,12 +112,7 @@ def height_resolution(p: Plant) -> DataFrame:
     )
     levels = F.when(n % 4 == 0, (n % 9).cast("string")).when(n % 4 == 1, F.lit("many"))
     kind = F.when(n % 10 == 0, "House").when(n % 10 == 1, "shed").when(n % 10 == 2, "warehouse").when(n % 10 == 3, "storage_tank")
-    entries = F.array(
-        F.struct(F.lit("height").alias("key"), tag.alias("value")),
-        F.struct(F.lit("building:levels"), levels),
-        F.struct(F.lit("building"), kind),
-    )
-    tags = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    tags = tag_map(**{"height": tag, "building:levels": levels, "building": kind})
     measured = F.when(n % 5 == 0, F.col("p_retailprice") / 30.0)
     h = tg.resolved_height(tags, F.col("p_retailprice"), measured)
     return p.table("part").withColumn("h", h).select("p_partkey", "h.height_m", "h.height_source")

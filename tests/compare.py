@@ -73,7 +73,16 @@ def differences(spark_df, con, sql: str) -> str | None:
     got = table_of(spark_df.columns, got_rows)
     cur = con.execute(sql)
     columns = [d[0] for d in cur.description]
+    types = {d[0]: str(d[1]) for d in cur.description}
     want = table_of(columns, cur.fetchall())
+    kinds = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    odd = {
+        f.name: (f.dataType.simpleString(), types.get(f.name))
+        for f in spark_df.schema.fields
+        if kinds.get(f.dataType.simpleString()) != types.get(f.name)
+    }
+    if odd:
+        return f"types {odd}"
     if sorted(columns) != sorted(spark_df.columns):
         return f"columns {sorted(spark_df.columns)} != {sorted(columns)}"
     if len(got) != len(want):
