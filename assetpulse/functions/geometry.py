@@ -125,15 +125,18 @@ def point_along(coords: Column, fraction: float = 0.5) -> Column:
     return F.when(line_length(coords) == 0, F.element_at(coords, 1)).otherwise(walked["at"])
 
 
-def point_in_ring(lon: Column, lat: Column, coords: Column) -> Column:
-    """Even-odd rule."""
+def point_in_segments(lon: Column, lat: Column, ring_segments: Column) -> Column:
+    """Even-odd rule over the segments of a closed ring."""
     def crosses(s):
         spans = (s["ay"] > lat) != (s["by"] > lat)
         x = (s["bx"] - s["ax"]) * (lat - s["ay"]) / F.nullif(s["by"] - s["ay"], F.lit(0.0)) + s["ax"]
-        return (spans & (lon < x)).cast("int")
+        return spans & (lon < x)
+
+    return F.pmod(F.size(F.filter(ring_segments, crosses)), F.lit(2)) == 1
 
-    hits = F.aggregate(segments(closed(coords)), F.lit(0), lambda acc, s: acc + crosses(s))
-    return F.pmod(hits, F.lit(2)) == 1
+
+def point_in_ring(lon: Column, lat: Column, coords: Column) -> Column:
+    return point_in_segments(lon, lat, segments(closed(coords)))
 
 
 def round_coords(coords: Column, digits: int) -> Column:

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.geometry import clip_range, closed, point_in_ring, segments
+from ..functions.geometry import clip_range, closed, point_in_segments, segments
+from ..session import materialize
 from .medians import grouped_quantile
 from .proximity import salted_bucket_join
 
@@ -29,27 +30,35 @@ def subtract(top: DataFrame, terrain: DataFrame, row_shift: int = 0, col_shift:
 
 def pixels_in_polygons(polygons: DataFrame, pixels: DataFrame, size: float, bucket: float) -> DataFrame:
     """(polygon_id, project, value, inside) for valid pixels whose square touches a polygon; inside = centre within."""
-    lon = lambda v: v["lon"]
-    lat = lambda v: v["lat"]
     reach = size / 2
 
     def span(low: Column, high: Column) -> Column:
         return F.sequence(F.floor((low - reach) / bucket), F.floor((high + reach) / bucket))
 
+    def ends(axis: str) -> list[Column]:
+        values = F.transform("ring", lambda v: v[axis])
+        return [F.array_min(values), F.array_max(values)]
+
+    (x0, x1), (y0, y1) = ends("lon"), ends("lat")
     probe = (
-        polygons.withColumn("_x", F.transform("ring", lon))
-        .withColumn("_y", F.transform("ring", lat))
-        .withColumn("cx", F.explode(span(F.array_min("_x"), F.array_max("_x"))))
-        .withColumn("cy", F.explode(span(F.array_min("_y"), F.array_max("_y"))))
-        .select("polygon_id", "ring", "cx", "cy")
+        polygons.select(
+            "polygon_id", segments(closed(F.col("ring"))).alias("_seg"),
+            x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"),
+        )
+        .withColumn("cx", F.explode(span(F.col("x0"), F.col("x1"))))
+        .withColumn("cy", F.explode(span(F.col("y0"), F.col("y1"))))
     )
     valid = pixels.where(F.col("value").isNotNull() & ~F.isnan("value"))
     build = valid.withColumn("cx", F.floor(F.col("px") / bucket)).withColumn("cy", F.floor(F.col("py") / bucket))
+    in_bounds = F.col("px").between(F.col("x0") - reach, F.col("x1") + reach) & F.col("py").between(
+        F.col("y0") - reach, F.col("y1") + reach
+    )
     box = (F.col("px") - reach, F.col("py") - reach, F.col("px") + reach, F.col("py") + reach)
-    edge = F.exists(segments(closed(F.col("ring"))), lambda s: clip_range(s["ax"], s["ay"], s["bx"], s["by"], box).isNotNull())
+    edge = F.exists("_seg", lambda s: clip_range(s["ax"], s["ay"], s["bx"], s["by"], box).isNotNull())
     return (
         salted_bucket_join(probe, build, ["cx", "cy"])
-        .withColumn("inside", point_in_ring(F.col("px"), F.col("py"), F.col("ring")))
+        .where(in_bounds)  # plain comparisons first; the ring tests see only pixels in the bounds
+        .withColumn("inside", point_in_segments(F.col("px"), F.col("py"), F.col("_seg")))
         .where(F.col("inside") | edge)
         .select("polygon_id", "project", "value", "inside")
     )
@@ -69,7 +78,7 @@ def zonal_heights(polygons: DataFrame, pixels: DataFrame, projects: DataFrame, s
 
     ``projects`` is (project, collected). A polygon no project touches has no coverage.
     """
-    touched = pixels_in_polygons(polygons, pixels, size, bucket)
+    touched = materialize(pixels_in_polygons(polygons, pixels, size, bucket), "zonal-pixels")  # read five times below
     newest = (
         touched.select("polygon_id", "project").distinct()
         .join(projects, "project")
