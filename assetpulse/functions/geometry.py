@@ -85,24 +85,34 @@ def polygon_area_m2(coords: Column) -> Column:
 
 
 def polygon_centroid(coords: Column) -> Column:
-    """Area-weighted centroid; the vertex mean when the ring has no area."""
-    ring = closed(coords)
+    """Area-weighted centroid; the vertex mean when the ring has no area. One fold over the ring's segments."""
     origin = F.element_at(coords, 1)
-    x0, y0 = origin["lon"], origin["lat"]
-
-    def cross(s):
-        return (s["ax"] - x0) * (s["by"] - y0) - (s["bx"] - x0) * (s["ay"] - y0)
-
-    seg = segments(ring)
-    twice = sum_over(seg, cross)
-    cx = sum_over(seg, lambda s: (s["ax"] - x0 + s["bx"] - x0) * cross(s))
-    cy = sum_over(seg, lambda s: (s["ay"] - y0 + s["by"] - y0) * cross(s))
-    n = F.size(seg)
-    flat = F.struct(
-        (sum_over(seg, lambda s: s["ax"]) / n).alias("lon"), (sum_over(seg, lambda s: s["ay"]) / n).alias("lat")
+    zero = F.lit(0.0)
+    start = F.struct(
+        *[zero.alias(n) for n in ("twice", "cx", "cy", "sx", "sy", "n")], origin["lon"].alias("x0"), origin["lat"].alias("y0")
     )
-    safe = F.nullif(twice * 3, F.lit(0.0))
-    return F.when(twice == 0, flat).otherwise(F.struct((x0 + cx / safe).alias("lon"), (y0 + cy / safe).alias("lat")))
+
+    def step(acc, s):
+        ax, ay, bx, by = s["ax"] - acc["x0"], s["ay"] - acc["y0"], s["bx"] - acc["x0"], s["by"] - acc["y0"]
+        cross = ax * by - bx * ay
+        return F.struct(
+            (acc["twice"] + cross).alias("twice"),
+            (acc["cx"] + (ax + bx) * cross).alias("cx"),
+            (acc["cy"] + (ay + by) * cross).alias("cy"),
+            (acc["sx"] + s["ax"]).alias("sx"),
+            (acc["sy"] + s["ay"]).alias("sy"),
+            (acc["n"] + 1.0).alias("n"),
+            acc["x0"].alias("x0"),
+            acc["y0"].alias("y0"),
+        )
+
+    def finish(t):
+        area = F.nullif(t["twice"] * 3, zero)
+        return F.when(
+            t["twice"] == 0, F.struct((t["sx"] / t["n"]).alias("lon"), (t["sy"] / t["n"]).alias("lat"))
+        ).otherwise(F.struct((t["x0"] + t["cx"] / area).alias("lon"), (t["y0"] + t["cy"] / area).alias("lat")))
+
+    return F.aggregate(segments(closed(coords)), start, step, finish)
 
 
 def point_along(coords: Column, fraction: float = 0.5) -> Column:
@@ -150,9 +160,13 @@ def round_coords(coords: Column, digits: int) -> Column:
 
 
 def drop_repeats(coords: Column) -> Column:
-    numbered = F.transform(coords, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-    kept = F.filter(numbered, lambda e: (e["i"] == 0) | (e["p"] != F.get(coords, e["i"] - 1)))
-    return F.transform(kept, lambda e: e["p"])
+    """Without consecutive repeats; a fold, so the array expression is evaluated once."""
+    none = F.array().cast("array<struct<lon:double,lat:double>>")
+    return F.aggregate(
+        coords,
+        none,
+        lambda acc, p: F.when(F.try_element_at(acc, F.lit(-1)).eqNullSafe(p), acc).otherwise(F.concat(acc, F.array(p))),
+    )
 
 
 def in_box(lon: Column, lat: Column, box: tuple[float, float, float, float]) -> Column:

@@ -139,13 +139,13 @@ def dbscan(points: DataFrame, eps_m: float, eps_hours: float, min_points: int) -
         .select(F.col("m._cu").alias("src"), F.col("m._cv").alias("dst"))
         .distinct()
     )
-    second = connected_components(first.select(F.col("component").alias("id")).distinct(), bridges)
-    unit_component = first.join(
-        second.select(F.col("id").alias("component"), F.col("component").alias("_final")), "component"
-    ).select(F.col("id").alias("unit"), F.col("_final").alias("component"))
-    unit_label = (
-        unit_component.join(nodes.select(F.col("id").alias("unit"), "_first"), "unit")
-    )
+    bridges = materialize(bridges, "cluster-bridges")
+    unit_component = first.withColumnRenamed("id", "unit")
+    if not bridges.isEmpty():
+        second = connected_components(first.select(F.col("component").alias("id")).distinct(), bridges)
+        renamed = second.select(F.col("id").alias("component"), F.col("component").alias("_final"))
+        unit_component = unit_component.join(renamed, "component").select("unit", F.col("_final").alias("component"))
+    unit_label = unit_component.join(nodes.select(F.col("id").alias("unit"), "_first"), "unit")
     component_label = unit_label.groupBy("component").agg(F.min("_first").alias("label"))
     unit_label = materialize(unit_component.join(component_label, "component").select("unit", "label"), "cluster-labels")
 

@@ -1,8 +1,9 @@
-"""Connected components by iterated minimum labels with pointer jumping."""
+"""Connected components by hooking and shortcutting."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..session import materialize
 
@@ -10,33 +11,38 @@ from ..session import materialize
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable. ``nodes`` has id, ``edges`` has src and dst.
 
-    Every round takes the smallest label among the neighbours (combined before the shuffle, so a node with very many
-    edges is no hot spot) and then follows the label's own label, which halves long chains. Rounds are written to
-    the shared folder; the loop reads one number per round.
+    Every node points to a parent, at first itself. A round looks at the grandparents of a node's neighbours and lowers
+    the pointer of the node, of its parent and past its parent (shortcut) to the smallest seen; the number of rounds
+    grows with the logarithm of the longest chain. All lookups are equality joins and grouped minima that combine before
+    the shuffle, so a node with very many edges is no hot spot. A round is written to the shared folder once and the
+    number of changed pointers is observed while writing.
     """
     both = materialize(
         edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct(), "component-edges"
     )
-    labels = materialize(nodes.select("id", F.col("id").alias("component")), "component-labels")
+    pointers = nodes.select("id", F.col("id").alias("f"), F.col("id").alias("g"))
     while True:
-        seen = (
-            both.join(labels.select(F.col("id").alias("dst"), F.col("component").alias("_l")), "dst")
+        near = (
+            both.join(pointers.select(F.col("id").alias("dst"), F.col("g").alias("_g")), "dst")
             .groupBy(F.col("src").alias("id"))
-            .agg(F.min("_l").alias("_l"))
+            .agg(F.min("_g").alias("_m"))
         )
-        lowered = materialize(
-            labels.join(seen, "id", "left").select(
-                "id", F.col("component").alias("_before"), F.least("component", F.coalesce("_l", "component")).alias("component")
-            ),
-            "component-step",
+        seen = pointers.join(near, "id", "left").withColumn("_m", F.coalesce("_m", "g"))
+        hooks = seen.groupBy(F.col("f").alias("id")).agg(F.min("_m").alias("_h"))
+        lowered = (
+            seen.join(hooks, "id", "left")
+            .select(
+                "id", F.least("f", "g", "_m", F.coalesce("_h", "f")).alias("f"), F.col("f").alias("_before"),
+                F.col("g").alias("_gbefore"),
+            )
+            .persist(StorageLevel.MEMORY_AND_DISK)  # both sides of the next join; rebuilt from the last round if lost
         )
-        jump = lowered.select(F.col("id").alias("component"), F.col("component").alias("_j"))
-        moved = materialize(
-            lowered.join(jump, "component", "left").select(
-                "id", "_before", F.least("component", F.coalesce("_j", "component")).alias("component")
-            ),
-            "component-labels",
+        parent = lowered.select(F.col("id").alias("f"), F.col("f").alias("g"))
+        changed = Observation()
+        moved = lowered.join(parent, "f").observe(
+            changed, F.count_if((F.col("f") != F.col("_before")) | (F.col("g") != F.col("_gbefore"))).alias("n")
         )
-        if moved.where(F.col("_before") != F.col("component")).isEmpty():
-            return moved.select("id", "component")
-        labels = moved.select("id", "component")
+        pointers = materialize(moved.select("id", "f", "g"), "component-pointers")
+        lowered.unpersist()
+        if not changed.get["n"]:
+            return pointers.select("id", F.col("f").alias("component"))

@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.rounding import round_even
-from ..params import SENSOR_TYPES, Params
+from ..params import Params
+from ..session import materialize
 from .detectors import with_short_features
 
 FEATURES = ("z", "delta_z", "mean_short", "std_short", "mean_long")
@@ -45,8 +46,8 @@ def build_tree(rows: np.ndarray, rng: np.random.Generator) -> tuple[list, list,
         low, high = points.min(axis=0), points.max(axis=0)
         varying = np.flatnonzero(high > low)
         if level < limit and len(points) > 1 and len(varying):
-            f = int(rng.choice(varying))
-            at = float(rng.uniform(low[f], high[f]))
+            f = int(varying[int(rng.random() * len(varying))])
+            at = float(low[f] + rng.random() * (high[f] - low[f]))
             below = points[:, f] <= at
             if below.any() and not below.all():
                 feature[node], cut[node] = f, at
@@ -66,7 +67,9 @@ def training_rows(features: DataFrame, params: Params) -> DataFrame:
     """
     pool = params.forest_trees * params.forest_samples
     hashed = features.withColumn("_h", F.pmod(F.xxhash64("sensor_id", "cell", F.lit(params.forest_seed)), F.lit(1 << 40)))
-    share = features.groupBy("sensor_type").agg((F.lit(2.0 * pool + 1000) / F.count("*")).alias("_share"))
+    share = features.groupBy("sensor_type").agg(F.count("*").alias("_n")).withColumn(
+        "_share", F.lit(2.0 * pool + 1000) / F.col("_n")
+    )
     rank = F.row_number().over(W.partitionBy("sensor_type").orderBy("_h", "sensor_id", "cell"))
     pooled = (
         hashed.join(F.broadcast(share), "sensor_type")  # one row per sensor type
@@ -74,13 +77,21 @@ def training_rows(features: DataFrame, params: Params) -> DataFrame:
         .withColumn("_r", rank)
         .where(F.col("_r") <= pool)
     )
-    dealt = pooled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(params.forest_trees - 1)))).withColumn(
-        "_t", F.xxhash64("_h", "tree")
+    # every tree takes the smallest hashes of its own; a threshold leaves about three times its sample to be ranked
+    enough = (3.0 * params.forest_samples + 100) / F.least(F.col("_n"), F.lit(pool)) * float(1 << 40)
+    dealt = (
+        pooled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(params.forest_trees - 1))))
+        .withColumn("_t", F.pmod(F.xxhash64("_h", "tree"), F.lit(1 << 40)))
+        .where(F.col("_t") <= enough)
     )
     pick = F.row_number().over(W.partitionBy("sensor_type", "tree").orderBy("_t", "sensor_id", "cell"))
     return dealt.withColumn("_k", pick).where(F.col("_k") <= params.forest_samples)
 
 
+def cores_of(df: DataFrame) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, 1)
+
+
 def grow_forest(features: DataFrame, params: Params) -> DataFrame:
     """One row per (sensor type, tree) holding the tree's node arrays."""
     seed = params.forest_seed
@@ -104,7 +115,9 @@ def grow_forest(features: DataFrame, params: Params) -> DataFrame:
         )
 
     chosen = training_rows(features, params).select("sensor_type", "tree", "_k", *FEATURES)
-    return chosen.groupBy("sensor_type", "tree").applyInPandas(one_tree, NODES)
+    # small data, costly groups: a fixed number of partitions keeps the trees from being packed into a few tasks
+    tasks = min(params.forest_trees, cores_of(features))
+    return chosen.repartition(tasks, "sensor_type", "tree").groupBy("sensor_type", "tree").applyInPandas(one_tree, NODES)
 
 
 def average_depth(rows: np.ndarray, trees: list[tuple]) -> np.ndarray:
@@ -126,7 +139,7 @@ def average_depth(rows: np.ndarray, trees: list[tuple]) -> np.ndarray:
 
 def with_forest_scores(scores: DataFrame, params: Params) -> DataFrame:
     """Adds ``forest_score`` in (0, 1], rounded to four decimals; about 0.5 for ordinary readings."""
-    features = with_short_features(scores, params)
+    features = materialize(with_short_features(scores, params), "forest-features")  # counted, sampled and scored
     models: dict[str, tuple[int, list[tuple]]] = {}
     # Bounded by (sensor types in the threshold table) x trees x nodes per tree; see the module text.
     for row in grow_forest(features, params).collect():

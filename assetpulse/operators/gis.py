@@ -82,12 +82,12 @@ def layer() -> Column:
     )
 
 
-def closed_ring(coords: Column) -> Column:
-    """Rounded counter-clockwise closed ring; null when the way is not a usable polygon."""
-    ring = round_coords(coords, COORD_DIGITS)
-    ok = (F.size(coords) >= 4) & (F.try_element_at(coords, F.lit(1)) == F.try_element_at(coords, F.lit(-1)))
-    good = ok & (F.size(ring) >= 4) & (F.try_element_at(ring, F.lit(1)) == F.try_element_at(ring, F.lit(-1)))
-    return F.when(good, ring)
+def usable_ring(coords: Column, ring: Column) -> Column:
+    """The rounded ring of a closed way; null when the way is not a usable polygon."""
+    def shut(c):
+        return (F.size(c) >= 4) & (F.try_element_at(c, F.lit(1)) == F.try_element_at(c, F.lit(-1)))
+
+    return F.when(shut(coords) & shut(ring), ring)
 
 
 def counter_clockwise(ring: Column) -> Column:
@@ -101,18 +101,23 @@ def clip_lines(lines: DataFrame, box: Box) -> DataFrame:
     """
     west, south, east, north = box
 
+    def ranged(s):  # the segment with its parameter range inside the box
+        return F.struct(
+            *[s[c].alias(c) for c in ("ax", "ay", "bx", "by")],
+            clip_range(s["ax"], s["ay"], s["bx"], s["by"], box).alias("r"),
+        )
+
     def inside(s):
-        r = clip_range(s["ax"], s["ay"], s["bx"], s["by"], box)
+        t0, t1 = s["r"]["t0"], s["r"]["t1"]
 
         def at(t):
             x = F.least(F.greatest(s["ax"] + (s["bx"] - s["ax"]) * t, F.lit(west)), F.lit(east))
             y = F.least(F.greatest(s["ay"] + (s["by"] - s["ay"]) * t, F.lit(south)), F.lit(north))
-            moved = F.struct(x.alias("lon"), y.alias("lat"))
             a = F.struct(s["ax"].alias("lon"), s["ay"].alias("lat"))
             b = F.struct(s["bx"].alias("lon"), s["by"].alias("lat"))
-            return F.when(t <= 0, a).when(t >= 1, b).otherwise(moved)
+            return F.when(t <= 0, a).when(t >= 1, b).otherwise(F.struct(x.alias("lon"), y.alias("lat")))
 
-        return F.struct(r["t0"].alias("t0"), r["t1"].alias("t1"), at(r["t0"]).alias("p"), at(r["t1"]).alias("q"))
+        return F.struct(t0.alias("t0"), t1.alias("t1"), at(t0).alias("p"), at(t1).alias("q"))
 
     # part number: a new part opens where the line enters the box or after it has left
     start = F.struct(
@@ -130,7 +135,7 @@ def clip_lines(lines: DataFrame, box: Box) -> DataFrame:
             F.when(hit, F.concat(acc["pieces"], F.array(piece))).otherwise(acc["pieces"]).alias("pieces"),
         )
 
-    folded = F.aggregate(F.transform(segments(F.col("coords")), inside), start, fold)
+    folded = F.aggregate(F.transform(F.transform(segments(F.col("coords")), ranged), inside), start, fold)
     one_part = lambda k: F.filter(F.col("_f.pieces"), lambda x: x["part"] == k)
     numbers = F.when(F.col("_f.part") > 0, F.sequence(F.lit(1), F.col("_f.part"))).otherwise(F.array().cast("array<int>"))
     raw_parts = F.transform(
@@ -177,7 +182,8 @@ def with_actions(ways: DataFrame, box: Box, heights: DataFrame | None = None) ->
     else:
         rows = rows.withColumn("measured_m", F.lit(None).cast("double"))
     is_area = F.col("layer").isin("building", "substation")
-    rows = rows.withColumn("ring", F.when(is_area, closed_ring(F.col("coords"))))
+    rows = rows.withColumn("_r", F.when(is_area, round_coords(F.col("coords"), COORD_DIGITS)))
+    rows = rows.withColumn("ring", usable_ring(F.col("coords"), F.col("_r"))).drop("_r")
     rows = rows.withColumn("ring", counter_clockwise(F.col("ring"))).withColumn("footprint_m2", polygon_area_m2(F.col("ring")))
     rows = rows.withColumn("centre", polygon_centroid(F.coalesce("ring", "coords")))
     rows = clip_lines(rows, box)

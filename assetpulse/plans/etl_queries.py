@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import tags as tg
 from ..functions.rounding import round_even
 from ..operators import gis, placement, proximity, zonal
-from ..session import scratch_dir
+from ..session import scratch_dir, spread
 from ..sources import readings as src
 from ..sources import sinks
 from ..streaming import jobs
@@ -20,12 +20,16 @@ from .tables import BBOX, Plant, code, lat_of, lon_of
 @query
 def line_clip(p: Plant) -> DataFrame:
     """All asset lines cut to the study box."""
-    c = gis.clip_lines(p.lines.select("asset_id", "coords"), BBOX)
+    c = gis.clip_lines(spread(p.lines.select("asset_id", "coords")), BBOX)
     return c.where(F.col("clipped").isNotNull()).select(
         "asset_id", "parts", "length_m", "dropped_m", "was_clipped", F.size("clipped").alias("vertices")
     )
 
 
+def way_rows(p: Plant) -> DataFrame:
+    return spread(elements(p).where(F.col("type") == "way"))
+
+
 def tag_map(**tags) -> Column:
     """Map of the tags that have a value."""
     pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in tags.items()])
@@ -71,13 +75,13 @@ def elements(p: Plant) -> DataFrame:
 
 @query
 def layer_routing(p: Plant) -> DataFrame:
-    a = gis.with_actions(elements(p).where(F.col("type") == "way"), BBOX)
+    a = gis.with_actions(way_rows(p), BBOX)
     return a.select("id", "layer", "action", "name")
 
 
 @query
 def layer_report(p: Plant) -> DataFrame:
-    return gis.layer_report(gis.with_actions(elements(p).where(F.col("type") == "way"), BBOX))
+    return gis.layer_report(gis.with_actions(way_rows(p), BBOX))
 
 
 @query
@@ -263,7 +267,7 @@ def squares(p: Plant) -> DataFrame:
 @query
 def zonal_percentile(p: Plant) -> DataFrame:
     projects = p.spark.createDataFrame([("old", "2013-01-01"), ("new", "2018-01-01")], "project string, collected string")
-    z = zonal.zonal_heights(squares(p), pixels(p), projects, PIXEL, 200.0)
+    z = zonal.zonal_heights(squares(p), spread(pixels(p)), projects, PIXEL, 200.0)
     return z.select("polygon_id", "project", "n_pixels", F.round("p50", 6).alias("p50"), F.round("p90", 6).alias("p90"), "vmax", "status")
 
 

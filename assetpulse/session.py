@@ -47,6 +47,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan yields fewer partitions than that (small files); large scans stay as they are.
+
+    For work that is heavy per row, where one file's single split would leave the other cores idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fixed_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A lookup table written in the program text (its size is bounded by that text), marked for broadcast."""
     return F.broadcast(spark.createDataFrame(rows, schema))
