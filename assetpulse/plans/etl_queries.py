@@ -14,7 +14,7 @@ from ..sources import readings as src
 from ..sources import sinks
 from ..streaming import jobs
 from .catalog import plain_flags, plain_scores, query, raw_readings
-from .tables import BBOX, Plant, code, lat_of, lon_of
+from .tables import BBOX, EVENTS, Plant, code, lat_of, lon_of
 
 
 @query
@@ -363,9 +363,7 @@ def series_per_sensor(p: Plant) -> DataFrame:
 # --- streaming ------------------------------------------------------------------------------------------------------------------------
 def event_stream(p: Plant) -> DataFrame:
     """The events file as a stream; all of it is read and then the query stops."""
-    schema = p.table("events").schema
-    stream = p.spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(p.sf_dir)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return p.spark.readStream.schema(EVENTS).option("pathGlobFilter", "events*.parquet").parquet(p.sf_dir)
 
 
 def _paths(p: Plant, *names: str) -> list[str]:

@@ -14,8 +14,9 @@ SELECT * FROM vis WHERE severity IN ('high', 'critical', 'medium') AND sensor_ty
   AND lon BETWEEN -100.025 AND -100.010 AND lat BETWEEN 37.750 AND 37.758
 """)
 oracle("anomaly_list_page", """
-SELECT (SELECT count(*) FROM lp) AS total, anomaly_id, sensor_id, severity, status_at, asset_name, asset_type,
-       placement AS sensor_placement FROM lp ORDER BY rk DESC, anomaly_id LIMIT 10 OFFSET 5
+SELECT t.total, p.* FROM (SELECT count(*) AS total FROM lp) t LEFT JOIN (
+  SELECT anomaly_id, sensor_id, severity, status_at, asset_name, asset_type, placement AS sensor_placement
+  FROM lp ORDER BY rk DESC, anomaly_id LIMIT 10 OFFSET 5) p ON true
 """)
 oracle("anomaly_list_filtered", """
 SELECT anomaly_id, asset_id, severity, status_at, asset_name FROM vis WHERE status_at = 'active'
@@ -51,8 +52,8 @@ SELECT * FROM sm WHERE asset_type IN ('road', 'bridge') AND status IN ('not_moni
   AND lon BETWEEN -100.025 AND -100.010 AND lat BETWEEN 37.750 AND 37.758
 """)
 oracle("asset_list_page", """
-SELECT (SELECT count(*) FROM al) AS total, asset_id, asset_type, status, sensor_count FROM al ORDER BY asset_id
-LIMIT 15 OFFSET 10
+SELECT t.total, p.* FROM (SELECT count(*) AS total FROM al) t LEFT JOIN (
+  SELECT asset_id, asset_type, status, sensor_count FROM al ORDER BY asset_id LIMIT 15 OFFSET 10) p ON true
 """)
 oracle("active_anomalies", """
 SELECT anomaly_id, asset_name, asset_type, severity FROM vis WHERE status_at = 'active'

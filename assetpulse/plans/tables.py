@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.geometry import utm_xy
-from ..functions.timeaxis import TimeAxis, utc
+from ..functions.timeaxis import TimeAxis
 from ..params import Params
 from ..session import fixed_table, use_utc
 
@@ -29,6 +29,7 @@ UNITS = ("°C", "mm/s", "%", "psi")
 ASSET_TYPES = ("building", "road", "bridge", "power", "street_light")
 CATEGORIES = ("Buildings", "Transportation", "Transportation", "Utilities", "Utilities")
 WEST, SOUTH, WIDTH, HEIGHT = -100.03, 37.745, 0.025, 0.017
+EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 CENTRAL_MERIDIAN = -99.0  # UTM zone 14
 BBOX = (-100.025, 37.750, -100.010, 37.758)
 CENTRE = (-100.0175, 37.7535)
@@ -63,7 +64,8 @@ class Plant:
 
     @cached_property
     def events(self) -> DataFrame:
-        return self.table("events").withColumn("ts", utc("ts"))
+        """Events with their zone-less times read as UTC timestamps: no cast, so time filters reach the files."""
+        return self.spark.read.schema(EVENTS).parquet(f"{self.sf_dir}/events.parquet")
 
     @cached_property
     def readings(self) -> DataFrame:
