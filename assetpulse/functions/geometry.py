@@ -190,6 +190,20 @@ def clip_range(ax, ay, bx, by, box) -> Column:
     return F.when(inside & (t0 <= t1), F.struct(t0.alias("t0"), t1.alias("t1")))
 
 
+def line_in_box(coords: Column, box) -> Column:
+    """Some segment of the line meets the box; lines whose bounds miss it are decided by comparisons alone."""
+    west, south, east, north = box
+    lon, lat = F.transform(coords, lambda p: p["lon"]), F.transform(coords, lambda p: p["lat"])
+    near = (F.array_max(lon) >= west) & (F.array_min(lon) <= east) & (F.array_max(lat) >= south) & (F.array_min(lat) <= north)
+    return near & F.exists(segments(coords), lambda s: clip_range(s["ax"], s["ay"], s["bx"], s["by"], box).isNotNull())
+
+
+def ring_in_box(coords: Column, box) -> Column:
+    """The outline meets the box or the polygon contains it."""
+    west, south, _, _ = box
+    return line_in_box(closed(coords), box) | point_in_ring(F.lit(float(west)), F.lit(float(south)), coords)
+
+
 def utm_xy(lon: Column, lat: Column, central_meridian: float) -> Column:
     """UTM easting and northing (northern hemisphere) as struct(x, y), by the usual series."""
     a, e2, k0 = 6378137.0, 0.0066943799901413165, 0.9996

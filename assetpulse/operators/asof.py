@@ -65,7 +65,7 @@ def sensor_status_at(
     limits = thresholds.select("sensor_type", "placement", "warn_low", "warn_high")
     warned = F.coalesce("flagged", F.lit(False)) | rules.outside(F.col("value"), F.col("warn_low"), F.col("warn_high"))
     return (
-        sensors.join(F.broadcast(limits), ["sensor_type", "placement"])
+        sensors.join(limits, ["sensor_type", "placement"])
         .join(current, "sensor_id", "left")
         .join(in_anomaly, "sensor_id", "left")
         .withColumn(
@@ -84,7 +84,7 @@ def sensor_status_series(
     columns = tuple(c for c in ("z", "flagged") if c in scored.columns)
     cells = to_cells(scored, axis, columns)
     limits = thresholds.select("sensor_type", "placement", "warn_low", "warn_high")
-    known = sensors.join(F.broadcast(limits), ["sensor_type", "placement"])
+    known = sensors.join(limits, ["sensor_type", "placement"])
     dense = carry_forward(cells, known, axis, ["value", "flagged"])
     active = active_counts(anomalies, ["sensor_id"], axis)
     outside = rules.outside(F.col("value"), F.col("warn_low"), F.col("warn_high"))

@@ -49,7 +49,7 @@ def with_flags(scores: DataFrame, thresholds: DataFrame, params: Params) -> Data
     ``forest`` needs a ``forest_score`` column; without one it is false. It corroborates and never makes an event.
     """
     limits = thresholds.select("sensor_type", "placement", "warn_low", "warn_high", "crit_low", "crit_high")
-    rows = with_rolling(scores.join(F.broadcast(limits), ["sensor_type", "placement"]), params)
+    rows = with_rolling(scores.join(limits, ["sensor_type", "placement"]), params)
     size = F.abs("z")
     forest = F.lit(False)
     if "forest_score" in scores.columns:

@@ -517,3 +517,19 @@ def build_registry(elements: DataFrame, inventory: DataFrame | None, box: Box, p
         bridge_assets(chains, attached, box)
     )
     return number_assets(pending)
+
+
+def linked(assets: DataFrame, buildings: DataFrame, roads: DataFrame) -> DataFrame:
+    """Assets with building_id (buildings only) and road_id (roads and bridges only) found through link_id."""
+    b = buildings.select(F.col("osm_id").alias("_b"), "building_id")
+    r = roads.select(F.col("osm_id").alias("_r"), "road_id")
+    on_building = (F.col("asset_type") == "building") & (F.col("link_id") == F.col("_b"))
+    on_road = F.col("asset_type").isin("road", "bridge") & (F.col("link_id") == F.col("_r"))
+    return assets.join(b, on_building, "left").join(r, on_road, "left").drop("_b", "_r")
+
+
+def largest_part(df: DataFrame, parts: str = "parts") -> DataFrame:
+    """Keeps the largest ring of every multi-part geometry (array of rings), the first on a tie."""
+    areas = F.transform(parts, lambda ring, i: F.struct(polygon_area_m2(ring).alias("a"), (-i).alias("i"), ring.alias("ring")))
+    best = F.array_max(F.transform(areas, lambda e: F.struct(e["a"].alias("a"), e["i"].alias("i"))))
+    return df.withColumn("_i", -best["i"]).withColumn("ring", F.get(F.col(parts), F.col("_i"))).drop("_i")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules
-from ..functions.geometry import in_box
+from ..functions.geometry import in_box, line_in_box, ring_in_box
 from ..functions.rules import shown
 from ..functions.timeaxis import TimeAxis, local_date
 
@@ -209,7 +209,7 @@ def health_range(health: DataFrame, first: int, last: int) -> DataFrame:
 
 def sensor_head(sensors: DataFrame, thresholds: DataFrame, baselines: DataFrame) -> DataFrame:
     """Sensors with their limits and the scale, floor and domain the latest run recorded for them."""
-    limits = F.broadcast(thresholds.drop("unit"))
+    limits = thresholds.drop("unit")
     return sensors.join(limits, ["sensor_type", "placement"]).join(baselines, "sensor_id", "left")
 
 
@@ -263,6 +263,12 @@ def cluster_records(clusters: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+def layer_in_box(df: DataFrame, box: tuple[float, float, float, float], polygon: bool = False) -> DataFrame:
+    """Lines or polygons (coords) that meet a box, edges included: bounds first, then the exact segment test."""
+    test = ring_in_box if polygon else line_in_box
+    return df.where(test(F.col("coords"), box))
+
+
 def labelled_list(events: DataFrame, is_anomaly: bool | None = None) -> DataFrame:
     rows = events if is_anomaly is None else events.where(F.col("is_anomaly") == is_anomaly)
     return rows.orderBy("started_at", "event_id")

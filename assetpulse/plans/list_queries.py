@@ -339,3 +339,9 @@ def geometry_split(p: Plant) -> DataFrame:
 @query
 def table_fingerprint(p: Plant) -> DataFrame:
     return quality.fingerprint(p.table("orders"))
+
+
+@query
+def layer_in_box(p: Plant) -> DataFrame:
+    """Asset lines that meet the study box."""
+    return listing.layer_in_box(p.lines, BBOX).select("asset_id", "asset_type")

@@ -264,3 +264,7 @@ SELECT sensor_id, s0 + min(cell) * {STEP_US} AS started_at, s0 + max(cell) * {ST
 GROUP BY sensor_id, island, s0 HAVING (max(abs(z)) >= 6 OR count(*) >= 3 OR bool_or(critical))
    AND max(cell) + 3 < (SELECT max(cell) FROM isl)
 """)
+
+oracle("layer_in_box", """
+SELECT asset_id, asset_type FROM vtx WHERE num IN (SELECT id FROM clpp WHERE hit)
+""")

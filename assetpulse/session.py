@@ -56,6 +56,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def broadcast_below(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
+    """Broadcast a side whose row count is known to stay below the limit; otherwise leave the join to the engine."""
+    return F.broadcast(df) if rows <= limit else df
+
+
 def fixed_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A lookup table written in the program text (its size is bounded by that text), marked for broadcast."""
     return F.broadcast(spark.createDataFrame(rows, schema))

@@ -15,5 +15,6 @@ def spark():
 
     session = make_spark("8")
     session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")  # tiny data: few tasks
     yield session
     session.stop()
