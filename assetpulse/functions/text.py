@@ -8,7 +8,8 @@ from ..params import ANOMALY_LABELS, CAUSAL_WORDS, DETECTOR_PHRASES, GENERIC_LAB
 
 
 def fixed(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value)
+    """Fixed decimals, rounding the exact binary value half to even."""
+    return F.call_function("format_number", value, F.lit("0" if digits == 0 else "0." + "0" * digits))
 
 
 def format_value(value: Column) -> Column:

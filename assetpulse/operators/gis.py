@@ -217,11 +217,12 @@ def with_actions(ways: DataFrame, box: Box, heights: DataFrame | None = None) ->
 
 
 def layer_report(actions: DataFrame) -> DataFrame:
-    """Counts per layer and action with clipped and multi-part lines."""
+    """Counts per layer and action with the clipped and multi-part lines among the kept ones."""
+    line = F.col("layer").isin("highway", "rail", "power_line") & (F.col("action") == "kept")
     return actions.groupBy("layer", "action").agg(
         F.count("*").alias("ways"),
-        F.count_if("was_clipped").alias("clipped"),
-        F.count_if(F.col("parts") > 1).alias("multi_part"),
+        F.count_if(line & F.col("was_clipped")).alias("clipped"),
+        F.count_if(line & (F.col("parts") > 1)).alias("multi_part"),
     )
 
 

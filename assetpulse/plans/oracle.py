@@ -457,3 +457,48 @@ SELECT 'ANM-' || lpad(CAST(row_number() OVER (ORDER BY s_us, sensor_id) AS VARCH
        obs AS observed_value, z AS robust_z, score AS anomaly_score, severity, method AS detection_method, status
 FROM ev
 """)
+
+
+def shown(x: str) -> str:
+    """A reading with a precision that suits its size."""
+    return (
+        f"CASE WHEN abs({x}) >= 100 THEN printf('%.0f', {x}) WHEN abs({x}) >= 1 THEN printf('%.1f', {x}) "
+        f"ELSE printf('%.2f', {x}) END"
+    )
+
+
+def short(x: str, digits: int) -> str:
+    return f"regexp_replace(printf('%.{digits}f', {x}), '0$', '')"
+
+
+cte("tx", f"""
+SELECT ev.*, s.placement, s.unit, lim::DOUBLE AS limd, {even('m', 3)} AS m3, {even('d', 3)} AS d3, t::DOUBLE AS t3,
+       list_filter([CASE WHEN contains(method, 'threshold') THEN 'critical threshold' END,
+                    CASE WHEN contains(method, 'robust_zscore') THEN 'robust z-score' END,
+                    CASE WHEN contains(method, 'rolling_median') THEN 'rolling median' END], lambda x: x IS NOT NULL) AS names,
+       CASE anomaly_type WHEN 'vibration_spike' THEN 'Short elevated vibration'
+            WHEN 'sustained_high_vibration' THEN 'Sustained high vibration' WHEN 'vibration_drop' THEN 'Unusually low vibration'
+            WHEN 'moisture_increase' THEN 'Unusual moisture increase' WHEN 'moisture_decrease' THEN 'Unusual moisture decrease'
+            WHEN 'pressure_drop' THEN 'Pressure drop' WHEN 'pressure_spike' THEN 'Short pressure excursion'
+            WHEN 'pressure_decline' THEN 'Gradual pressure decline' WHEN 'temperature_spike' THEN 'Abnormal temperature rise'
+            WHEN 'temperature_drift' THEN 'Temperature drift' ELSE 'Abnormal temperature drop' END AS label
+FROM ev JOIN sn s ON s.sensor_id = ev.sensor_id
+""")
+oracle("anomaly_explanations", f"""
+SELECT sensor_id, a AS start_cell, 0::BIGINT AS causal,
+  label || ' on ' || sensor_id || ' (' || placement || '): ' || {shown('obs')} || ' ' || unit || ' at peak versus an expected '
+  || {shown('exp4')} || ' ' || unit || ' for that hour — ' || printf('%.1f', abs(z)) || ' robust standard deviations'
+  || CASE WHEN sensor_type = 'vibration' THEN ' (log scale)' ELSE '' END || CASE WHEN z > 0 THEN ' above' ELSE ' below' END
+  || ' this sensor''s baseline, '
+  || CASE WHEN sensor_type = 'vibration' AND exp4 > 0 THEN printf('%.1f', obs / exp4) || '× the expected level'
+     ELSE 'a difference of ' || {shown('abs(obs - exp4)')} || ' ' || unit END
+  || ', lasting ' || dur || ' h' || CASE WHEN status = 'active' THEN ' and still present at the end of the analysed window' ELSE '' END
+  || '.' || CASE WHEN lvl IS NULL THEN '' ELSE ' The ' || CASE WHEN side = 'below' THEN 'lowest' ELSE 'highest' END
+     || ' reading of the event, ' || {shown('extr')} || ' ' || unit || ', is ' || side || ' the ' || lvl || ' limit of '
+     || {shown('limd')} || ' ' || unit || '.' END
+  || ' Flagged by ' || CASE len(names) WHEN 1 THEN names[1] WHEN 2 THEN names[1] || ' and ' || names[2]
+     ELSE names[1] || ', ' || names[2] || ' and ' || names[3] END || '.'
+  || ' Severity ' || severity || ' (score ' || {short('score', 3)} || ': magnitude ' || {short('m3', 2)} || ', duration '
+  || {short('d3', 2)} || ', threshold ' || {short('t3', 2)} || ').' AS explanation
+FROM tx
+""")

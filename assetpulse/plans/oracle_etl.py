@@ -84,6 +84,10 @@ SELECT e.num AS id, e.layer, e.nm AS name, CASE
 FROM ela e LEFT JOIN clp c ON c.id = e.num
 """)
 oracle("layer_routing", "SELECT id, layer, action, name FROM rt")
+oracle("layer_report", """
+SELECT layer, action, count(*) AS ways, count(*) FILTER (WHERE k BETWEEN 1 AND 4 AND action = 'kept' AND was_clipped) AS clipped,
+       count(*) FILTER (WHERE k BETWEEN 1 AND 4 AND action = 'kept' AND parts > 1) AS multi_part FROM rt GROUP BY layer, action
+""")
 oracle("chain_merge", """
 SELECT (num // 4) * 4 AS chain_id, CASE WHEN (num // 4) % 2 = 0 THEN 'highway:primary' ELSE 'railway:rail' END AS bridge_class,
        string_agg(CAST(num AS VARCHAR), ',' ORDER BY num) AS way_ids, count(*) * 2 + 1 AS vertices,
