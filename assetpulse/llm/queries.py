@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import use_utc
-from . import decontaminate, language_id, simhash
+from . import decontaminate, language_id, mixing, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,62 @@ def _decontaminate(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def _mix_rounds(rounds: int = 3) -> str:
+    """Rounds of taking documents in the order of their keys while their words fit what is left of the source."""
+    out = []
+    for r in range(rounds):
+        out.append(f"""
+    open{r} AS (
+      SELECT k.*, left_words, sum(size) OVER (PARTITION BY k.source ORDER BY key RANGE UNBOUNDED PRECEDING) AS reached
+      FROM keyed{r} k JOIN left{r} l ON k.source IS NOT DISTINCT FROM l.source WHERE size <= left_words
+    ),
+    took{r} AS (SELECT row, source, size FROM open{r} WHERE reached <= left_words),
+    keyed{r + 1} AS (SELECT * FROM keyed{r} WHERE row NOT IN (SELECT row FROM took{r})),
+    left{r + 1} AS (
+      SELECT l.source, left_words - coalesce(used, 0) AS left_words
+      FROM left{r} l LEFT JOIN (SELECT source, sum(size) AS used FROM took{r} GROUP BY source) u ON l.source IS NOT DISTINCT FROM u.source
+    ),""")
+    return "".join(out)
+
+
+@query(
+    "op6_mixing",
+    rf"""
+    WITH sized AS (
+      SELECT row_number() OVER () AS row, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+    ),
+    drawn AS (
+      SELECT *, (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null') || '|' || size), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+      FROM sized
+    ),
+    src AS (
+      SELECT source, s, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
+      FROM (SELECT source, sum(size)::BIGINT AS s FROM drawn GROUP BY source)
+    ),
+    levels AS (
+      SELECT 2.0::DOUBLE * s / w AS ratio,
+             (1.5::DOUBLE * (sum(s) OVER ())::DOUBLE - coalesce(sum(2 * s) OVER before, 0)::DOUBLE)
+               / ((sum(w) OVER ()) - coalesce(sum(w) OVER before, 0))::DOUBLE AS level
+      FROM src WINDOW before AS (ORDER BY 2.0::DOUBLE * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    ),
+    level AS (SELECT coalesce(arg_min(level, ratio) FILTER (WHERE level < ratio), max(ratio)) AS level FROM levels),
+    aimed AS (SELECT source, s, least(2.0::DOUBLE * s, w::DOUBLE * level) AS target FROM src, level),
+    rated AS (SELECT *, CASE WHEN s > 0 THEN target / s::DOUBLE ELSE 0 END AS rate FROM aimed),
+    plan AS (SELECT *, floor(rate) AS whole, rate - floor(rate) AS p FROM rated),
+    keyed0 AS (
+      SELECT row, d.source, size, q / (1 + q) AS key
+      FROM (SELECT row, d.source, size, p, (u / (1 - u)) / (p / (1 - p)) AS q FROM drawn d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source WHERE p > 0 AND size > 0) d
+    ),
+    left0 AS (SELECT source, target - whole * s::DOUBLE AS left_words FROM plan),
+    {_mix_rounds()}
+    extra AS (SELECT row FROM keyed0 WHERE row NOT IN (SELECT row FROM keyed3))
+    SELECT doc_id, size, s AS source_size, target, (size * (whole + CASE WHEN e.row IS NULL THEN 0 ELSE 1 END))::BIGINT AS taken
+    FROM drawn d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN extra e ON d.row = e.row
+    """,
+)
+def _mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = mixing.mix(docs)
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
