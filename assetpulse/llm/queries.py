@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import use_utc
-from . import decontaminate, language_id, mixing, simhash
+from . import decontaminate, language_id, mixing, sharding, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,26 @@ def _mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     found = mixing.mix(docs)
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+#: byte limit of a shard in the registered query; loaders that read whole shards want small ones
+SHARD_BYTES = 1 << 20
+
+
+@query(
+    "op10_sharding",
+    f"""
+    WITH d AS (
+      SELECT row_number() OVER () AS row, doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
+             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h
+      FROM documents
+    ),
+    levels AS (SELECT row, doc_id, n_bytes, depth, h >> (60 - depth) AS prefix, h FROM d, (SELECT unnest(range(0, 31)) AS depth)),
+    sums AS (SELECT *, sum(n_bytes) OVER (PARTITION BY depth, prefix) AS bytes, count(*) OVER (PARTITION BY depth, prefix) AS n FROM levels),
+    leaf AS (SELECT * FROM sums WHERE bytes <= {SHARD_BYTES} OR n = 1 QUALIFY row_number() OVER (PARTITION BY row ORDER BY depth) = 1)
+    SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth::INTEGER, '0') END AS shard, bytes::BIGINT AS shard_bytes FROM leaf
+    """,
+)
+def _sharding(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", sharding.text_bytes(F.col("text")).alias("n_bytes"))
+    return sharding.shards(docs, max_bytes=SHARD_BYTES)
