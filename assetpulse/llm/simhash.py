@@ -10,10 +10,17 @@ cell of at least one grid that leaves d blocks out. With d = 2 there are 28 grid
 other 24 segments. The range join is an equality join on the cell with both distances behind it, Manhattan first.
 
 Crowded cells. Fingerprints that differ in a few bits only may crowd one cell, where pairs would grow with the square.
-Cells of more than ``crowd`` fingerprints are not paired. Their members are linked through centres instead: two
-fingerprints are within d bits exactly if some value is within d // 2 of one and d - d // 2 of the other, so each member
-names the values that near itself and all members that name one value and prove close are chained to it. This is linear in
-the members and loses no link (see ``centre_edges``).
+Cells of more than ``crowd`` fingerprints are not paired. Their members are linked through centres instead, which is linear
+in the members and loses no link (see ``centre_edges``).
+
+Similar texts. Two bits are a much narrower bound than a similarity of 0.8: pairs of texts that share 80 to 98 % of their
+five-word shingles differ in 1 to 17 of 64 bits, and no bound on segment counts separates 17 bits from unrelated texts (half
+the bits). ``keep_one`` therefore adds a second kind of candidates: every text also has sampled fingerprints, each over the
+four shingles that are smallest under hashes of its own. Texts with a sampled fingerprint in common are compared by their
+whole shingle sets; they are linked if the share of common shingles is at least ``similarity``. A pair at 0.8 is missed with
+a probability of 0.2 %. In buckets of up to ``crowd`` texts all pairs are compared, in larger ones every text with two
+pivots: the member that shares most buckets with others, which is the original if the others are its copies, and one drawn
+at random in each bucket.
 
 Defined results: null and empty texts have no word and fingerprint zero, linked like any other. A class id is the smallest
 id in the class; rows without an id belong to classes but give them no id.
@@ -38,24 +45,46 @@ BLOCKS = 8
 VOTES = 1 << 15
 
 
-def fingerprint_of(text: bytes | None, shingle: int, seed: int = 42) -> int:
-    """SimHash of UTF-8 bytes; bytes.lower and bytes.split know ASCII only, which is what is wanted."""
+#: sampled fingerprints of a text, and shingles in each
+SAMPLES, DRAWN = 12, 4
+#: multipliers and offsets of the hashes that draw them
+DRAWS = np.random.default_rng(7).integers(1, 1 << 63, size=(2, SAMPLES * DRAWN), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(text: bytes | None, shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of UTF-8 bytes, in blocks. bytes.lower and bytes.split know ASCII only, which is what is wanted."""
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return
     width = min(shingle, len(words))
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist()
-    stops = ends[width - 1 :].tolist()
-    digest, votes = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1]
+    stops, digest = ends[width - 1 :], xxhash.xxh64_intdigest
     for at in range(0, len(starts), VOTES):
-        hashes = np.array(
-            [digest(joined[a:b], seed) for a, b in zip(starts[at : at + VOTES], stops[at : at + VOTES])], dtype="<u8"
-        )
+        pairs = zip(starts[at : at + VOTES].tolist(), stops[at : at + VOTES].tolist())
+        yield np.array([digest(joined[a:b], seed) for a, b in pairs], dtype="<u8")
+
+
+def fingerprint_of(text: bytes | None, shingle: int, sampled: bool = False) -> tuple[int, list[int]]:
+    """SimHash, and the sampled fingerprints if wanted (none for a text without words)."""
+    votes, n = np.zeros(64, dtype=np.int64), 0
+    least = np.full(SAMPLES * DRAWN, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for hashes in shingle_hashes(text, shingle):
+        n += len(hashes)
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(starts), bitorder="little").view("<u8")[0])
+        for at in range(0, len(hashes) if sampled else 0, 4096):
+            drawn = hashes[None, at : at + 4096] * DRAWS[0][:, None] + DRAWS[1][:, None]
+            least = np.minimum(least, (drawn ^ (drawn >> np.uint64(31))).min(axis=1))
+    fp = int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
+    if not (sampled and n):
+        return fp, []
+    keys = np.zeros(SAMPLES, dtype=np.uint64)
+    for part in least.reshape(SAMPLES, DRAWN).T:
+        keys = (keys ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(32)
+    return fp, keys.view(np.int64).tolist()
 
 
 def fingerprint(text: Column, shingle: int = 5) -> Column:
@@ -64,12 +93,43 @@ def fingerprint(text: Column, shingle: int = 5) -> Column:
     @F.pandas_udf("bigint")
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            found = np.fromiter((fingerprint_of(t, shingle) for t in batch), dtype=np.uint64, count=len(batch))
+            found = np.fromiter((fingerprint_of(t, shingle)[0] for t in batch), dtype=np.uint64, count=len(batch))
             yield pd.Series(found.view(np.int64))
 
     return simhash(text.cast("binary"))
 
 
+def fingerprints(text: Column, shingle: int = 5) -> Column:
+    """struct<fp, samples>: the fingerprint and the sampled fingerprints."""
+
+    @F.pandas_udf("struct<fp:bigint,samples:array<bigint>>")
+    def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [fingerprint_of(t, shingle, True) for t in batch]
+            fps = np.array([fp for fp, _ in found], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"fp": fps, "samples": [samples for _, samples in found]})
+
+    return simhash(text.cast("binary"))
+
+
+def shared_shingles(a: Column, b: Column, shingle: int = 5) -> Column:
+    """Jaccard similarity of the shingle sets of two texts."""
+
+    @F.pandas_udf("double")
+    def jaccard(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def shingles(text):
+            return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(text, shingle)]))
+
+        for left, right in batches:
+            out = []
+            for x, y in zip(map(shingles, left), map(shingles, right)):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(common / max(len(x) + len(y) - common, 1))
+            yield pd.Series(out, dtype="float64")
+
+    return jaccard(a.cast("binary"), b.cast("binary"))
+
+
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -153,10 +213,32 @@ def close_edges(fps: DataFrame, bits: int = 2, crowd: int = 64) -> DataFrame:
     return pairs.union(centre_edges(crowded, bits)).distinct()
 
 
-def classified(prints: DataFrame, id_col: str, bits: int, crowd: int) -> DataFrame:
-    """``prints`` (with fp) and the class of each row: ``component``, its smallest fingerprint, and ``component_id``."""
+def sample_pairs(samples: DataFrame, crowd: int = 64) -> DataFrame:
+    """(a, b) fingerprints to compare, of rows (fp, samples): members of a bucket, or members and pivots of a crowded one."""
+    buckets = samples.select("fp", F.posexplode("samples").alias("sample", "key"))
+    sized = buckets.groupBy("sample", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(buckets.join(sized, ["sample", "key"]), "simhash-buckets")
+    small = shared.where(F.col("n") <= crowd)
+    x, y = small.alias("x"), small.alias("y")
+    same = (F.col("x.sample") == F.col("y.sample")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp"))
+    pairs = x.join(y, same).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    large = shared.where(F.col("n") > crowd)
+    central = large.join(shared.groupBy("fp").agg(F.sum("n").alias("met")), "fp")
+    pivots = central.groupBy("sample", "key").agg(
+        F.max_by("fp", F.struct("met", "fp")).alias("most"), F.min_by("fp", F.xxhash64("fp", "sample")).alias("drawn")
+    )
+    met = large.join(pivots, ["sample", "key"]).select("fp", F.explode(F.array("most", "drawn")).alias("pivot")).where("fp != pivot")
+    return pairs.union(met.select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b"))).distinct()
+
+
+def classified(prints: DataFrame, id_col: str, bits: int, crowd: int, more: DataFrame | None = None) -> DataFrame:
+    """``prints`` (with fp) and the class of each row: ``component``, its smallest fingerprint, and ``component_id``.
+
+    ``more`` has further links (src, dst) between fingerprints.
+    """
     distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
-    edges = materialize(close_edges(distinct.select("fp"), bits, crowd), "simhash-edges")
+    edges = close_edges(distinct.select("fp"), bits, crowd)
+    edges = materialize(edges if more is None else edges.union(more), "simhash-edges")
     linked = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     labels = connected_components(linked, edges).select(F.col("id").alias("fp"), "component")
     grouped = distinct.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -175,15 +257,28 @@ def near_duplicates(
     return classified(materialize(prints, "simhash-prints"), id_col, bits, crowd)
 
 
-def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, bits: int = 2, crowd: int = 64) -> DataFrame:
+def keep_one(
+    df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, bits: int = 2, crowd: int = 64, similarity: float = 0.8
+) -> DataFrame:
     """``df`` without near copies: of each class the row with the smallest id stays; a row without an id only if none has one.
 
-    Rows are told apart by id and by two hashes over all columns; of rows equal in every column one stays.
+    Classes join fingerprints within ``bits`` and texts whose shingle sets have at least ``similarity`` in common. Rows are
+    told apart by two hashes over all columns; of rows equal in every column one stays.
     """
     key = unused(df, "_row_a", "_row_b")
     marked = df.withColumns(dict(zip(key, row_hashes(df))))
-    prints = marked.select(F.col(id_col).alias("id"), F.col(key[0]).alias("a"), F.col(key[1]).alias("b"), fingerprint(F.col(text_col), shingle).alias("fp"))
-    found = classified(materialize(prints, "simhash-prints"), "id", bits, crowd)
-    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "a", "b")).alias("first")
-    kept = found.groupBy("component").agg(first).select(F.col("first.a").alias(key[0]), F.col("first.b").alias(key[1]))
+    row = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col(key[0]).alias("a"), F.col(key[1]).alias("b"))
+    prints = materialize(marked.select(row.alias("row"), fingerprints(F.col(text_col), shingle).alias("f")).select("row", "f.*"), "simhash-prints")
+    first = prints.groupBy("fp").agg(F.min(F.struct("row", "samples")).alias("m")).select("fp", "m.*")
+    pairs = materialize(sample_pairs(first.select("fp", "samples"), crowd), "simhash-pairs")
+    compared = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = first.join(compared, "fp", "left_semi").select("fp", F.col("row.a").alias("a"), F.col("row.b").alias("b"))
+    texts = marked.select(F.col(key[0]).alias("a"), F.col(key[1]).alias("b"), F.col(text_col).alias("text")).join(wanted, ["a", "b"])
+    texts = materialize(texts.select("fp", "text").dropDuplicates(["fp"]), "simhash-texts")
+    both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b"
+    )
+    similar = both.where(shared_shingles(F.col("text_a"), F.col("text_b"), shingle) >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    found = classified(prints.select("row", F.col("row.id").alias("id"), "fp"), "id", bits, crowd, similar)
+    kept = found.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.a").alias(key[0]), F.col("row.b").alias(key[1]))
     return marked.join(kept, key, "left_semi").dropDuplicates(key).select(*[F.col(f"`{c}`") for c in df.columns])
