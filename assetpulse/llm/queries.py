@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import use_utc
-from . import decontaminate, language_id, mixing, sharding, simhash
-from .common import table
+from . import decontaminate, language_id, mixing, secret_scan, sharding, simhash
+from .common import span_text, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,20 @@ def _language_id(spark, sf_dir):
     return guessed.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def _of_kinds(spans, *kinds: str):
+    return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+
+@query("op2_secret_scan")
+def _secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.find_secrets(docs).select("doc_id", "secrets")
+    spans = F.col("secrets")
+    counts = [F.size(_of_kinds(spans, k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    base = F.sha2(span_text(_of_kinds(spans, "assign", "access", "hex")), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), span_text(spans).alias("spans"))
+
+
 @query("op7_simhash_dedup")
 def _simhash_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
