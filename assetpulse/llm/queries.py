@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import use_utc
-from . import decontaminate, language_id, mixing, secret_scan, sharding, simhash
+from . import decontaminate, language_id, mixing, personal_data, secret_scan, sharding, simhash
 from .common import span_text, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,15 @@ def _secret_scan(spark, sf_dir):
     return found.select("doc_id", *counts, base.alias("base_sha256"), span_text(spans).alias("spans"))
 
 
+@query("op3_personal_data")
+def _personal_data(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, spans = personal_data.find_personal_data(docs), F.col("personal")
+    counts = [F.size(_of_kinds(spans, k)).cast("long").alias(f"n_{k}") for k in personal_data.BASE]
+    base = F.sha2(span_text(_of_kinds(spans, *personal_data.BASE)), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), span_text(spans).alias("spans"))
+
+
 @query("op7_simhash_dedup")
 def _simhash_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
