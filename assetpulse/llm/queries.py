@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import use_utc
-from . import decontaminate, language_id, mixing, personal_data, secret_scan, sharding, simhash
+from . import decontaminate, language_id, mixing, personal_data, secret_scan, sharding, simhash, token_rollup, url_filter
 from .common import span_text, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,9 @@ def _simhash_dedup(spark, sf_dir):
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: the rules of the registered query
+SITE_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
 ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -180,3 +183,42 @@ SHARD_BYTES = 1 << 20
 def _sharding(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", sharding.text_bytes(F.col("text")).alias("n_bytes"))
     return sharding.shards(docs, max_bytes=SHARD_BYTES)
+
+
+@query(
+    "op5_url_filter",
+    f"""
+    WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+    placed AS (
+      SELECT page_id, coalesce({ASCII.format("regexp_extract(rest, '^([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+      FROM rest
+    ),
+    rules(verdict, rule_host, rule_path) AS (VALUES {", ".join(str(r) for r in SITE_RULES)}),
+    fits AS (
+      SELECT host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
+      FROM (SELECT DISTINCT host, path FROM placed) JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+      GROUP BY ALL
+    )
+    SELECT page_id, host, path, rule,
+           coalesce(verdict, CASE WHEN regexp_matches(host, '(^|[.])({"|".join(h.removesuffix(".*") for _, h, _ in url_filter.UNWANTED)})[.]') THEN 'block' ELSE 'allow' END) AS verdict
+    FROM placed LEFT JOIN fits USING (host, path)
+    """,
+)
+def _url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    found = url_filter.judge(pages, url_filter.rules(spark, SITE_RULES, url_filter.UNWANTED))
+    return found.select("page_id", "host", "path", F.when(F.col("rank") == 0, F.col("rule")).alias("rule"), "verdict")
+
+
+@query("op9_token_rollup")
+def _token_rollup(spark, sf_dir):
+    """Three batches: all documents with estimated counts, their revision by counted tokens, and the removal of exact copies."""
+    counted = token_rollup.count_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    store = token_rollup.Rollup(spark, token_rollup.new_folder(spark))
+    store.commit(0, token_rollup.signed(counted, 1, "estimate"))
+    revision = token_rollup.signed(counted, -1, "estimate").union(token_rollup.signed(counted, 1, "tokens"))
+    store.commit(1, revision)
+    copies = token_rollup.signed(counted, -1, "tokens").union(token_rollup.signed(token_rollup.first_copies(counted), 1, "tokens"))
+    store.commit(2, copies)
+    store.commit(1, revision)  # a batch that is delivered again counts once
+    return store.totals()
