@@ -75,7 +75,7 @@ def differences(spark_df, con, sql: str) -> str | None:
     columns = [d[0] for d in cur.description]
     types = {d[0]: str(d[1]) for d in cur.description}
     want = table_of(columns, cur.fetchall())
-    kinds = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     odd = {
         f.name: (f.dataType.simpleString(), types.get(f.name))
         for f in spark_df.schema.fields
