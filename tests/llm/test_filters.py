@@ -130,7 +130,9 @@ def luhn(d):
 
 
 def plain_personal(x):
-    s = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
+    s = []
+    if "@" in x:  # the pattern is quadratic in long runs
+        s += [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
     s += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x) if all(int(p) <= 255 for p in m[0].split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", x):
         d = re.sub("[^0-9]", "", m[0])
