@@ -1,6 +1,6 @@
 """Isolation scoring of the short-term features, one forest per sensor type.
 
-Training touches at most ``trees x samples`` rows per type, picked by the smallest row hashes; each tree is built
+Every tree draws its own sample from all rows of its type by row hashes; each tree is built
 by one task from its own sample. The finished forest has a fixed size (types x trees x 2 x samples nodes), so it
 is sent to the executors, which score all rows in Arrow batches.
 """
@@ -60,29 +60,21 @@ def build_tree(rows: np.ndarray, rng: np.random.Generator) -> tuple[list, list,
 
 
 def training_rows(features: DataFrame, params: Params) -> DataFrame:
-    """(sensor_type, tree, features): every tree's sample without replacement.
+    """(sensor_type, tree, features): every tree's sample without replacement, drawn from all rows of its type.
 
-    A first cut keeps about twice the pool per type by a hash threshold derived from the row counts, so the ranking
-    that picks the exact pool only sees a bounded number of rows per type.
+    A tree takes the smallest of its own hashes of the rows. A threshold per type, from the row count, leaves about three
+    times the sample to be ranked; a row is dealt only to the trees whose threshold it passes.
     """
-    pool = params.forest_trees * params.forest_samples
-    hashed = features.withColumn("_h", F.pmod(F.xxhash64("sensor_id", "cell", F.lit(params.forest_seed)), F.lit(1 << 40)))
-    share = features.groupBy("sensor_type").agg(F.count("*").alias("_n")).withColumn(
-        "_share", F.lit(2.0 * pool + 1000) / F.col("_n")
-    )
-    rank = F.row_number().over(W.partitionBy("sensor_type").orderBy("_h", "sensor_id", "cell"))
-    pooled = (
-        hashed.join(F.broadcast(share), "sensor_type")  # one row per sensor type
-        .where(F.col("_h") <= F.col("_share") * F.lit(float(1 << 40)))
-        .withColumn("_r", rank)
-        .where(F.col("_r") <= pool)
-    )
-    # every tree takes the smallest hashes of its own; a threshold leaves about three times its sample to be ranked
-    enough = (3.0 * params.forest_samples + 100) / F.least(F.col("_n"), F.lit(pool)) * float(1 << 40)
+    sizes = features.groupBy("sensor_type").agg(F.count("*").alias("_n"))
+    limit = F.least(F.lit(1.0), (3.0 * params.forest_samples + 100) / F.col("_n")) * float(1 << 40)
+    trees = F.sequence(F.lit(0), F.lit(params.forest_trees - 1))
+    row = F.xxhash64("sensor_id", "cell", F.lit(params.forest_seed))
+    draw = lambda t: F.pmod(F.xxhash64("_h", t), F.lit(1 << 40))
     dealt = (
-        pooled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(params.forest_trees - 1))))
-        .withColumn("_t", F.pmod(F.xxhash64("_h", "tree"), F.lit(1 << 40)))
-        .where(F.col("_t") <= enough)
+        features.withColumn("_h", row)
+        .join(F.broadcast(sizes.select("sensor_type", limit.alias("_limit"))), "sensor_type")  # one row per sensor type
+        .withColumn("tree", F.explode(F.filter(trees, lambda t: draw(t) <= F.col("_limit"))))
+        .withColumn("_t", draw(F.col("tree")))
     )
     pick = F.row_number().over(W.partitionBy("sensor_type", "tree").orderBy("_t", "sensor_id", "cell"))
     return dealt.withColumn("_k", pick).where(F.col("_k") <= params.forest_samples)

@@ -302,6 +302,13 @@ def node_assets(nodes: DataFrame, box: Box) -> DataFrame:
     )
 
 
+def _first_names(ways: dict, before: list[tuple[int, bool]], first: int, behind: list[tuple[int, bool]]) -> list[str]:
+    """Names of a chain without repeats: where a name occurs on both sides, that behind the first way stays."""
+    later = list(dict.fromkeys(n for i in (first, *(i for i, _ in behind)) if (n := ways[i].name)))
+    outward = list(dict.fromkeys(n for i, _ in reversed(before) if (n := ways[i].name) and n not in later))
+    return outward[::-1] + later
+
+
 def merge_chains(ways: DataFrame) -> DataFrame:
     """Bridge ways (id, bridge_class, nodes, coords, name) of one class that share end nodes, as one line each.
 
@@ -326,36 +333,49 @@ def merge_chains(ways: DataFrame) -> DataFrame:
     edges = touching.join(lowest, ["bridge_class", "end"]).where("id <> dst").select(F.col("id").alias("src"), "dst")
     component = connected_components(ends.select("id"), edges)
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = {r.id: r for r in pdf.itertuples()}
-        out = []
-        while left:
-            seed = left.pop(min(left))
-            ids, names = [seed.id], [n for n in [seed.name] if n]
-            line, at = list(seed.coords), {"tail": seed.tail, "head": seed.head}
-            for side in ("tail", "head"):
-                while True:
-                    touching_ids = [i for i, r in left.items() if at[side] in (r.head, r.tail)]
-                    if not touching_ids:
-                        break
-                    way = left.pop(min(touching_ids))
-                    forward = (way.head if side == "tail" else way.tail) == at[side]
-                    points = list(way.coords) if forward else list(way.coords)[::-1]
-                    far = (way.tail if side == "tail" else way.head) if forward else (way.head if side == "tail" else way.tail)
-                    at[side] = far
-                    new = [way.name] if way.name and way.name not in names else []
-                    if side == "tail":
-                        line, ids, names = line + points[1:], ids + [way.id], names + new
-                    else:
-                        line, ids, names = points[:-1] + line, [way.id] + ids, new + names
-            out.append((min(ids), seed.bridge_class, ids, line, names))
-        return pd.DataFrame(out, columns=["chain_id", "bridge_class", "way_ids", "coords", "names"])
+    def chains(pdf: pd.DataFrame) -> pd.DataFrame:
+        ways = {r.id: r for r in pdf.sort_values("id").itertuples()}
+        at_node: dict[str, list[int]] = {}
+        for way in reversed(ways.values()):  # the lowest id of a node is the last of its list
+            for node in {way.head, way.tail}:
+                at_node.setdefault(node, []).append(way.id)
+        free = dict.fromkeys(ways)
+
+        def walk(node: str) -> list[tuple[int, bool]]:
+            """Free ways from a node onwards, each with whether it is walked from its head to its tail."""
+            steps = []
+            while True:
+                here = at_node[node]
+                while here and here[-1] not in free:
+                    here.pop()
+                if not here:
+                    return steps
+                way = ways[here.pop()]
+                del free[way.id]
+                ahead = way.head == node
+                node = way.tail if ahead else way.head
+                steps.append((way.id, ahead))
+
+        found = []
+        while free:
+            first = ways[next(iter(free))]
+            del free[first.id]
+            behind = walk(first.tail)
+            before = [(i, not way_ahead) for i, way_ahead in reversed(walk(first.head))]
+            path = [*before, (first.id, True), *behind]
+            line: list = []
+            for i, way_ahead in path:
+                points = list(ways[i].coords) if way_ahead else list(ways[i].coords)[::-1]
+                line += points[1:] if line else points
+            ids = [i for i, _ in path]
+            found.append((min(ids), first.bridge_class, ids, line, _first_names(ways, before, first.id, behind)))
+        return pd.DataFrame(found, columns=["chain_id", "bridge_class", "way_ids", "coords", "names"])
 
     schema = (
         "chain_id bigint, bridge_class string, way_ids array<bigint>, coords array<struct<lon:double,lat:double>>, "
         "names array<string>"
     )
-    return ends.join(component, "id").groupBy("component").applyInPandas(order, schema)
+    return ends.join(component, "id").groupBy("component").applyInPandas(chains, schema)
 
 
 def one_to_one(pairs: DataFrame, left: str, right: str, distance: str = "distance") -> DataFrame:

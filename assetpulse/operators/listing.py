@@ -166,10 +166,16 @@ def sensor_list(status: DataFrame, assets: DataFrame, anomalies: DataFrame, as_o
     )
 
 
-def reading_history(scored: DataFrame, sensor_id: str, start, end, limit: int = 5000) -> DataFrame:
-    """Readings of one sensor in a closed range, oldest first; the row limit is part of the request."""
-    rows = scored.where((F.col("sensor_id") == sensor_id) & F.col("ts").between(F.lit(start), F.lit(end)))
-    return rows.orderBy("ts").limit(limit)
+def reading_history(scored: DataFrame, sensor_id: str, start, end, limit: int | None = None) -> DataFrame:
+    """Readings of one sensor in a closed range, oldest first.
+
+    A limit is part of the request; its rows then say in ``truncated`` whether more were found.
+    """
+    rows = scored.where((F.col("sensor_id") == sensor_id) & F.col("ts").between(F.lit(start), F.lit(end))).orderBy("ts")
+    if limit is None:
+        return rows
+    some = rows.limit(limit + 1)
+    return some.limit(limit).join(some.agg((F.count("*") > limit).alias("truncated")), how="cross").orderBy("ts")
 
 
 def reading_columns(cells: DataFrame, axis: TimeAxis, first: int, last: int) -> DataFrame:
@@ -222,13 +228,18 @@ def head_from_params(sensors: DataFrame, params_json: str) -> DataFrame:
     return sensors.withColumn("_b", found).select("*", "_b.*").drop("_b")
 
 
-def recent(anomalies: DataFrame, key: str, n: int) -> DataFrame:
-    """Newest ``n`` anomalies per key, as an ordered array of records.
+def recent(anomalies: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """Newest ``n`` anomalies per key (all without ``n``), as an ordered array of records.
 
     ``n`` is part of the request. Ranking per (key, day) first keeps a key with very many anomalies from being sorted
     by one task: only n rows per key and day reach the final ranking.
     """
     order = [F.desc("started_at"), F.asc("anomaly_id")]
+    if n is None:
+        record = F.struct((-F.unix_micros("started_at")).alias("_r"), "anomaly_id", "severity", "started_at", "ended_at")
+        return anomalies.groupBy(key).agg(F.array_sort(F.collect_list(record)).alias("_l")).select(
+            key, F.transform("_l", lambda e: e.dropFields("_r")).alias("recent_anomalies")
+        )
     daily = W.partitionBy(key, F.to_date("started_at")).orderBy(*order)
     few = anomalies.withColumn("_r", F.row_number().over(daily)).where(F.col("_r") <= n)
     final = W.partitionBy(key).orderBy(*order)

@@ -16,20 +16,31 @@ def median(value: Column) -> Column:
     return F.percentile(value, F.lit(0.5))
 
 
-def grouped_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
+def grouped_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str, accuracy: int = ACCURACY) -> DataFrame:
     """Exact interpolated quantile per group for groups of any size: ``keys``, ``n``, ``out``.
 
-    A mergeable quantile sketch first brackets the wanted rank with a guaranteed rank error. The second pass counts
-    what lies below the bracket and keeps only the distinct values inside it (all of a group of up to 10,000 rows,
-    about n / 1,000 of a larger one), both
-    with map-side combination, so no task ever holds a whole group.
+    A mergeable quantile sketch first brackets the wanted rank. The second pass counts what lies below the bracket and
+    keeps only the distinct values inside it (all of a group of up to ``accuracy`` rows, about 8 / ``accuracy`` of a larger
+    one), both with map-side combination, so no task ever holds a whole group. The counts tell whether the bracket holds
+    the wanted ranks; groups where it does not are done again with the bracket ten times and then without bound.
     """
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).alias("_v"))
-    eps = 4.0 / ACCURACY  # sketch error plus the at most two ranks between rank definitions once n > ACCURACY
-    small = F.count("*") <= ACCURACY
-    near = F.percentile_approx("_v", [max(q - eps, 0.0), min(q + eps, 1.0)], ACCURACY)
+    eps = 4.0 / accuracy  # sketch error plus the at most two ranks between rank definitions once n > accuracy
+    found = _in_bracket(rows, keys, q, eps, accuracy)
+    good = found.where("_ok")
+    for wider in (10 * eps, 1.0):
+        again = rows.join(found.where("NOT _ok").select(*keys), keys, "left_semi")
+        found = _in_bracket(again, keys, q, wider, accuracy)
+        good = good.union(found.where("_ok"))
+    return good.select(*keys, "n", F.col("_q").alias(out))
+
+
+def _in_bracket(rows: DataFrame, keys: list[str], q: float, eps: float, accuracy: int) -> DataFrame:
+    """(keys, n, _q, _ok): the quantile from the values within eps of its rank, and whether its ranks lie among them."""
+    near = F.percentile_approx("_v", [max(q - eps, 0.0), min(q + eps, 1.0)], accuracy)
+    whole = (F.count("*") <= accuracy) if eps < 1 else F.lit(True)
     bracket = rows.groupBy(*keys).agg(
-        F.when(small, F.array(F.min("_v"), F.max("_v"))).otherwise(near).alias("_b"), F.count("*").alias("n")
+        F.when(whole, F.array(F.min("_v"), F.max("_v"))).otherwise(near).alias("_b"), F.count("*").alias("n")
     )
     inside = (
         rows.join(bracket, keys)
@@ -41,14 +52,19 @@ def grouped_quantile(df: DataFrame, keys: list[str], value: str, q: float, out:
     place = (F.col("n") - 1) * q
     low, high = F.floor(place), F.ceil(place)
     share = place - low
+    below = F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0))
     return (
         inside.withColumn("_upto", upto)
         .groupBy(*keys, "n")
         .agg(
             F.min(F.when(F.col("_upto") > low, F.col("_v"))).alias("_lo"),
             F.min(F.when(F.col("_upto") > high, F.col("_v"))).alias("_hi"),
+            below.alias("_below"), F.max("_upto").alias("_upto"),
+        )
+        .select(
+            *keys, "n", (F.col("_lo") * (1.0 - share) + F.col("_hi") * share).alias("_q"),
+            ((F.col("_below") <= low) & (F.col("_upto") > high)).alias("_ok"),
         )
-        .select(*keys, "n", (F.col("_lo") * (1.0 - share) + F.col("_hi") * share).alias(out))
     )
 
 

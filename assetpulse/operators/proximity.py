@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules
-from ..functions.geometry import haversine, point_to_segment, segments
+from ..functions.geometry import haversine, point_in_ring, point_to_segment, segments
 from ..functions.rounding import round_up
 from ..params import EARTH_RADIUS_M
 from ..session import materialize
@@ -27,41 +27,45 @@ class Buckets:
         self.height = max(radius_m, 0.001) / DEGREE_M * 1.001
         self.whole = self.height > WHOLE_GLOBE_DEGREES
 
-    def _width(self, band: Column) -> Column:
-        far = F.least((F.abs(band) + 1) * self.height, F.lit(89.0))
-        return F.lit(self.height) / F.cos(F.radians(far))
+    def _columns(self, band: Column) -> Column:
+        """Columns of a band, a whole number around the globe; one where the band comes near a pole."""
+        far = (F.abs(band + 0.5) + 0.5) * self.height
+        fit = F.floor(F.lit(360.0 / self.height) * F.cos(F.radians(F.least(far, F.lit(89.0)))))
+        return F.when(far >= 89.0, F.lit(1)).otherwise(F.greatest(fit, F.lit(1))).cast("bigint")
+
+    def _column(self, lon: Column, band: Column) -> Column:
+        """Number of a column counted eastward from 180 degrees, before it is wrapped."""
+        return F.floor((lon + 180.0) / 360.0 * self._columns(band))
 
     def of(self, lon: Column, lat: Column) -> Column:
         if self.whole:
             return F.struct(F.lit(0).cast("bigint").alias("cx"), F.lit(0).cast("bigint").alias("cy"))
         band = F.floor(lat / self.height)
-        return F.struct(F.floor(lon / self._width(band)).alias("cx"), band.alias("cy"))
+        return F.struct(F.pmod(self._column(lon, band), self._columns(band)).alias("cx"), band.alias("cy"))
 
     def reach(self, west: Column, south: Column, east: Column, north: Column) -> Column:
-        """Array of buckets that may hold a point within the radius of the box."""
+        """Array of buckets that may hold a point within the radius of the box, across 180 degrees and the poles too."""
         if self.whole:
             return F.array(self.of(west, south))
-        top = F.least(F.greatest(F.abs(south), F.abs(north)) + 2 * self.height, F.lit(89.9))
-        side = F.lit(self.height) / F.cos(F.radians(top))
+        top = F.greatest(F.abs(south), F.abs(north)) + 2 * self.height
+        side = F.when(top >= 89.0, F.lit(180.0)).otherwise(F.lit(self.height) / F.cos(F.radians(F.least(top, F.lit(89.0)))))
         bands = F.sequence(F.floor(south / self.height) - 1, F.floor(north / self.height) + 1)
-        return F.flatten(
-            F.transform(
-                bands,
-                lambda b: F.transform(
-                    F.sequence(F.floor((west - side) / self._width(b)), F.floor((east + side) / self._width(b))),
-                    lambda x: F.struct(x.alias("cx"), b.alias("cy")),
-                ),
-            )
-        )
+
+        def columns(b: Column) -> Column:
+            first, last, n = self._column(west - side, b), self._column(east + side, b), self._columns(b)
+            last = F.least(last, first + n - 1)
+            return F.transform(F.sequence(first, last), lambda x: F.struct(F.pmod(x, n).alias("cx"), b.alias("cy")))
+
+        return F.flatten(F.transform(bands, columns))
 
 
 def salted_bucket_join(probe: DataFrame, build: DataFrame, on: list[str], salt_rows: int = SALT_ROWS) -> DataFrame:
     """Inner join on bucket columns with crowded build buckets cut into salted parts.
 
-    Crowded buckets are those above ``salt_rows`` build rows; there are at most (build rows / salt_rows) of them,
-    which bounds the broadcast. Probe rows of such a bucket visit every part.
+    Crowded buckets are those above ``salt_rows`` build rows; there are at most (build rows / salt_rows) of them. Probe
+    rows of such a bucket visit every part.
     """
-    crowded = F.broadcast(
+    crowded = (
         build.groupBy(*on)
         .agg(F.count("*").alias("_n"))
         .where(F.col("_n") > salt_rows)
@@ -278,13 +282,44 @@ def points_near_lines(points: DataFrame, lines: DataFrame, radius_m: float) -> D
     )
 
 
-def sensors_in_asset_areas(sensors: DataFrame, areas: DataFrame, buffer_m: float = 25.0) -> DataFrame:
-    """Sensors within ``max(buffer, 0)`` metres of an asset's line or outline (asset_id, coords), neighbours' included."""
-    near = points_near_lines(
-        sensors.select(F.col("sensor_id").alias("point_id"), "lon", "lat"),
-        areas.select(F.col("asset_id").alias("line_id"), "coords"),
-        max(buffer_m, 0.0),
+def points_in_rings(points: DataFrame, rings: DataFrame) -> DataFrame:
+    """(line_id, point_id) for points inside the closed rings among (line_id, coords).
+
+    A ring is looked up on the level of a quadrupling grid whose cells are at least as large as its bounding box, so it
+    meets at most four cells; a point has one cell on each of the ten levels. The cell's candidates are tested exactly.
+    """
+    levels = 10
+    x, y = F.transform("coords", lambda p: p["lon"]), F.transform("coords", lambda p: p["lat"])
+    closed_ring = (F.size("coords") >= 4) & (F.element_at("coords", 1) == F.element_at("coords", -1))
+    boxed = rings.where(closed_ring).select(
+        "line_id", "coords", F.array_min(x).alias("x0"), F.array_max(x).alias("x1"), F.array_min(y).alias("y0"), F.array_max(y).alias("y1")
     )
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(0.001))
+    level = F.least(F.ceil(F.log(4.0, extent / 0.001) - 1e-9), F.lit(levels - 1)).cast("int")
+    size = F.lit(0.001) * F.pow(F.lit(4.0), F.col("level"))
+    cell = lambda c: F.floor(c / size)
+    met = (
+        boxed.withColumn("level", level)
+        .withColumn("cx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1")))))
+        .withColumn("cy", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1")))))
+        .select("line_id", "coords", "level", "cx", "cy")
+    )
+    placed = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).select(
+        "point_id", "lon", "lat", "level", cell(F.col("lon")).alias("cx"), cell(F.col("lat")).alias("cy")
+    )
+    return met.join(placed, ["level", "cx", "cy"]).where(point_in_ring(F.col("lon"), F.col("lat"), F.col("coords"))).select("line_id", "point_id")
+
+
+def sensors_in_asset_areas(sensors: DataFrame, areas: DataFrame, buffer_m: float = 25.0) -> DataFrame:
+    """Sensors within ``max(buffer, 0)`` metres of an asset's line or area (asset_id, coords), neighbours' included.
+
+    A closed ring is an area; a sensor inside it has distance 0.
+    """
+    points = sensors.select(F.col("sensor_id").alias("point_id"), "lon", "lat")
+    shapes = areas.select(F.col("asset_id").alias("line_id"), "coords")
+    inside = points_in_rings(points, shapes).withColumn("distance", F.lit(0.0))
+    near = points_near_lines(points, shapes, max(buffer_m, 0.0)).select("line_id", "point_id", "distance").union(inside)
+    near = near.groupBy("line_id", "point_id").agg(F.min("distance").alias("distance"))
     return near.join(
         sensors.select(F.col("sensor_id").alias("point_id"), F.col("asset_id").alias("host_asset_id"), "sensor_type", "placement"),
         "point_id",

@@ -11,10 +11,11 @@ from ..functions.rounding import round_even
 from ..functions.rules import recency_weight, risk_level, severity_weight
 from ..functions.timeaxis import TimeAxis, hours_between
 from ..params import MAX_RISK_AGE_HOURS, MIN_STORED_RISK, RISK_LEVELS, Params
+from ..session import materialize
 from .asof import zero_filled
 from .grid import axis_frame, expand_intervals
 
-KERNEL_CUT = 1e-9  # a term below this share of the strongest weight cannot move a score at two decimals
+NEGLIGIBLE = 1e-9  # what all terms beyond the reach of the kernel may add to a score of two decimals
 
 
 def hex_cover(spark, box: tuple[float, float, float, float], edge: float) -> DataFrame:
@@ -128,14 +129,16 @@ def reachable_cells(x: Column, y: Column, radius: float, edge: float) -> Column:
 def risk_surface(cells: DataFrame, anomalies: DataFrame, axis: TimeAxis, params: Params) -> DataFrame:
     """Sparse (cell_id, step, risk_score, risk_level, anomaly_count) with scores of at least 0.5.
 
-    Cells carry their centre (x, y). A place reaches only the cells inside the radius beyond which its term is
-    negligible, found by index arithmetic and an equality join.
+    Cells carry their centre (x, y). A place reaches only the cells inside a radius, found by index arithmetic and an
+    equality join. The radius follows from the data: with all weights of the heaviest step at that distance, the terms left
+    out still sum to less than NEGLIGIBLE.
     """
     b, edge = params.risk_bandwidth_m, params.hex_edge_m
-    radius = b * math.sqrt(-2.0 * math.log(KERNEL_CUT)) + edge
-    places = place_weights(anomalies, axis, params)
+    places = materialize(place_weights(anomalies, axis, params), "risk-places")
+    heaviest = places.groupBy("step").agg(F.sum("w").alias("w")).agg(F.max("w")).first()[0] or 0.0
+    radius = b * math.sqrt(2.0 * max(0.0, math.log(max(heaviest, 1e-300) * 100.0 / params.risk_reference / NEGLIGIBLE))) + edge
     # which cells a place reaches does not depend on the step: join places with cells once, then the steps
-    spots = anomalies.select("x", "y").distinct()
+    spots = places.select("x", "y").distinct()
     spread = (
         spots.withColumn("n", F.explode(reachable_cells(F.col("x"), F.col("y"), radius, edge)))
         .select("x", "y", "n.i", "n.j")

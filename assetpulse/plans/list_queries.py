@@ -41,7 +41,7 @@ def anomaly_display(p: Plant) -> DataFrame:
 
 @query
 def anomaly_display_order(p: Plant) -> DataFrame:
-    return listing.display_order(p.anomalies, as_of(p)).limit(20).select("anomaly_id", "severity", "started_at")
+    return listing.display_order(p.anomalies, as_of(p)).select("anomaly_id", "severity", "started_at")
 
 
 def _summary(p: Plant) -> DataFrame:
@@ -85,7 +85,7 @@ def reading_history(p: Plant) -> DataFrame:
     top = p.readings.groupBy("sensor_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "sensor_id").first()
     from datetime import datetime
 
-    h = listing.reading_history(simple_scores(p), top.sensor_id, datetime(2024, 1, 3), datetime(2024, 1, 25), 5000)
+    h = listing.reading_history(simple_scores(p), top.sensor_id, datetime(2024, 1, 3), datetime(2024, 1, 25))
     return h.select("sensor_id", "ts", "value", "flagged")
 
 
@@ -115,8 +115,9 @@ def sensor_head(p: Plant) -> DataFrame:
 
 @query
 def asset_detail(p: Plant) -> DataFrame:
-    """Monitored assets with their sensors and three newest anomalies."""
-    d = listing.asset_detail(_summary(p).where("monitored"), p.sensors, p.anomalies, 3)
+    """Monitored assets with their sensors and the ten newest anomalies that have begun at as_of."""
+    visible = p.anomalies.where(F.col("started_at") <= F.lit(as_of(p)))
+    d = listing.asset_detail(_summary(p).where("monitored"), p.sensors, visible)
     return d.select(
         "asset_id", "status",
         F.array_join(F.transform("sensors", lambda s: s["sensor_id"]), ",").alias("sensors"),
@@ -126,9 +127,9 @@ def asset_detail(p: Plant) -> DataFrame:
 
 @query
 def sensor_detail(p: Plant) -> DataFrame:
-    """Sensors with limits, baseline and their two newest anomalies."""
+    """Sensors with limits, baseline and all their anomalies, newest first."""
     head = listing.sensor_head(p.sensors, p.thresholds, baseline.sensor_baselines(plain_scores(p)))
-    d = head.join(listing.recent(p.anomalies, "sensor_id", 2), "sensor_id", "left")
+    d = head.join(listing.recent(p.anomalies, "sensor_id"), "sensor_id", "left")
     return d.select(
         "sensor_id", "warn_high", "scale", F.array_join(F.transform("recent_anomalies", lambda a: a["anomaly_id"]), ",").alias("recent")
     )

@@ -33,7 +33,7 @@ WHERE a <= now.step AND b < now.step AND severity IN ('low', 'critical')
 """)
 oracle("anomaly_display_order", """
 SELECT anomaly_id, severity, s_us AS started_at FROM an, now
-ORDER BY (s_us <= now.us AND e_us >= now.us) DESC, rk DESC, s_us DESC, anomaly_id LIMIT 20
+ORDER BY (s_us <= now.us AND e_us >= now.us) DESC, rk DESC, s_us DESC, anomaly_id
 """)
 cte("sm", """
 SELECT a.*, coalesce(s.c, 0) AS sensor_count, coalesce(s.t, '') AS sensor_types, coalesce(s.c, 0) > 0 AS monitored,
@@ -94,7 +94,8 @@ FROM sn s JOIN th ON th.sensor_type = s.sensor_type AND th.placement = s.placeme
 oracle("sensor_head", "SELECT * FROM hd")
 cte("ra", """
 SELECT asset_id, string_agg(anomaly_id, ',' ORDER BY s_us DESC, anomaly_id) AS ids FROM (
-  SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY s_us DESC, anomaly_id) AS rn FROM an) WHERE rn <= 3 GROUP BY 1
+  SELECT an.*, row_number() OVER (PARTITION BY asset_id ORDER BY s_us DESC, anomaly_id) AS rn FROM an, now WHERE s_us <= now.us)
+WHERE rn <= 10 GROUP BY 1
 """)
 oracle("asset_detail", """
 SELECT sm.asset_id, sm.status, (SELECT string_agg(sensor_id, ',' ORDER BY sensor_id) FROM sn WHERE sn.asset_id = sm.asset_id)
@@ -102,9 +103,7 @@ SELECT sm.asset_id, sm.status, (SELECT string_agg(sensor_id, ',' ORDER BY sensor
 """)
 oracle("sensor_detail", """
 SELECT hd.sensor_id, hd.warn_high, hd.scale, r.ids AS recent FROM hd LEFT JOIN (
-  SELECT sensor_id, string_agg(anomaly_id, ',' ORDER BY s_us DESC, anomaly_id) AS ids FROM (
-    SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY s_us DESC, anomaly_id) AS rn FROM an)
-  WHERE rn <= 2 GROUP BY 1) r ON r.sensor_id = hd.sensor_id
+  SELECT sensor_id, string_agg(anomaly_id, ',' ORDER BY s_us DESC, anomaly_id) AS ids FROM an GROUP BY 1) r ON r.sensor_id = hd.sensor_id
 """)
 oracle("anomaly_detail", f"""
 SELECT an.anomaly_id, an.severity, coalesce(string_agg(n.near_id, ',' ORDER BY n.dm, n.near_id), '') AS nearby

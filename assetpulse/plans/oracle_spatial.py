@@ -229,8 +229,7 @@ def dbscan(name: str, points: str, eps_m: float, eps_s: float, minimum: int) ->
 
 
 dbscan("db_st", "SELECT anomaly_id AS id, x, y, s_us / 1e6 AS s, e_us / 1e6 AS e FROM un", 200.0, 48 * 3600.0, 3)
-dbscan("db_em", """SELECT vec_id AS id, embedding[1]::DOUBLE * 1000 AS x, embedding[2]::DOUBLE * 1000 AS y,
-                   0.0 AS s, 0.0 AS e FROM embeddings""", 12.0, 3600.0, 3)
+dbscan("db_em", "SELECT asset_id AS id, lon * 1000 AS x, lat * 1000 AS y, 0.0 AS s, 0.0 AS e FROM assets", 0.3, 3600.0, 3)
 dbscan("db_sp", "SELECT anomaly_id AS id, x, y, 0.0 AS s, 0.0 AS e FROM un", 60.0, 3600.0, 3)
 oracle("dbscan_space_time", "SELECT id, label FROM db_st")
 oracle("dbscan_space", "SELECT id, label FROM db_em")

@@ -44,12 +44,11 @@ def run_detection(
     axis = TimeAxis.of(readings, params.step_s)
     flags = materialize(flag_readings(score_readings(readings, sensors, axis, params), thresholds, params), "flags")
     found = events.number_anomalies(events.with_explanation(events.find_events(flags, axis, params)))
-    sinks.replace_run(sinks.score_rows(flags, run_id), f"{out}/reading_scores")
-    sinks.replace_run(sinks.anomaly_rows(found, sensors, run_id), f"{out}/anomalies")
-    sinks.replace_run(sensor_baselines(flags).withColumn("run_id", F.lit(run_id)), f"{out}/sensor_baselines")
-    n = spark.read.parquet(f"{out}/anomalies").where(F.col("run_id") == run_id).count()
+    sinks.replace_run(sinks.score_rows(flags, run_id), f"{out}/reading_scores", run_id)
+    n = sinks.replace_run(sinks.anomaly_rows(found, sensors, run_id), f"{out}/anomalies", run_id)
+    sinks.replace_run(sensor_baselines(flags).withColumn("run_id", F.lit(run_id)), f"{out}/sensor_baselines", run_id)
     record = sinks.run_record(run_parameters(params, axis), spark, run_id, axis, flags.count(), n)
-    sinks.replace_run(record, f"{out}/detection_runs")
+    sinks.replace_run(record, f"{out}/detection_runs", run_id)
     return axis
 
 
@@ -79,18 +78,18 @@ def run_analysis(
     labels = cluster.dbscan(points, params.cluster_eps_m, params.cluster_eps_hours, params.cluster_min_points)
     members = materialize(cluster.keep_clusters(points.join(labels, "id"), params.cluster_min_sensors), "members")
     stats = cluster.cluster_statistics(members).join(cluster.cluster_hulls(members), "cluster_id", "left")
-    sinks.replace_run(stats.withColumn("run_id", F.lit(run_id)), f"{out}/anomaly_clusters")
-    sinks.replace_run(members.select(F.col("id").alias("anomaly_id"), "cluster_id", F.lit(run_id).alias("run_id")), f"{out}/cluster_members")
+    sinks.replace_run(stats.withColumn("run_id", F.lit(run_id)), f"{out}/anomaly_clusters", run_id)
+    sinks.replace_run(members.select(F.col("id").alias("anomaly_id"), "cluster_id", F.lit(run_id).alias("run_id")), f"{out}/cluster_members", run_id)
 
     place = sensors.select(utm_xy(F.col("lon"), F.col("lat"), central_meridian).alias("u"))
     box = tuple(place.agg(F.min("u.x"), F.min("u.y"), F.max("u.x"), F.max("u.y")).first())
     cells = risk.hex_cover(spark, box, params.hex_edge_m)
     surface = risk.risk_surface(cells, placed, axis, params)
-    sinks.replace_run(sinks.risk_rows(surface, run_id), f"{out}/risk_zone_scores")
+    sinks.replace_run(sinks.risk_rows(surface, run_id), f"{out}/risk_zone_scores", run_id)
 
     scored = asof.with_scores(readings, scores)
     series = asof.sensor_status_series(sensors, thresholds, scored, placed, axis)
-    sinks.replace_run(health.asset_health(series, placed, axis, params).withColumn("run_id", F.lit(run_id)), f"{out}/asset_health")
+    sinks.replace_run(health.asset_health(series, placed, axis, params).withColumn("run_id", F.lit(run_id)), f"{out}/asset_health", run_id)
 
 
 def register_views(assets: DataFrame, sensors: DataFrame, readings: DataFrame, anomalies: DataFrame, asset_health: DataFrame) -> None:

@@ -197,17 +197,17 @@ def dbscan_space_time(p: Plant) -> DataFrame:
     return cluster.dbscan(space_time_points(p), pr.cluster_eps_m, pr.cluster_eps_hours, pr.cluster_min_points)
 
 
+#: thousandths of a degree between neighbours of a dense place
+DENSE_EPS = 0.3
+
+
 @query
 def dbscan_space(p: Plant) -> DataFrame:
-    """Density clusters of the first two embedding components, no time."""
-    points = p.table("embeddings").select(
-        F.col("vec_id").alias("id"),
-        (F.element_at("embedding", 1).cast("double") * 1000).alias("x"),
-        (F.element_at("embedding", 2).cast("double") * 1000).alias("y"),
-        F.lit(0.0).alias("s"),
-        F.lit(0.0).alias("e"),
+    """Density clusters of all assets by place, no time."""
+    points = p.assets.select(
+        F.col("asset_id").alias("id"), (F.col("lon") * 1000).alias("x"), (F.col("lat") * 1000).alias("y"), F.lit(0.0).alias("s"), F.lit(0.0).alias("e")
     )
-    return cluster.dbscan(points, 12.0, 1.0, 3)
+    return cluster.dbscan(points, DENSE_EPS, 1.0, 3)
 
 
 @query

@@ -16,9 +16,15 @@ def append(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> int:
     return int(seen.get["n"])
 
 
-def replace_run(df: DataFrame, path: str) -> None:
-    """Replace the partitions of the runs in ``df`` (column ``run_id``) and leave other runs alone."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+def replace_run(df: DataFrame, path: str, run_id: int) -> int:
+    """Replace the rows of a run (column ``run_id``), also by none, leave other runs alone, and return how many were written.
+
+    The run's partition goes first, so a rerun that finds nothing leaves nothing. ``df`` must not read from ``path``.
+    """
+    spark = df.sparkSession
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run_id={run_id}")
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return append(df.where(F.col("run_id") == run_id), path, ("run_id",))
 
 
 def clear_runs(paths: list[str], df: DataFrame) -> None:

@@ -117,17 +117,24 @@ def test_grouped_quantile_is_exact(spark, n, q):
     assert got.n == n and got.m == pytest.approx(want, rel=1e-12)
 
 
-def test_moving_level_and_huber():
+def test_decayed_means_and_peer_coefficients():
     import numpy as np
 
-    out = baseline.moving_level(np.array([5.0, np.nan, 1.0, 1.0]), 24.0, 1.0)
+    out = baseline.decayed_means(np.array([5.0, np.nan, 1.0, 1.0]), 24.0, 1.0)
     a = 1 - np.exp(-1 / 24)
     assert out == pytest.approx([0, 0, a, a + a * (1 - a)])
+    values = np.random.default_rng(1).normal(size=1000)
+    values[::7] = np.nan
+    level, want = 0.0, []
+    for i, v in enumerate(values):
+        level = level if i == 0 or np.isnan(v) else (1 - a) * level + a * v
+        want.append(level)
+    assert baseline.decayed_means(values, 24.0, 1.0) == pytest.approx(want)
     x = np.column_stack([np.arange(50.0), np.ones(50)])
     y = x @ np.array([2.0, -1.0])
     y[::10] += 500
-    assert baseline.huber(x, y) == pytest.approx([2.0, -1.0], abs=0.05)
-    assert (baseline.huber(x[:2], y[:2]) == 0).all()
+    assert baseline.peer_coefficients(x, y) == pytest.approx([2.0, -1.0], abs=0.05)
+    assert (baseline.peer_coefficients(x[:2], y[:2]) == 0).all()
 
 
 def test_peer_adjustment_removes_what_a_class_shares(spark):

@@ -122,10 +122,12 @@ def test_boundaries_become_multipolygons(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     path = str(tmp_path / "runs")
     df = spark.range(10).withColumn("run_id", F.lit(1))
-    sinks.replace_run(df, path)
-    sinks.replace_run(spark.range(3).withColumn("run_id", F.lit(2)), path)
-    sinks.replace_run(spark.range(4).withColumn("run_id", F.lit(1)), path)
+    assert sinks.replace_run(df, path, 1) == 10
+    sinks.replace_run(spark.range(3).withColumn("run_id", F.lit(2)), path, 2)
+    sinks.replace_run(spark.range(4).withColumn("run_id", F.lit(1)), path, 1)
     assert {(r.run_id, r["count"]) for r in spark.read.parquet(path).groupBy("run_id").count().collect()} == {(1, 4), (2, 3)}
+    assert sinks.replace_run(df.limit(0), path, 1) == 0  # a rerun that finds nothing leaves nothing
+    assert {(r.run_id, r["count"]) for r in spark.read.parquet(path).groupBy("run_id").count().collect()} == {(2, 3)}
     assert sinks.append(spark.range(7), str(tmp_path / "a")) == 7
     out = str(tmp_path / "g")
     rows = spark.createDataFrame([("x", 1.5, 2.5, None)], "id string, lon double, lat double, name string")

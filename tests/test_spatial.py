@@ -207,3 +207,45 @@ def test_clip_parts(spark):
     assert got[3].clipped[0].lon == -100.0 and got[3].was_clipped
     assert got[4].parts == 2 and got[4].length_m == pytest.approx(hav((-99.992, 37.01), (-99.992, 37.001)), abs=0.1)
     assert got[4].dropped_m == pytest.approx(hav((-99.998, 37.005), (-99.998, 37.01)), abs=0.1)
+
+
+def test_within_crosses_the_date_line_and_the_poles(spark):
+    """Equal to the cross join also where longitudes wrap."""
+    import random
+
+    from assetpulse.functions.geometry import haversine
+    from assetpulse.operators import proximity
+
+    rng = random.Random(5)
+    places = [(rng.choice([179.999, -179.999, 0.0, 90.0]) + rng.uniform(-0.002, 0.0009), rng.choice([0.0, 60.0, 88.9, 89.9995, -89.9995]) + rng.uniform(-0.0004, 0.0004)) for _ in range(120)]
+    df = spark.createDataFrame([(i, max(-180.0, x), y) for i, (x, y) in enumerate(places)], "id int, lon double, lat double")
+    probe = df.selectExpr("id AS pid", "lon AS plon", "lat AS plat")
+    got = {(r.pid, r.id) for r in proximity.within(probe, df, 120.0).collect()}
+    cross = probe.crossJoin(df).where(haversine(F.col("plon"), F.col("plat"), F.col("lon"), F.col("lat")) <= 120.0)
+    want = {(r.pid, r.id) for r in cross.collect()}
+    assert got == want and len(want) > 150
+
+
+def test_sensor_inside_an_area_has_distance_zero(spark):
+    from assetpulse.operators import proximity
+
+    ring = [(10.0, 50.0), (10.014, 50.0), (10.014, 50.009), (10.0, 50.009), (10.0, 50.0)]
+    areas = spark.createDataFrame([("a", ring), ("line", ring[:3])], "asset_id string, coords array<struct<lon:double,lat:double>>")
+    sensors = spark.createDataFrame(
+        [("mid", "a", "t", "p", 10.007, 50.0045), ("edge", "x", "t", "p", 10.0141, 50.004), ("far", "x", "t", "p", 10.02, 50.02)],
+        "sensor_id string, asset_id string, sensor_type string, placement string, lon double, lat double",
+    )
+    got = {(r.asset_id, r.sensor_id): r.distance_m for r in proximity.sensors_in_asset_areas(sensors, areas).collect()}
+    assert got[("a", "mid")] == 0.0 and 0 < got[("a", "edge")] <= 25 and set(got) == {("a", "mid"), ("a", "edge"), ("line", "edge")}
+
+
+def test_quantile_repeats_where_the_bracket_fails(spark, monkeypatch):
+    """A bracket from a useless sketch does not hold the rank; the counts tell, and the group is done again."""
+    from assetpulse.operators import medians
+
+    df = spark.range(5000).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 5003).cast("double").alias("v"))
+    want = {r.k: r.m for r in df.groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("m")).collect()}
+    plain = F.percentile_approx
+    monkeypatch.setattr(medians.F, "percentile_approx", lambda c, q, a: plain(c, [min(1.0, x + 0.3) for x in q], a))
+    got = {r.k: r.m for r in medians.grouped_quantile(df, ["k"], "v", 0.5, "m", accuracy=100).collect()}
+    assert got == pytest.approx(want)
