@@ -387,29 +387,38 @@ def streaming_ingest(p: Plant) -> DataFrame:
     return p.spark.read.parquet(out).select("sensor_id", "ts", "value", "status")
 
 
+def dealt_stream(p: Plant, rows: DataFrame) -> DataFrame:
+    """Rows as a stream of four files in falling order of time, one file per micro-batch."""
+    (folder,) = _paths(p, "dealt")
+    rows.repartitionByRange(4, F.col(rows.columns[1]).desc()).write.parquet(folder)
+    return p.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 @query
 def streaming_cells(p: Plant) -> DataFrame:
     out, state = _paths(p, "out", "state")
-    stream = jobs.cell_windows(_StreamPlant(p).readings, p.axis, "0 seconds")
-    jobs.write_append(stream, out, state).awaitTermination()
-    return p.spark.read.parquet(out)
+    jobs.cells_stream(dealt_stream(p, p.readings), p.axis, out, state).awaitTermination()
+    return jobs.stored_cells(p.spark, out)
 
 
 @query
 def streaming_sessions(p: Plant) -> DataFrame:
-    """Sessions of the flagged steps; the flags are written as files first and read as a stream."""
-    flags, out, state = _paths(p, "flags", "out", "state")
-    rows = plain_flags(p).where("flagged").withColumn("at", p.axis.at(F.col("cell"))).select("sensor_id", "at", "z", "critical")
-    rows.write.parquet(flags)
-    stream = p.spark.readStream.schema(rows.schema).parquet(flags)
-    s = jobs.session_events(stream, p.axis, p.params.merge_gap_steps, p.params.min_flagged, p.params.z_strong, "0 seconds")
-    jobs.write_append(s, out, state).awaitTermination()
-    return p.spark.read.parquet(out)
+    """Sessions of the flagged steps, open ones included."""
+    out, state = _paths(p, "out", "state")
+    axis, params = p.axis, p.params
+    rows = plain_flags(p).where("flagged").withColumn("at", axis.at(F.col("cell"))).select("sensor_id", "at", "z", "critical")
+
+    def sessions(flags: DataFrame) -> DataFrame:
+        return jobs.session_events(flags.dropDuplicates(["sensor_id", "at"]), axis, params.merge_gap_steps, params.min_flagged, params.z_strong)
+
+    jobs.derived_stream(dealt_stream(p, rows), "sensor_id", sessions, out, state).awaitTermination()
+    return jobs.derived(p.spark, "sensor_id", out)
 
 
 @query
 def streaming_offline(p: Plant) -> DataFrame:
+    """When sensors fell silent for twelve hours and came back, and which are silent at the end."""
     out, state = _paths(p, "out", "state")
-    stream = jobs.offline_alerts(_StreamPlant(p).readings, 43200, "0 seconds")
-    jobs.write_append(stream, out, state).awaitTermination()
-    return p.spark.read.parquet(out)
+    interval = 43200
+    jobs.derived_stream(dealt_stream(p, p.readings), "sensor_id", lambda rows: jobs.silent_times(rows, interval), out, state).awaitTermination()
+    return jobs.silences(jobs.derived(p.spark, "sensor_id", out), interval)

@@ -265,8 +265,15 @@ oracle("streaming_cells", "SELECT sensor_id, cell, us AS ts, value FROM gr")
 oracle("streaming_sessions", f"""
 SELECT sensor_id, s0 + min(cell) * {STEP_US} AS started_at, s0 + max(cell) * {STEP_US} AS ended_at, count(*) AS flagged_steps,
        max(abs(z)) AS peak_abs_z, bool_or(critical) AS critical FROM isl, ax
-GROUP BY sensor_id, island, s0 HAVING (max(abs(z)) >= 6 OR count(*) >= 3 OR bool_or(critical))
-   AND max(cell) + 3 < (SELECT max(cell) FROM isl)
+GROUP BY sensor_id, island, s0 HAVING max(abs(z)) >= 6 OR count(*) >= 3 OR bool_or(critical)
+""")
+cte("seen_at", """
+SELECT sensor_id, us, lead(us) OVER (PARTITION BY sensor_id ORDER BY us) AS nxt FROM (SELECT DISTINCT sensor_id, us FROM rd)
+""")
+oracle("streaming_offline", """
+SELECT sensor_id, us AS last_us, 'offline' AS kind FROM seen_at WHERE nxt - us > 43200000000
+UNION ALL SELECT sensor_id, nxt, 'online' FROM seen_at WHERE nxt - us > 43200000000
+UNION ALL SELECT sensor_id, us, 'offline' FROM seen_at WHERE nxt IS NULL AND (SELECT max(us) FROM rd) - us > 43200000000
 """)
 
 oracle("layer_in_box", """

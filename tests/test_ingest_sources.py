@@ -200,3 +200,39 @@ def test_registry_from_hand_made_elements(spark, tmp_path):
     report = {(r.layer, r.action): r.ways for r in gis.layer_report(gis.with_actions(gis.first_of_each(e).where("type = 'way'"), box)).collect()}
     assert report[("building", "dropped_small")] == 1 and report[("building", "dropped_not_closed")] == 1
     assert report[("highway", "skipped_class")] == 1 and report[("highway", "kept")] == 5
+
+
+def test_streams_lose_nothing_when_the_newest_comes_first(spark, tmp_path):
+    """Four files, one per trigger, newest first, the last one with a reading in a gap: equal to the batch forms."""
+    import datetime
+    import os
+
+    from assetpulse.functions.timeaxis import TimeAxis
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(f"s{s}", start + datetime.timedelta(hours=h), float(h)) for s in range(3) for h in (1, 2, 3, 9, 10, 30, 31, 32, 60) if (s, h) != (1, 60)]
+    rows += [("s2", start + datetime.timedelta(minutes=90), 7.5)]
+    rows.sort(key=lambda r: r[1], reverse=True)
+    rows.insert(len(rows), rows.pop(5))
+    schema, feed = "sensor_id string, ts timestamp, value double", str(tmp_path / "feed")
+    os.mkdir(feed)
+    for i in range(4):
+        spark.createDataFrame(rows[i * 7 : i * 7 + 7], schema).coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+        (part,) = [f for f in os.listdir(tmp_path / f"part{i}") if f.startswith("part-")]
+        os.rename(tmp_path / f"part{i}" / part, f"{feed}/{i}.parquet")
+        os.utime(f"{feed}/{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    batch = spark.createDataFrame(rows, schema)
+    axis = TimeAxis.of(batch, 3600)
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    out = [str(tmp_path / n) for n in ("cells", "c1", "offline", "c2", "sessions", "c3")]
+    jobs.cells_stream(read(), axis, out[0], out[1]).awaitTermination()
+    assert sorted(jobs.stored_cells(spark, out[0]).collect()) == sorted(jobs.cell_windows(batch, axis).collect())
+    jobs.derived_stream(read(), "sensor_id", lambda r: jobs.silent_times(r, 18000), out[2], out[3]).awaitTermination()
+    got = sorted(tuple(r) for r in jobs.silences(jobs.derived(spark, "sensor_id", out[2]), 18000).collect())
+    assert got == sorted(tuple(r) for r in jobs.silences(jobs.silent_times(batch, 18000), 18000).collect())
+    assert [k for s, _, k in got if s == "s1"].count("offline") == 3 and [k for s, _, k in got if s == "s0"].count("offline") == 3
+    flagged = lambda r: jobs.session_events(r.selectExpr("sensor_id", "ts AS at", "value AS z", "false AS critical"), axis, 2, 2, 100.0)
+    jobs.derived_stream(read(), "sensor_id", flagged, out[4], out[5]).awaitTermination()
+    assert sorted(jobs.derived(spark, "sensor_id", out[4]).select("sensor_id", "started_at", "ended_at", "flagged_steps").collect()) == sorted(
+        flagged(batch).select("sensor_id", "started_at", "ended_at", "flagged_steps").collect()
+    )
