@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, functions as F
 
-from ..session import materialize
+from ..session import forget, materialize, stored
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = materialize(
         edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct(), "component-edges"
     )
-    pointers = nodes.select("id", F.col("id").alias("f"), F.col("id").alias("g"))
+    pointers, path = nodes.select("id", F.col("id").alias("f"), F.col("id").alias("g")), None
     while True:
         near = (
             both.join(pointers.select(F.col("id").alias("dst"), F.col("g").alias("_g")), "dst")
@@ -42,7 +42,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         moved = lowered.join(parent, "f").observe(
             changed, F.count_if((F.col("f") != F.col("_before")) | (F.col("g") != F.col("_gbefore"))).alias("n")
         )
-        pointers = materialize(moved.select("id", "f", "g"), "component-pointers")
+        before = path
+        pointers, path = stored(moved.select("id", "f", "g"), "component-pointers")
         lowered.unpersist()
+        forget(nodes.sparkSession, before)  # the round before is in the one just written
         if not changed.get["n"]:
             return pointers.select("id", F.col("f").alias("component"))

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rounding import clip, round_even
 from ..functions.rules import asset_status, recency_weight, severity_weight
-from ..functions.timeaxis import TimeAxis, hours_between
+from ..functions.timeaxis import TimeAxis, add_hours, hours_between
 from ..params import ASSET_BANDS, ASSET_STATUS_CHARS, AT_RISK_BELOW, Params
 from .asof import zero_filled
 from .detectors import trailing_median
-from .grid import expand_intervals
+from .grid import expand_intervals, to_cells
+from .medians import median
 
 
 def penalties(weights: Column, weighted: Column, level: Column, silent_share: Column) -> dict[str, Column]:
@@ -34,27 +35,53 @@ def reading_excess(recent_abs_z: Column) -> Column:
 def sensor_part(series: DataFrame, params: Params) -> DataFrame:
     """(asset_id, step): sensors, reporting sensors and the sum of their reading excess."""
     recent = trailing_median(F.abs("z"), params.steps(params.health_reading_hours), cell="step")
+    return _by_asset(series.select("asset_id", "sensor_id", "step", "z", "reporting").withColumn("recent", recent))
+
+
+def _by_asset(rows: DataFrame) -> DataFrame:
+    """Sums over the sensors of an asset at a step, from reporting and the recent level of |z|."""
     excess = F.when(F.col("reporting"), reading_excess(F.coalesce("recent", F.lit(0.0)))).otherwise(0.0)
-    return (
-        series.select("asset_id", "sensor_id", "step", "z", "reporting")
-        .withColumn("recent", recent)
-        .groupBy("asset_id", "step")
-        .agg(
-            F.count("*").alias("sensors_total"),
-            F.count_if("reporting").alias("sensors_reporting"),
-            F.sum(excess).alias("excess"),
-        )
+    return rows.groupBy("asset_id", "step").agg(
+        F.count("*").alias("sensors_total"),
+        F.count_if("reporting").alias("sensors_reporting"),
+        F.sum(excess).alias("excess"),
     )
 
 
+def sensor_part_at(sensors: DataFrame, thresholds: DataFrame, scored: DataFrame, axis: TimeAxis, params: Params, step: int) -> DataFrame:
+    """``sensor_part`` of one step, from the readings that can matter to it; their time filter reaches the files."""
+    known = sensors.join(thresholds.select("sensor_type", "placement"), ["sensor_type", "placement"], "left_semi")
+    recent = params.steps(params.health_reading_hours)
+    lasting = F.greatest(F.round(F.col("sampling_interval_s") / F.lit(float(axis.step_s))), F.lit(1)).cast("bigint")
+    widest = known.agg(F.max(lasting)).first()[0] or 1
+    after, until = (F.timestamp_micros(F.lit(axis.at_us(t))) for t in (step - max(recent, widest), step))
+    near = scored.where((F.col("ts") > after) & (F.col("ts") <= until)).select("sensor_id", "ts", "value", "z")
+    own = to_cells(near, axis, ("z",)).groupBy("sensor_id").agg(
+        F.max("cell").alias("cell"), median(F.when(F.col("cell") > step - recent, F.abs("z"))).alias("recent")
+    )
+    rows = known.join(own, "sensor_id", "left").withColumn("step", F.lit(step).cast("bigint"))
+    return _by_asset(rows.withColumn("reporting", F.coalesce(F.col("step") - F.col("cell") < lasting, F.lit(False))))
+
+
 def anomaly_part(anomalies: DataFrame, axis: TimeAxis, params: Params) -> DataFrame:
     """(asset_id, step): decayed weights of the anomalies in the look-back window, summed before the shuffle."""
     window_hours = params.health_window_days * 24.0
+    rows = expand_intervals(anomalies.select("asset_id", "severity", "started_at", "ended_at"), axis, grace_hours=window_hours)
+    return _decayed(rows, axis, params)
+
+
+def anomaly_part_at(anomalies: DataFrame, axis: TimeAxis, params: Params, step: int) -> DataFrame:
+    """``anomaly_part`` of one step."""
+    at = F.timestamp_micros(F.lit(axis.at_us(step)))
+    seen = (F.col("started_at") <= at) & (add_hours(F.col("ended_at"), F.lit(params.health_window_days * 24.0)) >= at)
+    rows = anomalies.where(seen).select("asset_id", "severity", "started_at", "ended_at", F.lit(step).cast("bigint").alias("step"))
+    return _decayed(rows, axis, params)
+
+
+def _decayed(rows: DataFrame, axis: TimeAxis, params: Params) -> DataFrame:
     age = hours_between(axis.at(F.col("step")), F.col("ended_at"))
-    rows = expand_intervals(
-        anomalies.select("asset_id", "severity", "started_at", "ended_at"), axis, grace_hours=window_hours
-    ).withColumn("w", recency_weight(age, params.health_half_life_hours, window_hours))
-    return rows.groupBy("asset_id", "step").agg(
+    weight = recency_weight(age, params.health_half_life_hours, params.health_window_days * 24.0)
+    return rows.withColumn("w", weight).groupBy("asset_id", "step").agg(
         F.sum("w").alias("weights"),
         F.sum(F.col("w") * severity_weight(F.col("severity"))).alias("weighted"),
         F.count_if(F.col("w") > 0).alias("anomalies_in_window"),
@@ -64,8 +91,19 @@ def anomaly_part(anomalies: DataFrame, axis: TimeAxis, params: Params) -> DataFr
 
 def asset_health(series: DataFrame, anomalies: DataFrame, axis: TimeAxis, params: Params) -> DataFrame:
     """One row per monitored asset and step with the score, its status and the penalties that explain it."""
+    return _scored(sensor_part(series, params), anomaly_part(anomalies, axis, params), axis)
+
+
+def asset_health_at(
+    sensors: DataFrame, thresholds: DataFrame, scored: DataFrame, anomalies: DataFrame, axis: TimeAxis, params: Params, step: int
+) -> DataFrame:
+    """The rows of ``asset_health`` at one step, computed for that step alone."""
+    return _scored(sensor_part_at(sensors, thresholds, scored, axis, params, step), anomaly_part_at(anomalies, axis, params, step), axis)
+
+
+def _scored(sensor_rows: DataFrame, anomaly_rows: DataFrame, axis: TimeAxis) -> DataFrame:
     zero = F.lit(0)
-    joined = sensor_part(series, params).join(anomaly_part(anomalies, axis, params), ["asset_id", "step"], "left")
+    joined = sensor_rows.join(anomaly_rows, ["asset_id", "step"], "left")
     level = F.when(F.col("sensors_reporting") > 0, F.col("excess") / F.col("sensors_reporting")).otherwise(0.0)
     silent = (F.col("sensors_total") - F.col("sensors_reporting")) / F.col("sensors_total")
     parts = penalties(F.coalesce("weights", zero), F.coalesce("weighted", zero), level, silent)
@@ -82,10 +120,6 @@ def asset_health(series: DataFrame, anomalies: DataFrame, axis: TimeAxis, params
     )
 
 
-def health_at(health: DataFrame, step: int) -> DataFrame:
-    return health.where(F.col("step") == step)
-
-
 def health_latest(health: DataFrame) -> DataFrame:
     """Newest health row of every asset."""
     others = [c for c in health.columns if c not in ("asset_id", "as_of")]

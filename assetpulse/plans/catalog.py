@@ -142,6 +142,10 @@ def health_series(p: Plant) -> DataFrame:
     return health.asset_health(status_series(p), p.anomalies, p.axis, p.params)
 
 
+def health_spot(p: Plant, step: int) -> DataFrame:
+    return health.asset_health_at(p.sensors, p.thresholds, simple_scores(p), p.anomalies, p.axis, p.params, step)
+
+
 @query
 def sensor_status_series(p: Plant) -> DataFrame:
     return status_series(p).select(
@@ -152,13 +156,14 @@ def sensor_status_series(p: Plant) -> DataFrame:
 @query
 def kpis_asof(p: Plant) -> DataFrame:
     status = asof.sensor_status_at(p.sensors, p.thresholds, simple_scores(p), p.anomalies, as_of(p))
-    now = health.health_at(health_series(p), p.axis.index_of(AS_OF))
+    now = health_spot(p, p.axis.index_of(AS_OF))
     return asof.kpis_at(p.assets, status, p.anomalies, now, as_of(p))
 
 
 @query
 def kpi_series(p: Plant) -> DataFrame:
-    return asof.kpi_series(status_series(p), p.anomalies, health_series(p), p.axis)
+    series = status_series(p)
+    return asof.kpi_series(series, p.anomalies, health.asset_health(series, p.anomalies, p.axis, p.params), p.axis)
 
 
 # --- health -----------------------------------------------------------------------------------------------------
@@ -174,7 +179,7 @@ def asset_health_latest(p: Plant) -> DataFrame:
 
 @query
 def needs_attention(p: Plant) -> DataFrame:
-    now = health.health_at(health_series(p), p.axis.index_of(AS_OF))
+    now = health_spot(p, p.axis.index_of(AS_OF))
     return health.needs_attention(now, p.assets, health.active_by_asset(p.anomalies, as_of(p)))
 
 

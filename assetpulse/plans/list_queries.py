@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import rules
 from ..operators import asof, baseline, grid, health, listing, playback, proximity, quality, stats
 from ..params import LOG_DOMAIN_TYPES, SCALE_FLOORS
-from .catalog import AS_OF, as_of, health_series, plain_events, plain_flags, plain_scores, query, simple_scores, status_series
+from .catalog import AS_OF, as_of, health_series, health_spot, plain_events, plain_flags, plain_scores, query, simple_scores, status_series
 from .spatial_queries import _risk
 from .tables import BBOX, Plant, TYPES
 
@@ -45,7 +45,7 @@ def anomaly_display_order(p: Plant) -> DataFrame:
 
 
 def _summary(p: Plant) -> DataFrame:
-    return listing.asset_summary(p.assets, p.sensors, p.anomalies, health_series(p))
+    return listing.asset_summary(p.assets, p.sensors, p.anomalies, health_spot(p, p.axis.last))
 
 
 @query

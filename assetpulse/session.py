@@ -35,16 +35,38 @@ def scratch_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{scratch_dir(spark)}/assetpulse-{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder; the table read back, and its path for ``forget``."""
+    spark = df.sparkSession
+    path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage of iterative jobs and lets several consumers share one computation. The files
     survive the loss of executors and keep column pruning and pushdown for whoever reads them.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/assetpulse-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, label)[0]
+
+
+def forget(spark: SparkSession, path: str | None) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    if path:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are written."""
+    forget(spark, run_folder(spark))
 
 
 def spread(df: DataFrame) -> DataFrame:
