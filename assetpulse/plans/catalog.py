@@ -340,3 +340,38 @@ def isolation_scores(p: Plant) -> DataFrame:
     from ..operators.forest import with_forest_scores
 
     return with_forest_scores(plain_scores(p), p.params).select("sensor_id", "cell", "z", "forest_score")
+
+
+# --- single operators over given tables --------------------------------------------------------------------------
+@query
+def ema(p: Plant) -> DataFrame:
+    """Regressors of every class: its mean value per step and, for moisture, the moving averages of it."""
+    cells = grid.to_cells(p.readings, p.axis).join(p.sensors.select("sensor_id", "sensor_type", "placement"), "sensor_id")
+    means = cells.groupBy("sensor_type", "placement", "cell").agg(F.round(F.avg("value"), 6).alias("class_median"))
+    f = baseline.class_features(means, p.axis)
+    return f.select("sensor_type", "cell", F.posexplode("features").alias("pos", "f")).select(
+        "sensor_type", "cell", F.col("pos").cast("bigint").alias("pos"), F.round("f", 6).alias("feature")
+    )
+
+
+@query
+def sampling_mode(p: Plant) -> DataFrame:
+    """Most common sampling interval when sensors have one by their type and number."""
+    intervals = p.sensors.withColumn("sampling_interval_s", (F.length("sensor_type") % 3 + 1) * 600)
+    return p.spark.range(1).select(F.lit(grid.sampling_step(intervals)).cast("bigint").alias("step_s"))
+
+
+@query
+def readings_between(p: Plant) -> DataFrame:
+    """Readings of a closed range of time, read from the file."""
+    from ..sources import readings as src
+
+    rows = src.read_readings(p.spark, f"{p.sf_dir}/events.parquet", datetime(2024, 1, 5, tzinfo=timezone.utc), datetime(2024, 1, 12, tzinfo=timezone.utc))
+    return rows.select("event_id", "user_id", "value")
+
+
+@query
+def scored_readings(p: Plant) -> DataFrame:
+    """All readings, scored where there is a score."""
+    scores = simple_scores(p).where("value > 30").select("sensor_id", "ts", "z", "flagged")
+    return asof.with_scores(p.readings, scores).select("sensor_id", "ts", "value", "z", "flagged")

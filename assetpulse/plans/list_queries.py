@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import rules
-from ..operators import asof, baseline, grid, health, listing, playback, proximity, quality, stats
+from ..operators import asof, baseline, grid, health, listing, playback, proximity, quality, stats, zonal
 from ..params import LOG_DOMAIN_TYPES, SCALE_FLOORS
 from .catalog import AS_OF, as_of, health_series, health_spot, plain_events, plain_flags, plain_scores, query, simple_scores, status_series
 from .spatial_queries import _risk
@@ -346,3 +346,26 @@ def table_fingerprint(p: Plant) -> DataFrame:
 def layer_in_box(p: Plant) -> DataFrame:
     """Asset lines that meet the study box."""
     return listing.layer_in_box(p.lines, BBOX).select("asset_id", "asset_type")
+
+
+@query
+def filtered_sensors(p: Plant) -> DataFrame:
+    """Sensors of one type, all assets."""
+    return listing.filter_sensors(p.sensors, "moisture", "all").select("sensor_id", "asset_id", "placement")
+
+
+@query
+def unknown_provenance(p: Plant) -> DataFrame:
+    """Suppliers of nations that the catalogue of the first three regions does not hold."""
+    known = p.table("nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("source_id"))
+    return quality.unregistered_provenance(p.table("supplier"), "s_nationkey", known).select("s_suppkey", F.col("s_nationkey").cast("bigint").alias("s_nationkey"))
+
+
+@query
+def measurement_summary(p: Plant) -> DataFrame:
+    """Parts as measured buildings: counts per status and quantiles of the accepted heights."""
+    size = F.col("p_size")
+    status = F.when(size < 5, "too_few").when(size < 10, "below").when(size > 45, "above").otherwise("ok")
+    rows = p.table("part").select(status.alias("status"), (F.col("p_retailprice") / 100).alias("p90"))
+    m = zonal.measurement_summary(rows)
+    return m.select("status", "n", *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")])

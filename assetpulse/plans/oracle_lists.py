@@ -235,3 +235,43 @@ SELECT v.asset_id, CASE WHEN num % 11 <> 0 AND num % 13 = 0 THEN 'empty' WHEN nu
        WHEN num % 40 >= 25 THEN 'missing_parent' ELSE 'kept' END AS outcome
 FROM vtx v JOIN are ON are.asset_id = v.asset_id
 """)
+
+# --- single operators over given tables --------------------------------------------------------------------------
+cte("ema_series", """
+SELECT c.sensor_type, c.placement, st.step, m.v FROM (SELECT DISTINCT sensor_type, placement FROM sn JOIN gr USING (sensor_id)) c CROSS JOIN st
+LEFT JOIN (SELECT sensor_type, placement, cell, round(avg(value), 6) AS v FROM gr JOIN sn USING (sensor_id) GROUP BY ALL) m
+       ON m.sensor_type = c.sensor_type AND m.placement = c.placement AND m.cell = st.step
+""")
+cte("ema_past", """
+SELECT *, coalesce(list(v) FILTER (WHERE v IS NOT NULL AND step > 0) OVER (PARTITION BY sensor_type, placement ORDER BY step), []) AS past,
+       dense_rank() OVER (PARTITION BY sensor_type ORDER BY placement) - 1 AS class FROM ema_series
+""")
+oracle("ema", """
+SELECT sensor_type, step AS cell, (class * CASE sensor_type WHEN 'moisture' THEN 3 ELSE 1 END + k)::BIGINT AS pos,
+       round(CASE WHEN k = 0 THEN coalesce(v, 0)
+                  ELSE list_reduce(list_prepend(0.0::DOUBLE, past), lambda a, x: a + (1 - exp(-12.0 / (CASE k WHEN 1 THEN 24 ELSE 72 END))) * (x - a)) END, 6) AS feature
+FROM ema_past, (SELECT unnest([0, 1, 2]) AS k) WHERE k = 0 OR sensor_type = 'moisture'
+""")
+oracle("sampling_mode", """
+SELECT ((length(sensor_type) % 3 + 1) * 600)::BIGINT AS step_s FROM sn GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1
+""")
+oracle("readings_between", """
+SELECT event_id, user_id, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'
+""")
+oracle("scored_readings", """
+SELECT sensor_id, us AS ts, value, CASE WHEN value > 30 THEN (value - 50) / 20.0 END AS z, value > 100 AS flagged FROM rd
+""")
+oracle("filtered_sensors", "SELECT sensor_id, asset_id, placement FROM sn WHERE sensor_type = 'moisture'")
+oracle("unknown_provenance", """
+SELECT s_suppkey, s_nationkey::BIGINT AS s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)
+""")
+cte("measured", """
+SELECT CASE WHEN p_size < 5 THEN 'too_few' WHEN p_size < 10 THEN 'below' WHEN p_size > 45 THEN 'above' ELSE 'ok' END AS status, p_retailprice / 100 AS h FROM part
+""")
+oracle("measurement_summary", """
+SELECT s.status, (SELECT count(*) FROM measured m WHERE m.status = s.status) AS n,
+       CASE s.status WHEN 'ok' THEN (SELECT round(quantile_cont(h, 0.1), 6) FROM measured WHERE status = 'ok') END AS p10,
+       CASE s.status WHEN 'ok' THEN (SELECT round(quantile_cont(h, 0.5), 6) FROM measured WHERE status = 'ok') END AS p50,
+       CASE s.status WHEN 'ok' THEN (SELECT round(quantile_cont(h, 0.9), 6) FROM measured WHERE status = 'ok') END AS p90
+FROM (SELECT unnest(['ok', 'too_few', 'below', 'above', 'no_coverage']) AS status) s
+""")
