@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: ASCII white space: what separates words in `sizes` and in the shingles
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -15,6 +15,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Texts go to Python in batches of a few megabytes.
+
+    Every batch is held several times over, on both sides and while its buffers grow, by every running task of an executor.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than ASCII white space; null counts as empty."""
     words = F.split(F.coalesce(text, F.lit("")), SPACE)  # at most one empty piece at either end

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .common import ascii_lower, row_hashes, unused
+from .common import ascii_lower, row_hashes, small_batches, unused
 
 #: bits of the filter over item hashes (2 MB)
 FILTER_BITS = 1 << 24
@@ -189,6 +189,7 @@ def contamination(
     Documents are read once; their word counts and candidates are written to the shared folder.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scheme = Scheme(window, k, item_lengths(items, item_text, window))
     scanned = items.select(F.col(item_col).cast("string").alias("item"), kept_grams(F.col(item_text), scheme, True, None, spark).alias("s"))
     grams = scanned.select("item", F.explode("s.kept").alias("g")).select("item", "g.*")

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import unused, without
+from .common import small_batches, unused, without
 
 UNDETERMINED = "und"
 #: characters that are turned into n-grams at once; bounds the memory of a task
@@ -94,6 +94,7 @@ def fit(
     Priors count every such row. N-grams are counted in a sample of about ``docs_per_label`` whole documents of each
     label, chosen by a hash of id and text, so that the cost of training is bounded for any corpus.
     """
+    small_batches(df.sparkSession)
     rows = df.where(F.col(label_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"),
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_000)).alias("draw"),
@@ -155,6 +156,7 @@ def score_texts(texts: list[str | None], model: Model, letters: np.ndarray) -> t
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", label_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``df`` with the predicted label and its posterior probability. Only the text enters the prediction."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((model.labels, model.log_prior, model.log_prob))
 
     @F.pandas_udf("struct<label:string,score:double>")

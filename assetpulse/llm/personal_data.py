@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .common import unused, without
+from .common import small_batches, unused, without
 
 BASE = ("email", "ip", "card", "phone")
 LOOSE = ("masked_email", "local_phone", "iban", "ssn", "name")
@@ -214,6 +214,7 @@ def find_personal_data(
     df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "personal", least: float = 0.9
 ) -> DataFrame:
     """The columns ``keep`` and the spans (kind, start, end, value, probability) of each text, by kind as listed and start."""
+    small_batches(df.sparkSession)
     (tmp,) = unused(df.select(*keep), "_found")
     rows = materialize(df.select(*[F.col(f"`{c}`") for c in keep], candidates(F.col(text_col)).alias(tmp)), "personal-candidates")
     each = rows.select(F.explode(tmp).alias("c")).select("c.votes", "c.features")

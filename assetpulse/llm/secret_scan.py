@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import without
+from .common import small_batches, without
 
 KINDS = ("assign", "access", "hex", "random")
 # fixed patterns
@@ -116,5 +116,6 @@ def secret_spans(text: Column, spark, vocabulary: str | None = None, ratio: floa
 
 def find_secrets(df: DataFrame, text_col: str = "text", out: str = "secrets", **options) -> DataFrame:
     """``df`` with the secret spans of each text; a column of that name is replaced."""
+    small_batches(df.sparkSession)
     spans = secret_spans(F.col(text_col), df.sparkSession, **options)
     return df.select(*[F.col(f"`{c}`") for c in without(df, out).columns], spans.alias(out))

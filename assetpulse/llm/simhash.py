@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..operators.components import connected_components
 from ..session import materialize
-from .common import row_hashes, unused
+from .common import row_hashes, small_batches, unused
 
 BLOCKS = 8
 #: shingles hashed before their votes are added up; bounds the memory of a very long text
@@ -253,6 +253,7 @@ def near_duplicates(
 
     Fingerprints are written to the shared folder once; links and classes follow from that narrow table.
     """
+    small_batches(df.sparkSession)
     prints = df.select(F.col(id_col), fingerprint(F.col(text_col), shingle).alias("fp"))
     return classified(materialize(prints, "simhash-prints"), id_col, bits, crowd)
 
@@ -265,6 +266,7 @@ def keep_one(
     Classes join fingerprints within ``bits`` and texts whose shingle sets have at least ``similarity`` in common. Rows are
     told apart by two hashes over all columns; of rows equal in every column one stays.
     """
+    small_batches(df.sparkSession)
     key = unused(df, "_row_a", "_row_b")
     marked = df.withColumns(dict(zip(key, row_hashes(df))))
     row = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col(key[0]).alias("a"), F.col(key[1]).alias("b"))

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialize, scratch_dir
+from .common import small_batches
 
 KEYS = ("source", "lang", "version")
 COLUMNS = "source string, lang string, version string, docs bigint, tokens bigint"
@@ -82,6 +83,7 @@ def count_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     ``copy`` identifies the text; ``estimate`` is what a quarter of the bytes suggests before anything is counted.
     """
+    small_batches(df.sparkSession)
     text = F.col(text_col)
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
     counted = df.select(
