@@ -18,9 +18,8 @@ five-word shingles differ in 1 to 17 of 64 bits, and no bound on segment counts
 the bits). ``keep_one`` therefore adds a second kind of candidates: every text also has sampled fingerprints, each over the
 four shingles that are smallest under hashes of its own. Texts with a sampled fingerprint in common are compared by their
 whole shingle sets; they are linked if the share of common shingles is at least ``similarity``. A pair at 0.8 is missed with
-a probability of 0.2 %. In buckets of up to ``crowd`` texts all pairs are compared, in larger ones every text with two
-pivots: the member that shares most buckets with others, which is the original if the others are its copies, and one drawn
-at random in each bucket.
+a probability of 0.2 %. In buckets of up to ``crowd`` texts all pairs are compared, in larger ones every text with rounds of
+pivots until no two classes are left in the bucket that could still be joined (see ``similar_classes``).
 
 Defined results: null and empty texts have no word and fingerprint zero, linked like any other. A class id is the smallest
 id in the class; rows without an id belong to classes but give them no id.
@@ -213,32 +212,62 @@ def close_edges(fps: DataFrame, bits: int = 2, crowd: int = 64) -> DataFrame:
     return pairs.union(centre_edges(crowded, bits)).distinct()
 
 
-def sample_pairs(samples: DataFrame, crowd: int = 64) -> DataFrame:
-    """(a, b) fingerprints to compare, of rows (fp, samples): members of a bucket, or members and pivots of a crowded one."""
-    buckets = samples.select("fp", F.posexplode("samples").alias("sample", "key"))
-    sized = buckets.groupBy("sample", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(buckets.join(sized, ["sample", "key"]), "simhash-buckets")
-    small = shared.where(F.col("n") <= crowd)
-    x, y = small.alias("x"), small.alias("y")
-    same = (F.col("x.sample") == F.col("y.sample")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp"))
-    pairs = x.join(y, same).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
-    large = shared.where(F.col("n") > crowd)
-    central = large.join(shared.groupBy("fp").agg(F.sum("n").alias("met")), "fp")
-    pivots = central.groupBy("sample", "key").agg(
-        F.max_by("fp", F.struct("met", "fp")).alias("most"), F.min_by("fp", F.xxhash64("fp", "sample")).alias("drawn")
+def compared(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(src, dst): the ``pairs`` (a, b) whose ``texts`` (node, text) share at least ``similarity`` of their shingles."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
     )
-    met = large.join(pivots, ["sample", "key"]).select("fp", F.explode(F.array("most", "drawn")).alias("pivot")).where("fp != pivot")
-    return pairs.union(met.select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b"))).distinct()
+    return both.where(shared_shingles(F.col("text_a"), F.col("text_b"), shingle) >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def classified(prints: DataFrame, id_col: str, bits: int, crowd: int, more: DataFrame | None = None) -> DataFrame:
-    """``prints`` (with fp) and the class of each row: ``component``, its smallest fingerprint, and ``component_id``.
+def similar_classes(
+    buckets: DataFrame, texts: DataFrame, shingle: int, similarity: float, crowd: int = 64, given: DataFrame | None = None
+) -> DataFrame:
+    """(id, component) of the nodes that are linked: those of one bucket (sample, key, node) whose texts are similar.
 
-    ``more`` has further links (src, dst) between fingerprints.
+    In buckets of up to ``crowd`` nodes all pairs are compared. In a larger one rounds of pivots are compared with all
+    members of other classes and leave the bucket, until the rest is one class: no pair that could join two classes is left
+    out. A round takes four times the pivots of the last, those that meet most others first, so a family of copies needs one
+    or two rounds and a bucket of texts that are not similar as many comparisons as it has pairs. ``given`` has links (src,
+    dst) that hold anyway.
     """
+    at = ["sample", "key"]
+    sized = buckets.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(buckets.join(sized, at), "simhash-buckets")
+    small = shared.where(F.col("n") <= crowd)
+    x, y = small.alias("x"), small.alias("y")
+    same = (F.col("x.sample") == F.col("y.sample")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
+    pairs = materialize(x.join(y, same).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "simhash-pairs")
+    edges = compared(pairs, texts, shingle, similarity)
+    edges = materialize(edges if given is None else edges.union(given), "simhash-edges")
+    left = shared.where(F.col("n") > crowd).select(*at, "node")
+    left = materialize(left.join(shared.groupBy("node").agg(F.sum("n").alias("met")), "node"), "simhash-crowded")
+    wide = 1
+    while True:
+        labels = connected_components(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), edges)
+        placed = left.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = materialize(placed, "simhash-placed")
+        split = placed.groupBy(*at).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+        left = materialize(placed.join(split.where("low < high").select(*at, "n"), at), "simhash-crowded")
+        if left.isEmpty():
+            return labels
+        slot = F.when(F.col("n") <= crowd, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(wide)), F.lit(wide)))
+        best = left.groupBy(*at, slot.alias("slot")).agg(F.max_by("node", F.struct("met", F.xxhash64("node", *at))).alias("node"))
+        pivots = materialize(best.select("node").distinct(), "simhash-pivots")
+        members = left.join(pivots.withColumn("chosen", F.lit(True)), "node", "left").select(*at, "node", "component", "met", F.col("chosen").isNotNull().alias("chosen"))
+        members = materialize(members, "simhash-members")
+        pivot = members.where("chosen").select(*at, F.col("node").alias("b"), F.col("component").alias("of"))
+        once = ~F.col("chosen") | (F.col("node") < F.col("b"))
+        pairs = members.join(pivot, at).where((F.col("component") != F.col("of")) & once).select(F.col("node").alias("a"), "b").distinct()
+        edges = materialize(edges.union(compared(pairs, texts, shingle, similarity)), "simhash-edges")
+        left = members.where("NOT chosen").select(*at, "node", "met")
+        wide *= 4
+
+
+def classified(prints: DataFrame, id_col: str, bits: int, crowd: int) -> DataFrame:
+    """``prints`` (with fp) and the class of each row: ``component``, its smallest fingerprint, and ``component_id``."""
     distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
-    edges = close_edges(distinct.select("fp"), bits, crowd)
-    edges = materialize(edges if more is None else edges.union(more), "simhash-edges")
+    edges = materialize(close_edges(distinct.select("fp"), bits, crowd), "simhash-edges")
     linked = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     labels = connected_components(linked, edges).select(F.col("id").alias("fp"), "component")
     grouped = distinct.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -271,16 +300,13 @@ def keep_one(
     marked = df.withColumns(dict(zip(key, row_hashes(df))))
     row = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col(key[0]).alias("a"), F.col(key[1]).alias("b"))
     prints = materialize(marked.select(row.alias("row"), fingerprints(F.col(text_col), shingle).alias("f")).select("row", "f.*"), "simhash-prints")
-    first = prints.groupBy("fp").agg(F.min(F.struct("row", "samples")).alias("m")).select("fp", "m.*")
-    pairs = materialize(sample_pairs(first.select("fp", "samples"), crowd), "simhash-pairs")
-    compared = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = first.join(compared, "fp", "left_semi").select("fp", F.col("row.a").alias("a"), F.col("row.b").alias("b"))
+    first = prints.groupBy("fp").agg(F.min(F.struct("row", "samples")).alias("m")).select("fp", F.col("fp").alias("node"), "m.*")
+    first = materialize(first, "simhash-nodes")
+    wanted = first.where(F.size("samples") > 0).select("node", F.col("row.a").alias("a"), F.col("row.b").alias("b"))
     texts = marked.select(F.col(key[0]).alias("a"), F.col(key[1]).alias("b"), F.col(text_col).alias("text")).join(wanted, ["a", "b"])
-    texts = materialize(texts.select("fp", "text").dropDuplicates(["fp"]), "simhash-texts")
-    both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b"
-    )
-    similar = both.where(shared_shingles(F.col("text_a"), F.col("text_b"), shingle) >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    found = classified(prints.select("row", F.col("row.id").alias("id"), "fp"), "id", bits, crowd, similar)
-    kept = found.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.a").alias(key[0]), F.col("row.b").alias(key[1]))
+    texts = materialize(texts.select("node", "text").dropDuplicates(["node"]), "simhash-texts")
+    buckets = first.select("node", F.posexplode("samples").alias("sample", "key"))
+    labels = similar_classes(buckets, texts, shingle, similarity, crowd, close_edges(first.select("fp"), bits, crowd))
+    grouped = first.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    kept = grouped.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.a").alias(key[0]), F.col("row.b").alias(key[1]))
     return marked.join(kept, key, "left_semi").dropDuplicates(key).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -123,6 +123,33 @@ def test_keep_one_of_similar_texts(spark):
     assert simhash.keep_one(empty(spark)).count() == 0
 
 
+def changed(rng, text, n):
+    """``text`` with n words replaced, none within five words of another or of an end."""
+    while True:
+        at = sorted(rng.sample(range(5, len(text) - 5), n))
+        if all(b - a > 5 for a, b in zip(at, at[1:])):
+            return [f"{w}{rng.getrandbits(32)}" if i in at else w for i, w in enumerate(text)]
+
+
+def kept_ids(spark, texts, **options):
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string").repartition(8)
+    return sorted(r.doc_id for r in simhash.keep_one(df, **options).collect())
+
+
+def test_crowded_buckets_lose_no_link(spark):
+    rng = random.Random(13)
+    base, form = words(rng, "en", 200), words(rng, "de", 200)
+    copies = [base] + [changed(rng, base, 3) for _ in range(2000)]  # 0.86 to the original, about 0.75 to each other
+    family = [changed(rng, form, 4) for _ in range(150)]  # about 0.66 to each other
+    family += [changed(rng, w, 1) for w in family[:10]]
+    sets = [frozenset(shingles_of(" ".join(w), 5)) for w in family]
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(links) >= 10
+    got = set(kept_ids(spark, copies + family))
+    assert {i for i in got if i <= 2000} == {0}
+    assert not [(i, j) for i, j in links if {2001 + i, 2001 + j} <= got]
+
+
 def test_row_hashes_tell_nulls_apart(spark):
     df = spark.sql("SELECT * FROM VALUES (CAST(NULL AS STRING), 'a', map('k', 1)), ('a', NULL, map('k', 1)), ('a', 'a', NULL) AS t(x, y, z)")
     assert len({tuple(r) for r in df.select(*row_hashes(df)).collect()}) == 3
