@@ -299,14 +299,27 @@ def keep_one(
     key = unused(df, "_row_a", "_row_b")
     marked = df.withColumns(dict(zip(key, row_hashes(df))))
     row = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col(key[0]).alias("a"), F.col(key[1]).alias("b"))
-    prints = materialize(marked.select(row.alias("row"), fingerprints(F.col(text_col), shingle).alias("f")).select("row", "f.*"), "simhash-prints")
-    first = prints.groupBy("fp").agg(F.min(F.struct("row", "samples")).alias("m")).select("fp", F.col("fp").alias("node"), "m.*")
-    first = materialize(first, "simhash-nodes")
+    text, same = F.col(text_col), ["one", "two", "size"]
+    prints = marked.select(
+        row.alias("row"), F.xxhash64(F.lit(1), text).alias("one"), F.xxhash64(F.lit(2), text).alias("two"), F.octet_length(text).alias("size"),
+        fingerprints(text, shingle).alias("f"),
+    )
+    prints = materialize(prints.select("row", *same, "f.*"), "simhash-prints")
+    wordless = F.size("samples") == 0
+    prints = prints.withColumns({c: F.when(wordless, 0).otherwise(F.col(c)) for c in same})
+    first = prints.groupBy(*same).agg(F.min(F.struct("row", "fp", "samples")).alias("m")).select(F.monotonically_increasing_id().alias("node"), "m.*")
+    first = materialize(first, "simhash-nodes")  # numbers hold because they are stored
     wanted = first.where(F.size("samples") > 0).select("node", F.col("row.a").alias("a"), F.col("row.b").alias("b"))
     texts = marked.select(F.col(key[0]).alias("a"), F.col(key[1]).alias("b"), F.col(text_col).alias("text")).join(wanted, ["a", "b"])
     texts = materialize(texts.select("node", "text").dropDuplicates(["node"]), "simhash-texts")
     buckets = first.select("node", F.posexplode("samples").alias("sample", "key"))
-    labels = similar_classes(buckets, texts, shingle, similarity, crowd, close_edges(first.select("fp"), bits, crowd))
+    least = materialize(first.groupBy("fp").agg(F.min("node").alias("dst")), "simhash-least")
+    alike = first.join(least, "fp").where("node > dst").select(F.col("node").alias("src"), "dst")
+    near = close_edges(least.select("fp"), bits, crowd)
+    for end in ("src", "dst"):
+        near = near.join(least.select(F.col("fp").alias(end), F.col("dst").alias(f"{end}_node")), end)
+    near = near.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+    labels = similar_classes(buckets, texts, shingle, similarity, crowd, alike.union(near))
     grouped = first.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = grouped.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.a").alias(key[0]), F.col("row.b").alias(key[1]))
     return marked.join(kept, key, "left_semi").dropDuplicates(key).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -150,6 +150,16 @@ def test_crowded_buckets_lose_no_link(spark):
     assert not [(i, j) for i, j in links if {2001 + i, 2001 + j} <= got]
 
 
+def test_texts_behind_one_fingerprint_are_searched(spark):
+    rng = random.Random(21)
+    halves = [words(rng, "en", 60) for _ in range(3)]
+    full = [["|"] * 100 + h for h in halves]  # one shingle makes over half of each: equal fingerprints
+    assert len({plain_fingerprint(" ".join(w), 5) for w in full}) == 1
+    near = ["|"] * 8 + changed(rng, halves[2], 1)
+    assert plain_fingerprint(" ".join(near), 5) != plain_fingerprint(" ".join(full[2]), 5)
+    assert 3 not in kept_ids(spark, [*full, near])
+
+
 def test_row_hashes_tell_nulls_apart(spark):
     df = spark.sql("SELECT * FROM VALUES (CAST(NULL AS STRING), 'a', map('k', 1)), ('a', NULL, map('k', 1)), ('a', 'a', NULL) AS t(x, y, z)")
     assert len({tuple(r) for r in df.select(*row_hashes(df)).collect()}) == 3
