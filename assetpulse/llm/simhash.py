@@ -15,9 +15,10 @@ in the members and loses no link (see ``centre_edges``).
 
 Similar texts. Two bits are a much narrower bound than a similarity of 0.8: pairs of texts that share 80 to 98 % of their
 five-word shingles differ in 1 to 17 of 64 bits, and no bound on segment counts separates 17 bits from unrelated texts (half
-the bits). ``keep_one`` therefore adds a second kind of candidates: every text also has sampled fingerprints, each over the
-four shingles that are smallest under hashes of its own. Texts with a sampled fingerprint in common are compared by their
-whole shingle sets; they are linked if the share of common shingles is at least ``similarity``. A pair at 0.8 is missed with
+the bits). Nor do two bits prove similarity: a shingle that makes over half of a text sets all bits alone. In ``keep_one``
+fingerprints within two bits are therefore candidates only, and there is a second kind: every text also has sampled
+fingerprints, each over the four shingles that are smallest under hashes of its own. Distinct texts with either in common are
+compared by their whole shingle sets; they are linked if the share of common shingles is at least ``similarity``. A pair at 0.8 is missed with
 a probability of 0.2 %. In buckets of up to ``crowd`` texts all pairs are compared, in larger ones every text with rounds of
 pivots until no two classes are left in the bucket that could still be joined (see ``similar_classes``).
 
@@ -176,13 +177,13 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def centre_edges(fps: DataFrame, bits: int) -> DataFrame:
-    """(src, dst): links that connect exactly the fingerprints connected by distances of up to ``bits``, 1 or 2.
+def centres(fps: DataFrame, bits: int) -> DataFrame:
+    """(fp, dst, pair, centre): fingerprints that share a centre, and the smallest of them, for distances of up to ``bits``, 1 or 2.
 
     For two bits a fingerprint names itself and its 64 neighbours at one bit. Fingerprints that name one centre are within
     1 + 1 bits, and two fingerprints within two bits have a centre in common: one of them, or a value between them. For
-    one bit a fingerprint names the 64 pairs that it forms with a neighbour. All that name one centre are linked to the
-    smallest of them.
+    one bit a fingerprint names the 64 pairs that it forms with a neighbour. Links of all that name one centre to the smallest
+    of them connect exactly the fingerprints that such distances connect.
     """
     if bits == 2:
         masks = F.array(F.lit(0), *[F.lit(signed(1 << i)) for i in range(64)])
@@ -193,11 +194,11 @@ def centre_edges(fps: DataFrame, bits: int) -> DataFrame:
     else:
         raise ValueError("links are defined for one or two bits")
     least = named.groupBy("pair", "centre").agg(F.min("fp").alias("dst"), F.max("fp").alias("top")).where("dst < top").drop("top")
-    return named.join(least, ["pair", "centre"]).where("fp > dst").select(F.col("fp").alias("src"), "dst")
+    return named.join(least, ["pair", "centre"]).select("fp", "dst", "pair", "centre")
 
 
-def close_edges(fps: DataFrame, bits: int = 2, crowd: int = 64) -> DataFrame:
-    """(src, dst) links between distinct fingerprints that differ in at most ``bits`` bits, enough to connect all of them."""
+def close_pairs(fps: DataFrame, bits: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """(src, dst) pairs of distinct fingerprints within ``bits`` bits of cells up to ``crowd``, and (fp) those in larger cells."""
     placed = cells(fps, bits)
     sized = placed.withColumn("n", F.count("*").over(W.partitionBy("grid", "cell"))).where("n > 1")
     shared = materialize(sized, "simhash-cells")  # fingerprints that are alone in a cell are gone
@@ -208,8 +209,24 @@ def close_edges(fps: DataFrame, bits: int = 2, crowd: int = 64) -> DataFrame:
         & (manhattan(F.col("a.embedding"), F.col("b.embedding")) <= bits) & (hamming(F.col("a.fp"), F.col("b.fp")) <= bits)
     )
     pairs = a.join(b, near).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
-    crowded = shared.where(F.col("n") > crowd).select("fp").distinct()
-    return pairs.union(centre_edges(crowded, bits)).distinct()
+    return pairs, shared.where(F.col("n") > crowd).select("fp").distinct()
+
+
+def close_edges(fps: DataFrame, bits: int = 2, crowd: int = 64) -> DataFrame:
+    """(src, dst) links between distinct fingerprints that differ in at most ``bits`` bits, enough to connect all of them."""
+    pairs, crowded = close_pairs(fps, bits, crowd)
+    return pairs.union(centres(crowded, bits).where("fp > dst").select(F.col("fp").alias("src"), "dst")).distinct()
+
+
+def close_buckets(fps: DataFrame, bits: int = 2, crowd: int = 64) -> DataFrame:
+    """(fp, sample, key): buckets, called samples below 0, in one of which any two fingerprints within ``bits`` bits meet.
+
+    Every fingerprint has one of its own, where different texts with that fingerprint meet.
+    """
+    pairs, crowded = close_pairs(fps, bits, crowd)
+    pair = pairs.distinct().select(F.explode(F.array("src", "dst")).alias("fp"), F.lit(-2).alias("sample"), F.xxhash64("src", "dst").alias("key"))
+    centre = centres(crowded, bits).select("fp", F.lit(-3).alias("sample"), F.xxhash64("pair", "centre").alias("key"))
+    return fps.select("fp", F.lit(-1).alias("sample"), F.col("fp").alias("key")).union(pair).union(centre)
 
 
 def compared(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -221,15 +238,14 @@ def compared(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
 
 
 def similar_classes(
-    buckets: DataFrame, texts: DataFrame, shingle: int, similarity: float, crowd: int = 64, given: DataFrame | None = None
+    buckets: DataFrame, texts: DataFrame, shingle: int, similarity: float, crowd: int = 64
 ) -> DataFrame:
     """(id, component) of the nodes that are linked: those of one bucket (sample, key, node) whose texts are similar.
 
     In buckets of up to ``crowd`` nodes all pairs are compared. In a larger one rounds of pivots are compared with all
     members of other classes and leave the bucket, until the rest is one class: no pair that could join two classes is left
     out. A round takes four times the pivots of the last, those that meet most others first, so a family of copies needs one
-    or two rounds and a bucket of texts that are not similar as many comparisons as it has pairs. ``given`` has links (src,
-    dst) that hold anyway.
+    or two rounds and a bucket of texts that are not similar as many comparisons as it has pairs.
     """
     at = ["sample", "key"]
     sized = buckets.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1")
@@ -238,8 +254,7 @@ def similar_classes(
     x, y = small.alias("x"), small.alias("y")
     same = (F.col("x.sample") == F.col("y.sample")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
     pairs = materialize(x.join(y, same).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "simhash-pairs")
-    edges = compared(pairs, texts, shingle, similarity)
-    edges = materialize(edges if given is None else edges.union(given), "simhash-edges")
+    edges = materialize(compared(pairs, texts, shingle, similarity), "simhash-edges")
     left = shared.where(F.col("n") > crowd).select(*at, "node")
     left = materialize(left.join(shared.groupBy("node").agg(F.sum("n").alias("met")), "node"), "simhash-crowded")
     wide = 1
@@ -292,7 +307,7 @@ def keep_one(
 ) -> DataFrame:
     """``df`` without near copies: of each class the row with the smallest id stays; a row without an id only if none has one.
 
-    Classes join fingerprints within ``bits`` and texts whose shingle sets have at least ``similarity`` in common. Rows are
+    Classes join texts whose shingle sets have at least ``similarity`` in common, and texts without words. Rows are
     told apart by two hashes over all columns; of rows equal in every column one stays.
     """
     small_batches(df.sparkSession)
@@ -313,13 +328,9 @@ def keep_one(
     texts = marked.select(F.col(key[0]).alias("a"), F.col(key[1]).alias("b"), F.col(text_col).alias("text")).join(wanted, ["a", "b"])
     texts = materialize(texts.select("node", "text").dropDuplicates(["node"]), "simhash-texts")
     buckets = first.select("node", F.posexplode("samples").alias("sample", "key"))
-    least = materialize(first.groupBy("fp").agg(F.min("node").alias("dst")), "simhash-least")
-    alike = first.join(least, "fp").where("node > dst").select(F.col("node").alias("src"), "dst")
-    near = close_edges(least.select("fp"), bits, crowd)
-    for end in ("src", "dst"):
-        near = near.join(least.select(F.col("fp").alias(end), F.col("dst").alias(f"{end}_node")), end)
-    near = near.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
-    labels = similar_classes(buckets, texts, shingle, similarity, crowd, alike.union(near))
+    close = close_buckets(first.select("fp").distinct(), bits, crowd)
+    buckets = buckets.union(first.where(~wordless).join(close, "fp").select("node", "sample", "key"))
+    labels = similar_classes(buckets, texts, shingle, similarity, crowd)
     grouped = first.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = grouped.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.a").alias(key[0]), F.col("row.b").alias(key[1]))
     return marked.join(kept, key, "left_semi").dropDuplicates(key).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -160,6 +160,15 @@ def test_texts_behind_one_fingerprint_are_searched(spark):
     assert 3 not in kept_ids(spark, [*full, near])
 
 
+def test_fingerprints_alone_link_no_texts(spark):
+    rng = random.Random(22)
+    texts = [["|"] * 150 + words(rng, "en", 80) for _ in range(100)]
+    assert len({plain_fingerprint(" ".join(w), 5) for w in texts}) == 1
+    assert kept_ids(spark, texts + texts[:5]) == list(range(100))
+    texts = [changed(rng, w, 1) for w in texts] + texts
+    assert len(kept_ids(spark, texts)) == 100
+
+
 def test_row_hashes_tell_nulls_apart(spark):
     df = spark.sql("SELECT * FROM VALUES (CAST(NULL AS STRING), 'a', map('k', 1)), ('a', NULL, map('k', 1)), ('a', 'a', NULL) AS t(x, y, z)")
     assert len({tuple(r) for r in df.select(*row_hashes(df)).collect()}) == 3
