@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..session import materialize
+
 #: ASCII white space: what separates words in `sizes` and in the shingles
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -69,3 +75,30 @@ def row_hashes(df: DataFrame) -> tuple[Column, Column]:
     cols = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if has_map(f.dataType) else F.col(f"`{f.name}`") for f in df.schema.fields]
     nulls = F.array(*[c.isNull() for c in cols])  # a null leaves the hash as it was
     return F.xxhash64(F.lit(1), nulls, *cols), F.xxhash64(F.lit(2), nulls, *cols)
+
+
+def running_total(df: DataFrame, order: list, weight: str, column: str, label: str) -> DataFrame:
+    """``df``, written once in the given order, with the sum of ``weight`` (a long, never null) over all rows before each row.
+
+    Rows are range-partitioned and sorted; every task adds up its own partition batch by batch, and the sums of the partitions
+    (one row each) become offsets. ``order`` should identify rows: equal ones meet in one partition.
+    """
+    spark, (part,) = df.sparkSession, unused(df, "_part")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, own = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            each = batch.column(weight).to_numpy()
+            before = total + np.cumsum(each) - each
+            total += int(each.sum())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(before, pa.int64()), pa.array(np.full(len(each), own), pa.int32())], [*batch.schema.names, column, part]
+            )
+
+    schema = T.StructType([*df.schema.fields, T.StructField(column, T.LongType()), T.StructField(part, T.IntegerType())])
+    placed = materialize(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(add, schema), label)
+    sums = placed.groupBy(part).agg(F.max(F.col(column) + F.col(weight)).alias("_sum"))
+    offsets = sums.select(F.col(part).alias("_of"), F.expr(f"sum(_sum) OVER (ORDER BY {part}) - _sum").alias("_offset"))
+    found = placed.join(F.broadcast(offsets), F.col(part) == F.col("_of"))
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(column) + F.col("_offset")).alias(column))

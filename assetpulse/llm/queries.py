@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import use_utc
-from . import decontaminate, kdtree_search, language_id, mixing, personal_data, secret_scan, sharding, simhash, token_rollup, url_filter
-from .common import span_text, table
+from . import (
+    curve_packing, decontaminate, kdtree_search, language_id, lexical_search, mixing, periodic_runs, personal_data, secret_scan, sharding, simhash,
+    token_rollup, url_filter,
+)
+from .common import SPACE, span_text, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -243,3 +246,83 @@ def _topk_search(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     found = kdtree_search.top_k(vectors, F.col("vec_id") % 100 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op11_curve_packing")
+def _curve_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = curve_packing.pack(docs, length=4096, end=2)
+    return found.select(
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query(
+    "op12_lexical_search",
+    rf"""
+    WITH d AS (
+      SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({ASCII.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+    ),
+    i AS (
+      SELECT row_number() OVER () AS item, item_id, regexp_extract_all({ASCII.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark
+    ),
+    wanted AS (SELECT item, term, count(*)::BIGINT AS times FROM (SELECT item, unnest(w) AS term FROM i) GROUP BY ALL),
+    held AS (
+      SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(w) AS term FROM d)
+      WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+    ),
+    overall AS (SELECT count(*)::BIGINT AS n, coalesce(sum(len(w)), 0)::BIGINT AS l FROM d WHERE len(w) > 0),
+    weight AS (
+      SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight
+      FROM (SELECT term, count(*)::BIGINT AS df FROM held GROUP BY term), overall
+    ),
+    impact AS (
+      SELECT row, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(w)::BIGINT * n) // l)) AS impact
+      FROM held JOIN d USING (row), overall
+    ),
+    scored AS (
+      SELECT item, row, doc_id, sum(times * weight * impact)::BIGINT AS score
+      FROM wanted JOIN weight USING (term) JOIN impact USING (term) GROUP BY ALL
+    ),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked JOIN i USING (item) WHERE rank <= 10
+    """,
+)
+def _lexical_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = lexical_search.top_documents(docs, items, k=10)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def planted_repeats(doc_id, text):
+    """The text in which a tenth of the documents repeat a stretch of their words to the end."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeat(words):
+        n = F.size(words).cast("long")
+        start = F.pmod(g, n)
+        period = 1 + F.floor((n - start) / (3 + F.pmod(g, F.lit(8)))).cast("long")
+        unit = F.slice(words, (start + 1).cast("int"), period.cast("int"))
+        times = F.ceil((n - start) / period).cast("int")
+        again = F.slice(F.flatten(F.array_repeat(unit, times)), F.lit(1), (n - start).cast("int"))
+        return F.array_join(F.concat(F.slice(words, F.lit(1), start.cast("int")), again), " ")
+
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    one = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeat(w)).otherwise(F.lit("")))  # the words are split once
+    return F.when(F.pmod(h, F.lit(10)) == 0, F.get(one, F.lit(0))).otherwise(text)
+
+
+@query("op13_periodic_runs")
+def _periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted_repeats(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.find_runs(docs, min_length=12)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), "best.length", (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
