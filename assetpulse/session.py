@@ -40,21 +40,22 @@ def run_folder(spark: SparkSession) -> str:
     return f"{scratch_dir(spark)}/assetpulse-{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, label: str, codec: str | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder; the table read back, and its path for ``forget``."""
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage of iterative jobs and lets several consumers share one computation. The files
-    survive the loss of executors and keep column pruning and pushdown for whoever reads them.
+    survive the loss of executors and keep column pruning and pushdown for whoever reads them. ``codec`` is for wide binary
+    columns that the session's compression leaves as they are.
     """
-    return stored(df, label)[0]
+    return stored(df, label, codec)[0]
 
 
 def forget(spark: SparkSession, path: str | None) -> None:
