@@ -77,7 +77,7 @@ def row_hashes(df: DataFrame) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), nulls, *cols), F.xxhash64(F.lit(2), nulls, *cols)
 
 
-def running_total(df: DataFrame, order: list, weight: str, column: str, label: str) -> DataFrame:
+def running_total(df: DataFrame, order: list, weight: str, column: str, label: str, codec: str | None = None) -> DataFrame:
     """``df``, written once in the given order, with the sum of ``weight`` (a long, never null) over all rows before each row.
 
     Rows are range-partitioned and sorted; every task adds up its own partition batch by batch, and the sums of the partitions
@@ -97,7 +97,7 @@ def running_total(df: DataFrame, order: list, weight: str, column: str, label: s
             )
 
     schema = T.StructType([*df.schema.fields, T.StructField(column, T.LongType()), T.StructField(part, T.IntegerType())])
-    placed = materialize(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(add, schema), label)
+    placed = materialize(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(add, schema), label, codec)
     sums = placed.groupBy(part).agg(F.max(F.col(column) + F.col(weight)).alias("_sum"))
     offsets = sums.select(F.col(part).alias("_of"), F.expr(f"sum(_sum) OVER (ORDER BY {part}) - _sum").alias("_offset"))
     found = placed.join(F.broadcast(offsets), F.col(part) == F.col("_of"))

@@ -11,13 +11,14 @@ Sequences are cut every ``length`` tokens along the curve, through documents whe
 left at the end of the curve is cut into sequences whose lengths are powers of two, largest first, so nothing is padded.
 
 Tokens are stored in two bytes each while they are sorted (four for vocabularies beyond 65,536 entries). A text is cut at
-ASCII white space before it is tokenised: words of the vocabulary never cross it, so every distinct word is tokenised once a
-task. Defined results: a null text is empty, and an empty text is the end token alone. Rows without an id are packed like all
+ASCII white space before it is tokenised: words of the vocabulary never cross it, so a task tokenises every distinct word
+once as long as it remembers it. Defined results: a null text is empty, and an empty text is the end token alone. Rows without an id are packed like all
 others. Repeated rows are packed each on its own.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -29,7 +30,7 @@ from ..session import materialize
 from .common import running_total, small_batches
 
 BUCKETS, DIMENSIONS, STEPS = 1024, 4, 15
-#: words whose tokens a task remembers
+#: pieces of words, and words, whose tokens a task remembers
 REMEMBERED = 1 << 18
 
 
@@ -41,38 +42,80 @@ def vocabulary_path() -> str:
 
 
 class Words:
-    """Token ids of texts, with the ids of words once seen."""
+    """Token ids of texts as bytes, with the ids of the pieces of words once seen.
 
-    def __init__(self, vocabulary: bytes):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_buffer(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.known: dict[bytes, list[int]] = {}
+    A text of printable ASCII characters and the letters of U+00C0 to U+00FF is cut into pieces by the vocabulary's own
+    pattern, and only new pieces go through its model. Other texts are cut into words at ASCII white space; new words go
+    through the whole tokenizer in long rows, set apart by a special token.
+    """
 
-    def ids(self, texts: list[bytes | None], end: int) -> list[np.ndarray]:
+    #: fixed value: how the vocabulary cuts such a text, its ASCII letters in lower case
+    PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]+|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-/:-`{-~]+")
+    OTHER = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f\xc2\xc4-\xff]|\xc3[\x97\xb7]")
+    APART = "<|startoftext|>"
+
+    def __init__(self, vocabulary: bytes, kind: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.kind = kind
+        self.tokenizer, self.plain = Tokenizer.from_buffer(vocabulary), Tokenizer.from_buffer(vocabulary)
+        self.plain.encode_special_tokens = True  # their names in a text are ordinary text
+        self.model, self.apart = self.plain.model, self.tokenizer.token_to_id(self.APART)
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.written = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.pieces: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+
+    def stored(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.kind).tobytes()
+
+    def learn_pieces(self, new: set[bytes]) -> None:
+        lengths, ids, tokenize = [], [], self.model.tokenize
+        for piece in new:
+            found = tokenize(piece.decode() if piece.isascii() else piece.decode().lower().translate(self.written))
+            ids.extend([t.id for t in found])
+            lengths.append(len(found))
+        data, width = self.stored(ids), np.dtype(self.kind).itemsize
+        ends = (np.cumsum(lengths) * width).tolist()
+        self.pieces.update(zip(new, (data[a:b] for a, b in zip([0, *ends], ends))))
+
+    def learn_words(self, new: set[bytes]) -> None:
+        others = []
+        for word in new:
+            if self.apart is None or b"<|" in word or len(word) > 1000:
+                self.words[word] = self.stored(self.plain.encode(word.decode(errors="replace"), add_special_tokens=False).ids)
+            else:
+                others.append(word)
+        rows = [others[at : at + 500] for at in range(0, len(others), 500)]
+        for row in rows:
+            text = self.APART.join(f" {w.decode(errors='replace')} " for w in row)
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int64)
+            for word, own in zip(row, np.split(ids, np.flatnonzero(ids == self.apart))):
+                self.words[word] = self.stored(own[own != self.apart])
+
+    def ids(self, texts: list[bytes | None], end: int) -> list[bytes]:
         """The ids of each text and the end token."""
-        split = [t.split() if t else [] for t in texts]
-        out = []
-        for words in split:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = [w for w in set(words) if w not in self.known]
-            found = self.tokenizer.encode_batch([w.decode(errors="replace") for w in new], add_special_tokens=False)
-            self.known.update(zip(new, (e.ids for e in found)))
-            out.append(np.fromiter(chain(chain.from_iterable(map(self.known.__getitem__, words)), (end,)), dtype=np.uint32))
-        return out
+        known, cut, last = [], [], self.stored([end])
+        for text in texts:
+            simple = not text or not self.OTHER.search(text)
+            known.append(self.pieces if simple else self.words)
+            cut.append(self.PIECES.findall((text or b"").lower()) if simple else text.split())
+        for own, learn in ((self.pieces, self.learn_pieces), (self.words, self.learn_words)):
+            if len(own) > REMEMBERED:
+                own.clear()
+            learn(set(chain.from_iterable(c for c, k in zip(cut, known) if k is own)).difference(own))
+        return [b"".join(map(k.__getitem__, c)) + last for c, k in zip(cut, known)]
 
 
 def directions() -> np.ndarray:
     return np.random.default_rng(11).standard_normal((BUCKETS, DIMENSIONS))
 
 
-def coordinates(ids: list[np.ndarray], axes: np.ndarray) -> np.ndarray:
-    """Grid cells (documents x dimensions) of token lists."""
+def coordinates(ids: list[bytes], kind: str, axes: np.ndarray) -> np.ndarray:
+    """Grid cells (documents x dimensions) of stored tokens."""
     vectors = np.zeros((len(ids), BUCKETS))
     for row, own in zip(vectors, ids):
-        mixed = (own * np.uint32(0x9E3779B1)) >> np.uint32(22)  # the upper 10 bits: BUCKETS of them
+        mixed = (np.frombuffer(own, dtype=kind).astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(22)  # the upper 10 bits: BUCKETS of them
         row += np.log1p(np.bincount(mixed, minlength=BUCKETS))
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)  # never 0: every document has its end token
     x = vectors @ axes
@@ -118,11 +161,11 @@ def tokens(docs: DataFrame, vocabulary: str | None, end: int, text_col: str, id_
 
     @F.pandas_udf("struct<ids:binary,n:bigint,key:bigint>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words, axes = Words(shared.value), directions()
+        words, axes, width = Words(shared.value, kind), directions(), np.dtype(kind).itemsize
         for batch in batches:
             ids = words.ids(batch.tolist(), end)
-            keys = [hilbert_keys(coordinates(ids[at : at + 256], axes), STEPS) for at in range(0, len(ids), 256)]
-            yield pd.DataFrame({"ids": [x.astype(kind).tobytes() for x in ids], "n": [len(x) for x in ids], "key": np.concatenate([*keys, np.zeros(0, np.int64)])})
+            keys = [hilbert_keys(coordinates(ids[at : at + 256], kind, axes), STEPS) for at in range(0, len(ids), 256)]
+            yield pd.DataFrame({"ids": ids, "n": [len(x) // width for x in ids], "key": np.concatenate([*keys, np.zeros(0, np.int64)])})
 
     rows = docs.select(F.col(id_col).alias("id"), encode(F.col(text_col).cast("binary")).alias("t"))
     return rows.select("id", "t.*"), kind
@@ -173,11 +216,11 @@ def pack(
     Tokens are written once as they are counted and once in the order of the curve, which is also their one shuffle.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 4 << 20)  # a text in pieces is held several times over
     found, kind = tokens(docs, vocabulary, end, text_col, id_col)
-    counted = materialize(found, "packing-tokens").withColumn("row", F.monotonically_increasing_id())
+    counted = materialize(found, "packing-tokens", "zstd").withColumn("row", F.monotonically_increasing_id())
     order = [F.col("key"), F.xxhash64("ids"), F.col("id"), F.col("row")]
-    placed = running_total(counted, order, "n", "before", "packing-order")
+    placed = running_total(counted, order, "n", "before", "packing-order", "zstd")
     total = placed.agg(F.sum("n")).first()[0] or 0
     cut = placed.select("id", F.col("n").alias("doc_tokens"), F.explode(pieces(kind, length, tail_starts(total, length))).alias("p"))
     return cut.select("id", "doc_tokens", "p.*")

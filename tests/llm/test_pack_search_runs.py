@@ -37,11 +37,12 @@ def test_words_keep_the_tokens_of_the_text():
 
     path = curve_packing.vocabulary_path()
     whole = Tokenizer.from_file(path)
-    texts = ["It's  A test\tof it, déjà vu 123-45\n\nÀ é <x> 's 't", "", "ΣΣ Σ", "q" * 500, "a\u0085b ́c"]
+    texts = ["It's  A test\tof it, déjà vu 123-45\n\nÀ é <x> 's 't %%'s ÿß Ñandú×÷", "", "ΣΣ Σ", "q" * 500, "a\u0085b ́c \x00a\x1cb \x7f", "é" * 2000]
+    texts += ["".join(map(chr, range(32, 127))), "".join(map(chr, range(192, 215))), " ".join(chr(c) + chr(c + 1) for c in range(33, 9000, 7))]
     with open(path, "rb") as file:
-        words = curve_packing.Words(file.read())
+        words = curve_packing.Words(file.read(), "<u2")
     for text, own in zip(texts, words.ids([t.encode() for t in texts], 2)):
-        assert own.tolist() == whole.encode(text, add_special_tokens=False).ids + [2]
+        assert np.frombuffer(own, dtype="<u2").tolist() == whole.encode(text, add_special_tokens=False).ids + [2]
 
 
 def packed_rows(pieces):
