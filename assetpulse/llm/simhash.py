@@ -18,9 +18,9 @@ five-word shingles differ in 1 to 17 of 64 bits, and no bound on segment counts
 the bits). Nor do two bits prove similarity: a shingle that makes over half of a text sets all bits alone. In ``keep_one``
 fingerprints within two bits are therefore candidates only, and there is a second kind: every text also has sampled
 fingerprints, each over the four shingles that are smallest under hashes of its own. Distinct texts with either in common are
-compared by their whole shingle sets; they are linked if the share of common shingles is at least ``similarity``. A pair at 0.8 is missed with
-a probability of 0.2 %. In buckets of up to ``crowd`` texts all pairs are compared, in larger ones every text with rounds of
-pivots until no two classes are left in the bucket that could still be joined (see ``similar_classes``).
+compared by their whole shingle sets; they are linked if the share of common shingles is at least ``similarity``. A pair at
+0.8 is missed with a probability of 0.2 %. In buckets of up to ``crowd`` texts all pairs are compared; texts of larger ones
+are searched exactly by their rarest shingles (see ``rare_buckets`` and ``similar_classes``).
 
 Defined results: null and empty texts have no word and fingerprint zero, linked like any other. A class id is the smallest
 id in the class; rows without an id belong to classes but give them no id.
@@ -34,10 +34,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.components import connected_components
-from ..session import materialize
+from ..session import forget, materialize, stored
 from .common import row_hashes, small_batches, unused
 
 BLOCKS = 8
@@ -112,22 +112,15 @@ def fingerprints(text: Column, shingle: int = 5) -> Column:
     return simhash(text.cast("binary"))
 
 
-def shared_shingles(a: Column, b: Column, shingle: int = 5) -> Column:
-    """Jaccard similarity of the shingle sets of two texts."""
+def shingle_set(text: Column, shingle: int = 5) -> Column:
+    """The different shingles of a text as hashes."""
 
-    @F.pandas_udf("double")
-    def jaccard(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        def shingles(text):
-            return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(text, shingle)]))
-
-        for left, right in batches:
-            out = []
-            for x, y in zip(map(shingles, left), map(shingles, right)):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(common / max(len(x) + len(y) - common, 1))
-            yield pd.Series(out, dtype="float64")
+    @F.pandas_udf("array<bigint>")
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *shingle_hashes(t, shingle)])).view(np.int64) for t in batch])
 
-    return jaccard(a.cast("binary"), b.cast("binary"))
+    return hashes(text.cast("binary"))
 
 
 def as_hex(fp: Column) -> Column:
@@ -200,8 +193,8 @@ def centres(fps: DataFrame, bits: int) -> DataFrame:
 def close_pairs(fps: DataFrame, bits: int, crowd: int) -> tuple[DataFrame, DataFrame]:
     """(src, dst) pairs of distinct fingerprints within ``bits`` bits of cells up to ``crowd``, and (fp) those in larger cells."""
     placed = cells(fps, bits)
-    sized = placed.withColumn("n", F.count("*").over(W.partitionBy("grid", "cell"))).where("n > 1")
-    shared = materialize(sized, "simhash-cells")  # fingerprints that are alone in a cell are gone
+    sized = placed.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(placed.join(sized, ["grid", "cell"]), "simhash-cells")  # fingerprints that are alone in a cell are gone
     small = shared.where(F.col("n") <= crowd)
     a, b = small.alias("a"), small.alias("b")
     near = (
@@ -229,53 +222,103 @@ def close_buckets(fps: DataFrame, bits: int = 2, crowd: int = 64) -> DataFrame:
     return fps.select("fp", F.lit(-1).alias("sample"), F.col("fp").alias("key")).union(pair).union(centre)
 
 
-def compared(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(src, dst): the ``pairs`` (a, b) whose ``texts`` (node, text) share at least ``similarity`` of their shingles."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
-    )
-    return both.where(shared_shingles(F.col("text_a"), F.col("text_b"), shingle) >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): the ``pairs`` (a, b) whose ``sets`` (node, size, hashes) of shingles have at least ``similarity`` in common."""
+    one, other = (sets.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("hashes").alias(f"{n}_hashes")) for n in "ab")
+    both = pairs.join(one, "a").where("a_size > 0").join(other, "b")
+    both = both.where(F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-6)
+    common = F.size(F.array_intersect("a_hashes", "b_hashes"))
+    return both.where(common >= similarity * (F.col("a_size") + F.col("b_size") - common) - 1e-6).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def similar_classes(
-    buckets: DataFrame, texts: DataFrame, shingle: int, similarity: float, crowd: int = 64
-) -> DataFrame:
-    """(id, component) of the nodes that are linked: those of one bucket (sample, key, node) whose texts are similar.
+def rare_buckets(sets: DataFrame, similarity: float) -> DataFrame:
+    """(sample, key, node, side): buckets in one of which any two ``sets`` (node, size, hashes) of at least ``similarity`` meet.
 
-    In buckets of up to ``crowd`` nodes all pairs are compared. In a larger one rounds of pivots are compared with all
-    members of other classes and leave the bucket, until the rest is one class: no pair that could join two classes is left
-    out. A round takes four times the pivots of the last, those that meet most others first, so a family of copies needs one
-    or two rounds and a bucket of texts that are not similar as many comparisons as it has pairs.
+    Two such sets have at least s / (1 + s) of their sizes' sum in common. With the hashes of each set from the rarest to the
+    most frequent, they share one among the first of either that go beyond what it may lack. How many these are depends on
+    the other set's size, so there is a bucket for each hash and each pair of size classes (steps of 3 %). What only one set
+    holds comes first and makes no bucket: texts of one template that each add an eighth of their own have none at all. In a
+    bucket of two size classes only sets of different sides meet, those of the smaller (1) and of the larger class (2).
     """
+    step = float(np.log(1.03))
+    reach = int(np.ceil(-np.log(similarity) / step))
+    each = sets.select("node", "size", F.explode("hashes").alias("hash"))
+    held = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    known = each.join(held, "hash").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "hash"))).alias("known"))  # bounded by one text
+    own = F.floor(F.log("size") / step).cast("int")
+    classes = known.select("node", "size", "known", own.alias("own"), F.explode(F.sequence(own - reach, own + reach)).alias("other"))
+    needed = F.ceil(similarity / (1 + similarity) * (F.col("size") + F.ceil(F.exp(F.col("other") * step) - 1e-6)) - 1e-6)
+    first = (F.col("size") - needed + 1 - (F.col("size") - F.size("known"))).cast("int")
+    met = classes.withColumn("first", first).where("first > 0").select("node", "own", "other", F.explode(F.slice("known", F.lit(1), F.col("first"))).alias("k"))
+    pair = F.least("own", "other").cast("long") * (1 << 20) + F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    rows = met.select(F.lit(-4).alias("sample"), F.xxhash64(F.col("k.hash"), pair).alias("key"), "node", side.alias("side"))
+    sides = rows.groupBy("sample", "key").agg(F.count("*").alias("n"), F.min("side").alias("one"), F.max("side").alias("other"))
+    return rows.join(sides.where("n > 1 AND (other = 0 OR one < other)").select("sample", "key"), ["sample", "key"])
+
+
+def classes_of(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that ``edges`` link."""
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return connected_components(nodes, edges).select(F.col("id").alias("node"), "component")
+
+
+def unsettled(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, str]:
+    """``buckets`` (sample, key, node, side) that hold more than one class, with n, met (other members of a node's buckets) and component."""
     at = ["sample", "key"]
-    sized = buckets.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(buckets.join(sized, at), "simhash-buckets")
-    small = shared.where(F.col("n") <= crowd)
+    placed = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = placed.groupBy(*at).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = placed.join(split.where("low < high").select(*at, "n"), at)
+    return stored(mixed.join(mixed.groupBy("node").agg(F.sum("n").alias("met")), "node"), "simhash-unsettled")
+
+
+def pivoted(members: DataFrame, wide: int, crowd: int) -> DataFrame:
+    """(a, b): ``wide`` pivots of each bucket, those that meet most others, with its members of other classes; all pairs of small buckets."""
+    at = ["sample", "key"]
+    slot = F.when(F.col("n") <= crowd, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(wide)), F.lit(wide)))
+    best = members.groupBy(*at, slot.alias("slot")).agg(F.max_by(F.struct("node", "component", "side"), F.struct("met", F.xxhash64("node"))).alias("p"))
+    pivots = best.select(*at, F.col("p.node").alias("b"), F.col("p.component").alias("of"), F.col("p.side").alias("from"))
+    met = members.join(pivots, at).where((F.col("component") != F.col("of")) & ((F.col("side") == 0) | (F.col("side") != F.col("from"))))
+    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+
+
+def similar_classes(buckets: DataFrame, sets: DataFrame, similarity: float, crowd: int = 64) -> DataFrame:
+    """(node, component) of the nodes that are linked: those of one bucket (sample, key, node) whose ``sets`` are similar.
+
+    All pairs of buckets of up to ``crowd`` nodes are compared, and all members of larger ones with one pivot. What is then
+    in crowded buckets of several classes is searched exactly by ``rare_buckets``, in rounds of pivots of which each takes
+    four times as many as the last, until every bucket is one class or has been compared whole. Sets of a crowd that are not
+    similar meet in no rare bucket, so their pairs are never made.
+    """
+    spark, at = buckets.sparkSession, ["sample", "key"]
+    sized = buckets.groupBy(*at).agg(F.count("*").alias("n"))
+    small, crowded = (buckets.join(sized.where(c), at) for c in (f"n <= {crowd}", f"n > {crowd}"))
     x, y = small.alias("x"), small.alias("y")
     same = (F.col("x.sample") == F.col("y.sample")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
-    pairs = materialize(x.join(y, same).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "simhash-pairs")
-    edges = materialize(compared(pairs, texts, shingle, similarity), "simhash-edges")
-    left = shared.where(F.col("n") > crowd).select(*at, "node")
-    left = materialize(left.join(shared.groupBy("node").agg(F.sum("n").alias("met")), "node"), "simhash-crowded")
+    pairs = x.join(y, same).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    central = crowded.groupBy("node").agg(F.sum("n").alias("met"))
+    members = crowded.join(central, "node").withColumn("component", F.col("node")).withColumn("side", F.lit(0))
+    first, first_path = stored(pairs.union(pivoted(members, 1, 0)).distinct(), "simhash-pairs")
+    edges, path = stored(compared(first, sets, similarity), "simhash-edges")
+    forget(spark, first_path)
+    labels = classes_of(edges)
+    open_, open_path = unsettled(crowded.select(*at, "node", F.lit(0).alias("side")), labels)
+    left, left_path = stored(rare_buckets(sets.join(open_.select("node").distinct(), "node", "left_semi"), similarity), "simhash-rare")
+    forget(spark, open_path)
     wide = 1
     while True:
-        labels = connected_components(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), edges)
-        placed = left.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = materialize(placed, "simhash-placed")
-        split = placed.groupBy(*at).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-        left = materialize(placed.join(split.where("low < high").select(*at, "n"), at), "simhash-crowded")
-        if left.isEmpty():
+        members, members_path = unsettled(left, labels)
+        forget(spark, left_path)
+        if members.isEmpty():
+            forget(spark, members_path)
             return labels
-        slot = F.when(F.col("n") <= crowd, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(wide)), F.lit(wide)))
-        best = left.groupBy(*at, slot.alias("slot")).agg(F.max_by("node", F.struct("met", F.xxhash64("node", *at))).alias("node"))
-        pivots = materialize(best.select("node").distinct(), "simhash-pivots")
-        members = left.join(pivots.withColumn("chosen", F.lit(True)), "node", "left").select(*at, "node", "component", "met", F.col("chosen").isNotNull().alias("chosen"))
-        members = materialize(members, "simhash-members")
-        pivot = members.where("chosen").select(*at, F.col("node").alias("b"), F.col("component").alias("of"))
-        once = ~F.col("chosen") | (F.col("node") < F.col("b"))
-        pairs = members.join(pivot, at).where((F.col("component") != F.col("of")) & once).select(F.col("node").alias("a"), "b").distinct()
-        edges = materialize(edges.union(compared(pairs, texts, shingle, similarity)), "simhash-edges")
-        left = members.where("NOT chosen").select(*at, "node", "met")
+        pairs, pairs_path = stored(pivoted(members, wide, crowd), "simhash-pairs")
+        before = path
+        edges, path = stored(edges.union(compared(pairs, sets, similarity)), "simhash-edges")
+        for gone in (before, pairs_path):
+            forget(spark, gone)
+        labels = classes_of(edges)
+        left, left_path = members.where(F.col("n") > max(crowd, wide)).select(*at, "node", "side"), members_path  # buckets compared whole are done
         wide *= 4
 
 
@@ -324,13 +367,16 @@ def keep_one(
     prints = prints.withColumns({c: F.when(wordless, 0).otherwise(F.col(c)) for c in same})
     first = prints.groupBy(*same).agg(F.min(F.struct("row", "fp", "samples")).alias("m")).select(F.monotonically_increasing_id().alias("node"), "m.*")
     first = materialize(first, "simhash-nodes")  # numbers hold because they are stored
-    wanted = first.where(F.size("samples") > 0).select("node", F.col("row.a").alias("a"), F.col("row.b").alias("b"))
-    texts = marked.select(F.col(key[0]).alias("a"), F.col(key[1]).alias("b"), F.col(text_col).alias("text")).join(wanted, ["a", "b"])
-    texts = materialize(texts.select("node", "text").dropDuplicates(["node"]), "simhash-texts")
-    buckets = first.select("node", F.posexplode("samples").alias("sample", "key"))
+    buckets = first.select(F.posexplode("samples").alias("sample", "key"), "node")
     close = close_buckets(first.select("fp").distinct(), bits, crowd)
-    buckets = buckets.union(first.where(~wordless).join(close, "fp").select("node", "sample", "key"))
-    labels = similar_classes(buckets, texts, shingle, similarity, crowd)
-    grouped = first.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    buckets = buckets.union(first.where(~wordless).join(close, "fp").select("sample", "key", "node"))
+    shared = buckets.groupBy("sample", "key").agg(F.count("*").alias("n")).where("n > 1").select("sample", "key")
+    buckets = materialize(buckets.join(shared, ["sample", "key"]), "simhash-buckets")
+    wanted = first.join(buckets.select("node").distinct(), "node").select("node", F.col("row.a").alias("a"), F.col("row.b").alias("b"))
+    texts = marked.select(F.col(key[0]).alias("a"), F.col(key[1]).alias("b"), F.col(text_col).alias("text")).join(wanted, ["a", "b"])
+    sets = texts.select("node", shingle_set(F.col("text"), shingle).alias("hashes")).select("node", F.size("hashes").alias("size"), "hashes")
+    sets = materialize(sets.dropDuplicates(["node"]), "simhash-sets")
+    labels = similar_classes(buckets, sets, similarity, crowd)
+    grouped = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = grouped.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.a").alias(key[0]), F.col("row.b").alias(key[1]))
     return marked.join(kept, key, "left_semi").dropDuplicates(key).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assetpulse.llm import decontaminate, simhash
 from assetpulse.llm.common import row_hashes
+from assetpulse.session import materialize
 
 from .util import corpus, empty, frame, words
 
@@ -150,6 +151,57 @@ def test_crowded_buckets_lose_no_link(spark):
     assert not [(i, j) for i, j in links if {2001 + i, 2001 + j} <= got]
 
 
+def sets_of(spark, texts):
+    """The table of shingle sets of texts, nodes numbered, through the operator's own expression."""
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "node bigint, text string").repartition(8)
+    sets = rows.select("node", simhash.shingle_set(F.col("text")).alias("hashes"))
+    return materialize(sets.select("node", F.size("hashes").alias("size"), "hashes"), "test-sets")
+
+
+@pytest.mark.parametrize("edits", [5, 8])
+def test_templates_below_the_similarity_make_no_pairs(spark, monkeypatch, edits):
+    """2,000 texts of one template with an eighth or more of their own: one bucket holds all, and only pivots are compared."""
+    rng = random.Random(31)
+    form = words(rng, "en", 200)
+    texts = [changed(rng, form, edits) for _ in range(2000)]
+    texts += [changed(rng, w, 1) for w in texts[:20]]
+    asked = []
+    compared = simhash.compared
+
+    def counted(pairs, *args):
+        asked.append(pairs.count())
+        return compared(pairs, *args)
+
+    monkeypatch.setattr(simhash, "compared", counted)
+    buckets = spark.range(len(texts)).select(F.lit(0).alias("sample"), F.lit(7).cast("long").alias("key"), F.col("id").alias("node"))
+    labels = simhash.similar_classes(buckets, sets_of(spark, texts), 0.8)
+    classes = {}
+    for r in labels.collect():
+        classes.setdefault(r.component, set()).add(r.node)
+    assert {i: i + 2000 for i in range(20)} == {min(c): max(c) for c in classes.values()} and all(len(c) == 2 for c in classes.values())
+    assert sum(asked) <= 3 * len(texts)
+
+
+def test_rare_buckets_hold_every_similar_pair(spark):
+    """Sets of random sizes and overlaps, also just at the similarity: those that are similar meet in a bucket."""
+    rng = random.Random(5)
+    base, sets = rng.sample(range(1, 10**6), 120), []
+    for k in range(160):
+        kept = rng.sample(base, rng.randint(70, 120))
+        sets.append((k, sorted(kept + rng.sample(range(10**6, 2 * 10**6), rng.randint(0, 14)))))
+    sets += [(200, base[:100]), (201, base[:80]), (202, base[:100] + list(range(-25, 0))), (203, [5]), (204, [5]), (205, [])]
+    df = spark.createDataFrame([(n, len(h), h) for n, h in sets], "node bigint, size int, hashes array<bigint>")
+    met = {}
+    for r in simhash.rare_buckets(df, 0.8).collect():
+        met.setdefault((r.sample, r.key), set()).add((r.node, r.side))
+    together = {(a, b) for nodes in met.values() for a, x in nodes for b, y in nodes if a < b and (x == 0 or x != y)}
+    alike = {(a, b) for a, x in sets for b, y in sets if a < b and x and len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))}
+    assert {(200, 201), (200, 202), (203, 204)} <= alike and len(alike) > 100
+    assert alike <= together
+    pairs = spark.createDataFrame([(a, b) for a, _ in sets for b, _ in sets if a < b], "a bigint, b bigint")
+    assert {(r.src, r.dst) for r in simhash.compared(pairs, df, 0.8).collect()} == alike
+
+
 def test_texts_behind_one_fingerprint_are_searched(spark):
     rng = random.Random(21)
     halves = [words(rng, "en", 60) for _ in range(3)]
