@@ -3,12 +3,13 @@
 A change is a row with the keys (source, lang, version of the tokenizer), a sign and a number of tokens: an insert is +1, a
 delete -1, a revised count (or a document that moves to another source) a -1 with what was counted and a +1 with what is
 counted now. A batch is summed by key, with map-side combining, and committed as a small table of deltas under its number.
-Totals are the sums over the last snapshot and the batches after it.
+Totals are the sums over the last snapshot and the batches that it does not hold.
 
-Commits are idempotent. A batch owns the folder of its number: delivered again, it replaces that folder with the same sums;
-a batch that a snapshot already holds is ignored. A folder counts once its writer has marked it complete, so what a lost
-driver left half-written is not read and is replaced when the batch comes again. As the batch number of a stream has this
-meaning too, ``follow`` is exactly-once.
+Commits are idempotent. Every delivery of a batch writes a folder of its own under the batch's number and counts once its
+writer has marked it complete; of several deliveries the first complete one by name counts, so a reader never misses a batch
+that is delivered again, and what a lost driver left half-written is not read. A snapshot keeps the numbers of the batches
+that it holds as ranges: those, and no others, are ignored from then on, so a batch that comes late, after a snapshot of
+later ones, still counts. As the batch number of a stream has this meaning too, ``follow`` is exactly-once.
 
 Defined results: null keys are keys. Null token counts are 0. Keys whose documents and tokens are all gone have no row. An
 empty batch is committed and changes nothing.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import materialize, scratch_dir
+from ..session import forget, materialize, scratch_dir
 from .common import small_batches
 
 KEYS = ("source", "lang", "version")
@@ -109,42 +110,86 @@ def new_folder(spark: SparkSession) -> str:
     return f"{scratch_dir(spark)}/assetpulse-{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
 
 
+def merged_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of whole numbers, those that touch joined."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 class Rollup:
     """Totals in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def complete(self, kind: str) -> list[int]:
-        """Numbers of the folders that their writer marked complete."""
+    def complete(self, kind: str) -> list[tuple[int, str]]:
+        """(number, path) of the folders that their writer marked complete, by number and name."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}=*/_SUCCESS")
-        found = path.getFileSystem(conf).globStatus(path) or []
-        return sorted(int(s.getPath().getParent().getName().partition("=")[2]) for s in found)
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}=*/part-*/_SUCCESS")
+        found = [s.getPath().getParent() for s in path.getFileSystem(conf).globStatus(path) or []]
+        return sorted((int(p.getParent().getName().partition("=")[2]), p.toString()) for p in found)
+
+    def write(self, rows: DataFrame, kind: str, number: int) -> None:
+        rows.write.parquet(f"{self.folder}/{kind}={number}/part-{uuid.uuid4().hex}")
+
+    def snapshot(self) -> tuple[int, str | None, list[tuple[int, int]]]:
+        """Number and path of the last snapshot, and the ranges (first, last) of the batches it holds; -1, None and none without one."""
+        last, path = max(self.complete("snapshot"), default=(-1, None))
+        if path is None:
+            return -1, None, []
+        held = self.spark.read.parquet(path).where("kind = 'held'").select("docs", "tokens").collect()  # one row a gap in the numbers
+        return last, path, sorted((r.docs, r.tokens) for r in held)
+
+    def open_batches(self, held: list[tuple[int, int]]) -> dict[int, str]:
+        """The folder that counts of each complete batch outside the ranges ``held``."""
+        out: dict[int, str] = {}
+        for number, path in self.complete("batch"):
+            if not any(a <= number <= b for a, b in held):
+                out.setdefault(number, path)
+        return out
 
     def commit(self, batch: int, changes: DataFrame) -> None:
-        """Records the changes of a batch, whatever was recorded under its number before."""
-        if batch <= max(self.complete("snapshot"), default=-1):
+        """Records the changes of a batch, once for each number."""
+        _, _, held = self.snapshot()
+        if any(a <= batch <= b for a, b in held) or batch in self.open_batches(held):
             return
         count = F.coalesce(F.col("tokens"), F.lit(0))
         sums = changes.groupBy(*KEYS).agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * count).alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
+        self.write(sums.withColumn("kind", F.lit("sum")), "batch", batch)
 
-    def totals(self) -> DataFrame:
-        """(source, lang, version, docs, tokens) over all committed batches."""
-        last = max(self.complete("snapshot"), default=-1)
-        paths = [f"{self.folder}/batch={b}" for b in self.complete("batch") if b > last]
-        paths += [f"{self.folder}/snapshot={last}"] if last >= 0 else []
+    def sums(self, paths: list[str]) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], COLUMNS)
-        rows = self.spark.read.schema(COLUMNS).parquet(*paths)
+        rows = self.spark.read.schema(COLUMNS + ", kind string").parquet(*paths).where("kind = 'sum'")
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs != 0 OR tokens != 0")
 
+    def totals(self) -> DataFrame:
+        """(source, lang, version, docs, tokens) over all committed batches."""
+        _, path, held = self.snapshot()
+        return self.sums([*self.open_batches(held).values(), *([path] if path else [])])
+
     def compact(self) -> None:
-        """Folds the batches so far into a snapshot; it counts, and they stop counting, once it is complete."""
-        last = max(self.complete("batch"), default=-1)
-        if last > max(self.complete("snapshot"), default=-1):
-            self.totals().write.mode("overwrite").parquet(f"{self.folder}/snapshot={last}")
+        """Folds the batches so far into a snapshot with their numbers; it counts, and they stop counting, once it is complete.
+
+        The folders of batches that the snapshot before held are deleted: nothing has read them since.
+        """
+        last, path, held = self.snapshot()
+        new = self.open_batches(held)
+        if not new:
+            return
+        ranges = merged_ranges([*held, *((n, n) for n in new)])
+        rows = self.sums([*new.values(), *([path] if path else [])]).withColumn("kind", F.lit("sum"))
+        text = [None] * len(KEYS)
+        numbers = self.spark.createDataFrame([(*text, a, b, "held") for a, b in ranges], COLUMNS + ", kind string")
+        self.write(rows.union(numbers), "snapshot", last + 1)
+        for number in {n for n, _ in self.complete("batch")}:
+            if any(a <= number <= b for a, b in held):
+                forget(self.spark, f"{self.folder}/batch={number}")
 
     def follow(self, changes: DataFrame, checkpoint: str):
         """Starts a streaming query that commits each micro-batch of changes under its number."""
