@@ -110,13 +110,34 @@ def from_point(df: DataFrame, lon: float, lat: float) -> DataFrame:
     return df.withColumn("distance", haversine(F.lit(lon), F.lit(lat), F.col("lon"), F.col("lat")))
 
 
+def radius_boxes(lon: float, lat: float, radius_m: float) -> tuple[float, float, list[tuple[float, float]]]:
+    """South, north and the ranges of longitude that hold every point within a radius: two across 180 degrees, all around a pole."""
+    reach = radius_m / DEGREE_M * (1 + 1e-9) + 1e-9
+    south, north = lat - reach, lat + reach
+    if south <= -90.0 or north >= 90.0:
+        return max(south, -90.0), min(north, 90.0), [(-180.0, 180.0)]
+    side = math.degrees(math.asin(min(math.sin(math.radians(reach)) / math.cos(math.radians(lat)), 1.0))) + 1e-9
+    west, east = lon - side, lon + side
+    if side >= 180.0:
+        return south, north, [(-180.0, 180.0)]
+    if west < -180.0:
+        return south, north, [(-180.0, east), (west + 360.0, 180.0)]
+    if east > 180.0:
+        return south, north, [(west, 180.0), (-180.0, east - 360.0)]
+    return south, north, [(west, east)]
+
+
 def assets_within_radius(assets: DataFrame, lon: float, lat: float, radius_m: float) -> DataFrame:
-    """Assets within a radius of a point, nearest first. The box predicate on plain columns reaches the scan."""
-    dlat = radius_m / DEGREE_M * 1.001
-    dlon = dlat / math.cos(math.radians(min(abs(lat) + dlat, 89.9)))
-    box = F.col("lon").between(lon - dlon, lon + dlon) & F.col("lat").between(lat - dlat, lat + dlat)
+    """Assets within a radius of a point, nearest first, across 180 degrees and the poles too.
+
+    The box predicates on plain columns reach the scan. Longitudes lie in [-180, 180]; a null place is in no radius.
+    """
+    south, north, ranges = radius_boxes(lon, lat, radius_m)
+    around = F.col("lon").between(*ranges[0])
+    for more in ranges[1:]:
+        around = around | F.col("lon").between(*more)
     return (
-        from_point(assets.where(box), lon, lat)
+        from_point(assets.where(F.col("lat").between(south, north) & around), lon, lat)
         .where(F.col("distance") <= radius_m)
         .orderBy("distance", "asset_id")
         .withColumn("distance_m", round_up(F.col("distance"), 1))
@@ -124,6 +145,33 @@ def assets_within_radius(assets: DataFrame, lon: float, lat: float, radius_m: fl
     )
 
 
+def shapes_within_radius(shapes: DataFrame, lon: float, lat: float, radius_m: float) -> DataFrame:
+    """Lines and areas (asset_id, coords) within a radius of a point, nearest first: asset_id, distance_m, inside.
+
+    A closed ring is an area, and a point inside it has distance 0. Distances are in the local plane of the point, which the
+    radius should not leave. A shape is searched segment by segment only if the box of its vertices meets the radius.
+    """
+    south, north, ranges = radius_boxes(lon, lat, radius_m)
+    at = (F.lit(float(lon)), F.lit(float(lat)))
+
+    def nearer(c: Column) -> Column:
+        """The longitude as the one of its turns that is closest to the point."""
+        return lon + F.pmod(c - lon + 180.0, F.lit(360.0)) - 180.0
+
+    turned = F.transform("coords", lambda c: F.struct(nearer(c["lon"]).alias("lon"), c["lat"].alias("lat")))
+    side = max(east - west for west, east in ranges) if ranges == [(-180.0, 180.0)] else sum(east - west for west, east in ranges) / 2
+    boxed = shapes.where(F.size("coords") > 0).select("asset_id", turned.alias("coords"))
+    bounds = {n: f(F.transform("coords", lambda c: c[k])) for n, f, k in (("w", F.array_min, "lon"), ("e", F.array_max, "lon"), ("s", F.array_min, "lat"), ("n", F.array_max, "lat"))}
+    met = boxed.where((bounds["w"] <= lon + side) & (bounds["e"] >= lon - side) & (bounds["s"] <= north) & (bounds["n"] >= south))
+    closed = (F.size("coords") >= 4) & (F.element_at("coords", 1) == F.element_at("coords", -1))
+    # a single vertex is a segment of no length
+    parts = segments(F.when(F.size("coords") == 1, F.concat("coords", "coords")).otherwise(F.col("coords")))
+    edge = F.array_min(F.transform(parts, lambda x: point_to_segment(*at, x["ax"], x["ay"], x["bx"], x["by"])))
+    inside = closed & point_in_ring(*at, F.col("coords"))
+    found = met.select("asset_id", inside.alias("inside"), F.when(inside, 0.0).otherwise(edge).alias("distance")).where(F.col("distance") <= radius_m)
+    return found.orderBy("distance", "asset_id").select("asset_id", round_up(F.col("distance"), 1).alias("distance_m"), "inside")
+
+
 def radius_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("asset_type").agg(
         F.count("*").alias("assets"), F.min("distance_m").alias("nearest_m"), F.max("distance_m").alias("farthest_m")

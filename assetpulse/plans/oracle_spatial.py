@@ -112,6 +112,25 @@ for name, radius, extra in (
     SELECT asset_id, sensor_id, host AS host_asset_id, sensor_type, placement, host = asset_id AS mounted_on_this_asset,
            d <= 0.5 AS on_asset_geometry, {up('d', 1)} AS distance_m FROM sl WHERE d <= {radius} {extra}
     """)
+cte("edge", f"""
+SELECT asset_id, false AS ring, ax, ay, bx, byy FROM seg
+UNION ALL SELECT 'ring-' || asset_id, true, ax, ay, bx, byy FROM seg
+UNION ALL SELECT 'ring-' || asset_id, true, lon3, lat3, lon, lat FROM vtx
+""")
+cte("edged", """
+SELECT e.asset_id, ring, (c.lon - ax) * 111320.0 * cos(radians(c.lat)) AS ex, (c.lat - ay) * 110540.0 AS ey,
+       (bx - ax) * 111320.0 * cos(radians(c.lat)) AS dx, (byy - ay) * 110540.0 AS dy FROM edge e, ctr c
+""")
+cte("shaped", """
+SELECT asset_id, ring AND (bool_and(dx * ey - dy * ex > 0) OR bool_and(dx * ey - dy * ex < 0)) AS inside,
+       min(sqrt(pow(ex - t * dx, 2) + pow(ey - t * dy, 2))) AS edge_m
+FROM (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0.0
+                ELSE greatest(0.0, least(1.0, (ex * dx + ey * dy) / (dx * dx + dy * dy))) END AS t FROM edged)
+GROUP BY asset_id, ring
+""")
+oracle("shapes_within_radius", f"""
+SELECT asset_id, {up('d', 1)} AS distance_m, inside FROM (SELECT *, CASE WHEN inside THEN 0.0 ELSE edge_m END AS d FROM shaped) WHERE d <= 400
+""")
 oracle("road_proximity_rollup", """
 SELECT l.asset_id AS line_id, count(*) AS sensors_nearby, CAST(coalesce(sum(n), 0) AS BIGINT) AS anomalies_nearby,
        CAST(coalesce(sum(act), 0) AS BIGINT) AS active_anomalies, CAST(coalesce(sum(w), 0) AS DOUBLE) AS weighted_severity

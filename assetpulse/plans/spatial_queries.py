@@ -18,6 +18,14 @@ def assets_within_radius(p: Plant) -> DataFrame:
     return proximity.assets_within_radius(p.assets, *CENTRE, 400.0).select("asset_id", "asset_type", "name", "distance_m")
 
 
+@query
+def shapes_within_radius(p: Plant) -> DataFrame:
+    """Lines and areas near the centre; the areas are the lines closed to rings."""
+    lines = p.lines.select("asset_id", "coords")
+    rings = lines.select(F.concat(F.lit("ring-"), "asset_id").alias("asset_id"), F.concat("coords", F.slice("coords", F.lit(1), F.lit(1))).alias("coords"))
+    return proximity.shapes_within_radius(lines.union(rings), *CENTRE, 400.0)
+
+
 @query
 def radius_summary(p: Plant) -> DataFrame:
     return proximity.radius_summary(proximity.assets_within_radius(p.assets, *CENTRE, 400.0))

@@ -50,6 +50,46 @@ def test_metres_not_degrees(spark):
     assert [r.d for r in d] == pytest.approx([111.0, 101.69], abs=0.05)
 
 
+@pytest.mark.parametrize("lon, lat, radius", [(179.9995, 10.0, 250.0), (-180.0, -3.0, 400.0), (20.0, 89.97, 8000.0), (20.0, -89.999, 3e6), (5.0, 60.0, 2.1e7), (5.0, 60.0, 500.0)])
+def test_radius_reaches_across_the_globe(spark, lon, lat, radius):
+    """Equal to the distance of every asset, at 180 degrees, over a pole and around the globe."""
+    rng = random.Random(6)
+    places = [((lon + d + 180.0) % 360.0 - 180.0, max(-90.0, min(90.0, lat + rng.uniform(-1, 1) * radius / 111_000))) for d in (rng.uniform(-1, 1) * s for s in (0.002, 0.01, 180.0) for _ in range(60))]
+    places += [(-179.9995, 10.0), (-160.0, 89.97), (180.0, -3.0), (-180.0, -3.0)]
+    rows = [(f"a{i:03d}", *v) for i, v in enumerate(places)] + [("null", None, 1.0)]
+    assets = spark.createDataFrame(rows, "asset_id string, lon double, lat double")
+    got = [r.asset_id for r in proximity.assets_within_radius(assets, lon, lat, radius).collect()]
+    assert sorted(got) == [i for i, *v in rows[:-1] if hav((lon, lat), v) <= radius] and got
+
+
+def test_shapes_within_radius(spark):
+    """Lines, areas and single vertices, also across 180 degrees, against every segment's distance."""
+
+    def plane(p, a, b):
+        sx, sy = math.cos(math.radians(p[1])) * geo.METRES_PER_DEGREE_LON, geo.METRES_PER_DEGREE_LAT
+        dx, dy, ex, ey = (b[0] - a[0]) * sx, (b[1] - a[1]) * sy, (p[0] - a[0]) * sx, (p[1] - a[1]) * sy
+        l2 = dx * dx + dy * dy
+        t = max(0.0, min(1.0, (ex * dx + ey * dy) / l2)) if l2 else 0.0
+        return math.hypot(ex - t * dx, ey - t * dy)
+
+    rng, radius = random.Random(8), 900.0
+    for lon, lat in ((-100.0, 37.0), (179.999, 37.0)):
+        shapes = []
+        for k in range(80):
+            x, y = lon + rng.uniform(-0.02, 0.02), lat + rng.uniform(-0.02, 0.02)
+            line = [(x + rng.uniform(-0.004, 0.004), y + rng.uniform(-0.004, 0.004)) for _ in range(rng.randint(1, 5))]
+            shapes.append((f"l{k:02d}", line))
+        square = [(-0.01, -0.01), (0.01, -0.01), (0.01, 0.01), (-0.01, 0.01), (-0.01, -0.01)]
+        shapes += [("area", [(lon + x, lat + y) for x, y in square]), ("open", [(lon + x, lat + y) for x, y in square[:-1]]), ("none", [])]
+        wrapped = [(i, [((x + 180.0) % 360.0 - 180.0, y) for x, y in c]) for i, c in shapes]
+        df = spark.createDataFrame(wrapped, "asset_id string, coords array<struct<lon:double,lat:double>>")
+        got = {r.asset_id: (r.distance_m, r.inside) for r in proximity.shapes_within_radius(df, lon, lat, radius).collect()}
+        want = {i: min(plane((lon, lat), a, b) for a, b in zip(c, c[1:] or c)) for i, c in shapes if c}
+        want = {i: d for i, d in want.items() if d <= radius} | {"area": 0.0}
+        assert set(got) == set(want) and len(want) > 5 and got["area"] == (0.0, True) and not any(inside for i, (_, inside) in got.items() if i != "area")
+        assert all(got[i][0] == pytest.approx(d, abs=0.06) for i, d in want.items())
+
+
 def test_nearest_join_grows_its_radius(spark):
     points = scatter(80, 3) + [(-99.0, 38.5), (20.0, -30.0)]
     targets = scatter(60, 4)
