@@ -287,7 +287,7 @@ def similar_classes(buckets: DataFrame, sets: DataFrame, similarity: float, crow
 
     All pairs of buckets of up to ``crowd`` nodes are compared, and all members of larger ones with one pivot. What is then
     in crowded buckets of several classes is searched exactly by ``rare_buckets``, in rounds of pivots of which each takes
-    four times as many as the last, until every bucket is one class or has been compared whole. Sets of a crowd that are not
+    sixteen times as many as the last, until every bucket is one class or has been compared whole. Sets of a crowd that are not
     similar meet in no rare bucket, so their pairs are never made.
     """
     spark, at = buckets.sparkSession, ["sample", "key"]
@@ -319,7 +319,7 @@ def similar_classes(buckets: DataFrame, sets: DataFrame, similarity: float, crow
             forget(spark, gone)
         labels = classes_of(edges)
         left, left_path = members.where(F.col("n") > max(crowd, wide)).select(*at, "node", "side"), members_path  # buckets compared whole are done
-        wide *= 4
+        wide *= 16
 
 
 def classified(prints: DataFrame, id_col: str, bits: int, crowd: int) -> DataFrame:
