@@ -285,10 +285,11 @@ def pivoted(members: DataFrame, wide: int, crowd: int) -> DataFrame:
 def similar_classes(buckets: DataFrame, sets: DataFrame, similarity: float, crowd: int = 64) -> DataFrame:
     """(node, component) of the nodes that are linked: those of one bucket (sample, key, node) whose ``sets`` are similar.
 
-    All pairs of buckets of up to ``crowd`` nodes are compared, and all members of larger ones with one pivot. What is then
-    in crowded buckets of several classes is searched exactly by ``rare_buckets``, in rounds of pivots of which each takes
-    sixteen times as many as the last, until every bucket is one class or has been compared whole. Sets of a crowd that are not
-    similar meet in no rare bucket, so their pairs are never made.
+    All pairs of buckets of up to ``crowd`` nodes are compared, and all members of larger ones with one pivot. Then all sets
+    are searched exactly by ``rare_buckets``, in rounds of pivots of which each takes sixteen times as many as the last, until
+    every bucket is one class or has been compared whole. Sets of a crowd that each add an eighth or more of their own meet in
+    no rare bucket, so their pairs are never made; sets without a common original that share a little more than that, but less
+    than ``similarity``, are still compared pair by pair.
     """
     spark, at = buckets.sparkSession, ["sample", "key"]
     sized = buckets.groupBy(*at).agg(F.count("*").alias("n"))
@@ -302,9 +303,7 @@ def similar_classes(buckets: DataFrame, sets: DataFrame, similarity: float, crow
     edges, path = stored(compared(first, sets, similarity), "simhash-edges")
     forget(spark, first_path)
     labels = classes_of(edges)
-    open_, open_path = unsettled(crowded.select(*at, "node", F.lit(0).alias("side")), labels)
-    left, left_path = stored(rare_buckets(sets.join(open_.select("node").distinct(), "node", "left_semi"), similarity), "simhash-rare")
-    forget(spark, open_path)
+    left, left_path = stored(rare_buckets(sets, similarity), "simhash-rare")
     wide = 1
     while True:
         members, members_path = unsettled(left, labels)
