@@ -4,15 +4,20 @@ Every source gets a target number of words. A document's expected number of copi
 size; the whole part are certain copies. The rest is an order sample: with u a uniform number drawn from a hash of the
 document and p the fractional part, documents are ranked by the ratio of odds (u / (1 - u)) / (p / (1 - p)), and the first
 ones are taken until their words reach what the certain copies left open. What is then still open is smaller than the next
-document, so further documents are ranked among those that still fit, for a fixed number of rounds.
+document; two more rounds rank the documents that still fit, which narrows the gap. After every round a source lacks fewer
+words than one of its documents that the round left out, so the rounds bound nothing but the closeness within that.
 
 A source may hold a third of all rows, so ranks are never computed by sorting it in one task. Words are summed by slices of
 the key (two levels of 4,096), the slice in which the sum passes the target is refined, and only the documents of one such
 slice of 1 / 2^24 are sorted. What results is one key bound per source and round; the decision on a row then follows from
 its source, size and key alone, by a join with the small table of sources.
 
-Defined results: a null text has size 0 and takes nothing. A null source is a source of its own and comes last. Rows that
-agree in id and size share one key and one decision. A source without words has target 0.
+Rows that agree in source, id and size share one key. Where such a block does not fit as a whole, as many of its rows are
+taken as fit, in the order of the MD5 of their texts and then of a stored row number. A source has at most one divided block
+a round. The rows of divided blocks, and no others, are written to the shared folder once and numbered by a range sort.
+
+Defined results: a null text has size 0 and takes nothing. A null source is a source of its own and comes last. A source
+without words has target 0. Which of several rows with equal source, id and text an extra copy goes to is not defined.
 """
 
 from __future__ import annotations
@@ -25,8 +30,10 @@ from .common import unused, without, word_count
 WEIGHTS = (3.0, 1.0, 2.0)
 #: slices of the key per level of refinement
 SLICES = 4096
-#: sources up to this number are joined by broadcast
+#: sources up to this number are joined by broadcast, with one row for each of their rounds at most
 SMALL = 10_000
+#: what a round takes of a source: documents of at most ``most`` words up to the key ``bound``, and ``some`` rows with the key ``part``
+STEP = "struct<bound:double,most:double,part:double,some:bigint>"
 
 
 def uniform(*parts: Column, seed: str = "mix") -> Column:
@@ -67,9 +74,10 @@ def targets(sources: DataFrame, share: float, most: float, weights: tuple[float,
 
 
 def bounds(rows: DataFrame, budget: DataFrame) -> DataFrame:
-    """(source, bound): the largest key up to which each source's rows (source, key, size) stay within ``budget`` (source, left).
+    """(source, bound, part, some, words) for rows (source, key, size) and ``budget`` (source, left).
 
-    Rows with equal keys count together. Sources of which nothing fits have no row.
+    The rows up to the key ``bound`` stay within the budget, and ``some`` of the rows with the next key, ``part``, which make
+    ``words`` words. Sources without rows are left out.
     """
     first = F.floor(F.col("key") * SLICES)
     second = F.floor(F.col("key") * (SLICES * SLICES))
@@ -93,14 +101,20 @@ def bounds(rows: DataFrame, budget: DataFrame) -> DataFrame:
     level1 = materialize(level1, "mix-level1")
     level2 = passing(inside(level1, "s1").groupBy("source", second.alias("s2")).agg(F.sum("size").alias("size")), "s2", level1)
     level2 = materialize(level2.select("source", F.floor(F.col("s2") / SLICES).alias("s1"), "s2", "left"), "mix-level2")
-    keys = inside(level2, "s1", "s2").groupBy("source", "key").agg(F.sum("size").alias("size"))
+    keys = inside(level2, "s1", "s2").groupBy("source", "key").agg(F.sum("size").alias("size"), F.max("size").alias("each"))
     reached = F.sum("size").over(W.partitionBy("source").orderBy("key").rowsBetween(W.unboundedPreceding, W.currentRow))
     within = keys.withColumn("reached", reached).join(level2.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    last = within.where(F.col("reached") <= F.col("left")).groupBy("source").agg(F.max("key").alias("bound"))
+    fits = F.col("reached") <= F.col("left")
+    some = F.floor((F.col("left") - (F.col("reached") - F.col("size"))) / F.col("each"))
+    last = within.groupBy("source").agg(
+        F.max(F.when(fits, F.col("key"))).alias("bound"), F.min(F.when(~fits, F.struct("key", some.alias("some"), "each"))).alias("next")
+    )
     # without a fitting key in that slice the bound lies before it
     floor = level2.select(F.col("source").alias("of"), (F.col("s2") / float(SLICES * SLICES)).alias("low"))
     return floor.join(last, F.col("of").eqNullSafe(F.col("source")), "left").select(
-        F.col("of").alias("source"), F.coalesce("bound", F.col("low") - F.lit(2.0**-53)).alias("bound")
+        F.col("of").alias("source"), F.coalesce("bound", F.col("low") - F.lit(2.0**-53)).alias("bound"),
+        F.col("next.key").alias("part"), F.coalesce("next.some", F.lit(0)).alias("some"),
+        F.coalesce(F.col("next.some") * F.col("next.each"), F.lit(0)).alias("words"),
     )
 
 
@@ -112,7 +126,7 @@ def mix(
 
     Sizes and draws are written to the shared folder once; the decision joins every row with its source's bounds.
     """
-    size, (n, u, of) = word_count(F.col(text_col)), unused(df, "_size", "_u", "_of")
+    size, (n, u, of, plan_of) = word_count(F.col(text_col)), unused(df, "_size", "_u", "_of", "_plan")
     drawn = df.withColumn(n, size).withColumn(u, uniform(F.col(id_col), F.col(n), seed=seed))
     rows = materialize(drawn.select(F.col(source_col).alias("source"), F.col(n).alias("size"), F.col(u).alias("u")), "mix-rows")
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
@@ -120,7 +134,7 @@ def mix(
     sources = sources.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate))
     sources = materialize(sources.select("source", "source_size", "target", "whole", "p"), "mix-targets")
     few = sources.count() <= SMALL
-    plan = sources.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("steps", F.array().cast("array<struct<bound:double,most:double>>"))
+    plan = sources.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("steps", F.array().cast(f"array<{STEP}>"))
     keyed = rows.join(F.broadcast(sources) if few else sources, rows["source"].eqNullSafe(sources["source"])).where("p > 0 AND size > 0")
     keyed = materialize(keyed.select(rows["source"], "size", pareto_key(F.col("u"), F.col("p")).alias("key")), "mix-keys")
     plan = materialize(plan, "mix-plan")
@@ -134,20 +148,51 @@ def mix(
         used = open_rows.join((F.broadcast(step) if few else step).select(F.col("source").alias("of"), "bound"), F.col("source").eqNullSafe(F.col("of")))
         used = used.where("key <= bound").groupBy("of").agg(F.sum("size").alias("used"))
         plan = step.join(used, F.col("source").eqNullSafe(F.col("of")), "left").select(
-            "source", "source_size", "target", "whole", "p", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"),
-            F.when(F.col("bound").isNotNull(), F.concat("steps", F.array(F.struct("bound", "most")))).otherwise(F.col("steps")).alias("steps"),
+            "source", "source_size", "target", "whole", "p", (F.col("left") - F.coalesce("used", F.lit(0)) - F.coalesce("words", F.lit(0))).alias("left"),
+            F.when(F.col("bound").isNotNull(), F.concat("steps", F.array(F.struct("bound", "most", "part", "some").cast(STEP)))).otherwise(F.col("steps")).alias("steps"),
         )
         plan = materialize(plan, "mix-plan")
-    final = plan.select(F.col("source").alias(of), F.struct("source_size", "target", "whole", "p", "steps").alias("_plan"))
+    final = plan.select(F.col("source").alias(of), F.struct("source_size", "target", "whole", "p", "steps").alias(plan_of))
     joined = drawn.join(F.broadcast(final) if few else final, F.col(source_col).eqNullSafe(F.col(of)))
-    key = pareto_key(F.col(u), F.col("_plan.p"))
-    extra = (F.col("_plan.p") > 0) & (F.col(n) > 0) & taken_in(F.col("_plan.steps"), key, F.col(n))
+    of_source = F.col(plan_of)
+    key, steps = pareto_key(F.col(u), of_source["p"]), of_source["steps"]
+    sampled = (of_source["p"] > 0) & (F.col(n) > 0)
     outputs = ("size", "source_size", "target", "copies")
     kept = [F.col(f"`{c}`") for c in without(df, *outputs).columns]
-    return joined.select(
-        *kept, F.col(n).alias("size"), F.col("_plan.source_size").alias("source_size"), F.col("_plan.target").alias("target"),
-        (F.col("_plan.whole") + F.when(extra, 1).otherwise(0)).cast("long").alias("copies"),
+
+    def decided(rows: DataFrame, extra: Column) -> DataFrame:
+        return rows.select(
+            *kept, F.col(n).alias("size"), of_source["source_size"].alias("source_size"), of_source["target"].alias("target"),
+            (of_source["whole"] + F.when(extra, 1).otherwise(0)).cast("long").alias("copies"),
+        )
+
+    settled = taken_in(steps, key, F.col(n))
+    if plan.where(F.exists("steps", lambda s: s["some"] > 0)).isEmpty():
+        return decided(joined, sampled & settled)
+    divided = sampled & F.exists(steps, lambda s: (s["some"] > 0) & (s["part"] == key))
+    whole = decided(joined.where(~divided), sampled & settled)
+    return whole.unionByName(decided(*first_of_blocks(joined.where(divided), F.col(of), key, steps, F.col(text_col), few)))
+
+
+def first_of_blocks(rows: DataFrame, source: Column, key: Column, steps: Column, text: Column, few: bool) -> tuple[DataFrame, Column]:
+    """``rows`` of divided blocks, written once and numbered, and whether a row is among those of its block that are taken.
+
+    Texts are not moved: digests and numbers are sorted, and the last taken pair of each block goes back to the stored rows.
+    """
+    number, end = unused(rows, "_number", "_end")
+    held = materialize(rows.withColumn(number, F.monotonically_increasing_id()), "mix-blocks")
+    some = F.filter(steps, lambda s: (s["some"] > 0) & (s["part"] == key))[0]["some"]
+    pairs = held.select(source.alias("source"), key.alias("key"), some.alias("some"), F.md5(text).alias("digest"), F.col(number).alias("number"))
+    ranked = number_rows(pairs, ["source", "key", "digest", "number"], "rank", "mix-ranked")
+    ends = ranked.groupBy("source", "key").agg((F.min("rank") + F.max("some") - 1).alias("end")).select(
+        F.col("source").alias("of"), F.col("key").alias("of_key"), "end"
     )
+    here = F.col("source").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")) & (F.col("rank") == F.col("end"))
+    last = ranked.join(F.broadcast(ends) if few else ends, here).select("of", "of_key", F.struct("digest", "number").alias("pair"))
+    last = materialize(last, "mix-ends").select(F.struct("of", "of_key", "pair").alias(end))
+    at = F.col(end)
+    found = held.join(F.broadcast(last) if few else last, source.eqNullSafe(at["of"]) & (key == at["of_key"]))
+    return found, F.struct(F.md5(text).alias("digest"), F.col(number).alias("number")) <= at["pair"]
 
 
 def taken_in(steps: Column, key: Column, size: Column) -> Column:

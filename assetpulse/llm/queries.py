@@ -112,7 +112,7 @@ def _mix_rounds(rounds: int = 3) -> str:
     for r in range(rounds):
         out.append(f"""
     open{r} AS (
-      SELECT k.*, left_words, sum(size) OVER (PARTITION BY k.source ORDER BY key RANGE UNBOUNDED PRECEDING) AS reached
+      SELECT k.*, left_words, sum(size) OVER (PARTITION BY k.source ORDER BY key, row ROWS UNBOUNDED PRECEDING) AS reached
       FROM keyed{r} k JOIN left{r} l ON k.source IS NOT DISTINCT FROM l.source WHERE size <= left_words
     ),
     took{r} AS (SELECT row, source, size FROM open{r} WHERE reached <= left_words),
