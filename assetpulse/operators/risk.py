@@ -56,27 +56,31 @@ def with_cell(df: DataFrame, edge: float) -> DataFrame:
 
 
 def nearest_cell_fallback(points: DataFrame, cells: DataFrame, edge: float) -> DataFrame:
-    """``cell_id`` of every point; a point whose arithmetic cell was clipped away takes the nearest kept centre.
+    """(point_id, cell_id) of every point; one whose arithmetic cell was clipped away takes the kept cell with the nearest centre.
 
-    Only cells within one lattice step can be nearest to a point on the outline, so candidates come from the seven
-    index neighbours, by equality.
+    Distinct places without a cell of their own meet centres by equality of squares, the own one and its eight neighbours; a
+    centre within one square's width is the nearest for certain. Places without such a centre go on with squares four times as
+    wide. Equal distances go to the smaller id. Points without finite coordinates, and all points if no cell is kept, get null.
     """
-    placed = points.withColumn("_c", geo.hex_cell(F.col("x"), F.col("y"), edge))
-    near = F.transform(
-        F.sequence(F.col("_c.i") - 2, F.col("_c.i") + 2),
-        lambda i: F.transform(
-            F.sequence(F.col("_c.j") - 2, F.col("_c.j") + 2), lambda j: F.struct(i.alias("i"), j.alias("j"))
-        ),
-    )
-    candidates = placed.select("point_id", "x", "y", "_c", F.explode(F.flatten(near)).alias("n"))
-    kept = cells.select("i", "j", "cell_id", F.col("x").alias("cx"), F.col("y").alias("cy"))
-    own = (F.col("n.i") == F.col("_c.i")) & (F.col("n.j") == F.col("_c.j"))
-    d = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)
-    return (
-        candidates.join(kept, (F.col("n.i") == kept.i) & (F.col("n.j") == kept.j))
-        .groupBy("point_id")
-        .agg(F.min_by("cell_id", F.struct(F.when(own, F.lit(-1.0)).otherwise(d), F.col("cell_id"))).alias("cell_id"))
-    )
+    placed = with_cell(points.select("point_id", "x", "y"), edge)
+    own = cells.select(F.col("cell_id").alias("own"))
+    finite = (F.abs("x") < F.lit(float("inf"))) & (F.abs("y") < F.lit(float("inf")))  # NaN counts as larger than infinity
+    placed = placed.join(own, (F.col("cell_id") == F.col("own")) & finite, "left").select("point_id", "x", "y", "own")
+    places = materialize(placed.where(F.col("own").isNull() & finite).select("x", "y").distinct(), "cell-places")
+    kept = materialize(cells.select(F.col("cell_id").alias("near"), F.col("x").alias("cx"), F.col("y").alias("cy")), "cell-centres")
+    nearest, width = places.withColumn("near", F.lit(None).cast("string")).limit(0), 2 * edge
+    while not places.isEmpty() and not kept.isEmpty():
+        steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+        squares = places.select("x", "y", F.explode(steps).alias("s")).select(
+            "x", "y", (F.floor(F.col("x") / width) + F.col("s.a")).alias("a"), (F.floor(F.col("y") / width) + F.col("s.b")).alias("b")
+        )
+        centres = kept.withColumn("a", F.floor(F.col("cx") / width)).withColumn("b", F.floor(F.col("cy") / width))
+        d = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)
+        hits = squares.join(centres, ["a", "b"]).where(d <= width * width)
+        hits = materialize(hits.groupBy("x", "y").agg(F.min_by("near", F.struct(d, "near")).alias("near")), "cell-hits")
+        nearest = nearest.unionByName(hits)
+        places, width = materialize(places.join(hits, ["x", "y"], "left_anti"), "cell-places"), 4 * width
+    return placed.join(nearest, ["x", "y"], "left").select("point_id", F.coalesce("own", "near").alias("cell_id"))
 
 
 def anomaly_density(cells: DataFrame, anomalies: DataFrame, edge: float, start=None, end=None) -> DataFrame:

@@ -289,3 +289,20 @@ def test_quantile_repeats_where_the_bracket_fails(spark, monkeypatch):
     monkeypatch.setattr(medians.F, "percentile_approx", lambda c, q, a: plain(c, [min(1.0, x + 0.3) for x in q], a))
     got = {r.k: r.m for r in medians.grouped_quantile(df, ["k"], "v", 0.5, "m", accuracy=100).collect()}
     assert got == pytest.approx(want)
+
+
+def test_nearest_cell_of_points_outside(spark):
+    edge, area = 100.0, [(0.0, 0.0), (900.0, 0.0), (900.0, 700.0), (0.0, 700.0)]
+    cells = risk.hex_grid(spark, area, edge)
+    kept = {r.cell_id: (r.x, r.y) for r in cells.collect()}
+    rng = random.Random(4)
+    points = [(i, rng.uniform(-400, 1300), rng.uniform(-400, 1100)) for i in range(150)]
+    points += [(150, 50_000.0, -3.0), (151, 50_000.0, -3.0), (152, None, 1.0), (153, float("nan"), 1.0), (154, 1.0, float("inf"))]
+    df = spark.createDataFrame(points, "point_id bigint, x double, y double")
+    own = {r.point_id: r.cell_id for r in risk.with_cell(df.where("point_id <= 151"), edge).collect()}
+    got = {r.point_id: r.cell_id for r in risk.nearest_cell_fallback(df, cells, edge).collect()}
+    assert len(got) == len(points) and [got[i] for i in (152, 153, 154)] == [None] * 3
+    for i, x, y in points[:152]:
+        want = own[i] if own[i] in kept else min(kept, key=lambda c: ((x - kept[c][0]) ** 2 + (y - kept[c][1]) ** 2, c))
+        assert got[i] == want
+    assert {r.cell_id for r in risk.nearest_cell_fallback(df, cells.limit(0), edge).collect()} == {None}
