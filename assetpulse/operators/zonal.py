@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import clip_range, closed, point_in_segments, segments
 from ..session import materialize
-from .medians import grouped_quantile
+from .medians import grouped_quantiles
 from .proximity import salted_bucket_join
 
 # --- fixed values ---------------------------------------------------------------------------------------------------------
@@ -78,7 +78,7 @@ def zonal_heights(polygons: DataFrame, pixels: DataFrame, projects: DataFrame, s
 
     ``projects`` is (project, collected). A polygon no project touches has no coverage.
     """
-    touched = materialize(pixels_in_polygons(polygons, pixels, size, bucket), "zonal-pixels")  # read five times below
+    touched = materialize(pixels_in_polygons(polygons, pixels, size, bucket), "zonal-pixels")  # read three times below
     newest = (
         touched.select("polygon_id", "project").distinct()
         .join(projects, "project")
@@ -86,16 +86,12 @@ def zonal_heights(polygons: DataFrame, pixels: DataFrame, projects: DataFrame, s
         .agg(F.max_by("project", F.struct("collected", "project")).alias("project"))
     )
     values = touched.where("inside").join(newest, ["polygon_id", "project"]).select("polygon_id", "value")
-    half = grouped_quantile(values, ["polygon_id"], "value", 0.5, "p50")
-    most = grouped_quantile(values, ["polygon_id"], "value", 0.9, "p90").drop("n")
-    top = values.groupBy("polygon_id").agg(F.max("value").alias("vmax"))
+    heights = grouped_quantiles(values, ["polygon_id"], "value", {"p50": 0.5, "p90": 0.9}, top="vmax")
     n = F.coalesce("n", F.lit(0))
     return (
         polygons.select("polygon_id")
         .join(newest, "polygon_id", "left")
-        .join(half, "polygon_id", "left")
-        .join(most, "polygon_id", "left")
-        .join(top, "polygon_id", "left")
+        .join(heights, "polygon_id", "left")
         .withColumn("n_pixels", n)
         .withColumn("status", F.when(F.col("project").isNull(), "no_coverage").otherwise(measured(F.col("p90"), n)))
         .select("polygon_id", "project", "n_pixels", "p50", "p90", "vmax", "status")
@@ -107,7 +103,5 @@ def measurement_summary(measurements: DataFrame) -> DataFrame:
     from .asof import zero_filled
 
     ok = measurements.where(F.col("status") == "ok").select("status", "p90")
-    out = zero_filled(measurements, "status", STATUSES)
-    for q, name in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90")):
-        out = out.join(grouped_quantile(ok, ["status"], "p90", q, name).drop("n"), "status", "left")
-    return out
+    quantiles = grouped_quantiles(ok, ["status"], "p90", {"p10": 0.1, "p50": 0.5, "p90": 0.9}).drop("n")
+    return zero_filled(measurements, "status", STATUSES).join(quantiles, "status", "left")

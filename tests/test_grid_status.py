@@ -117,6 +117,26 @@ def test_grouped_quantile_is_exact(spark, n, q):
     assert got.n == n and got.m == pytest.approx(want, rel=1e-12)
 
 
+@pytest.mark.parametrize("accuracy", [20, 200, 10_000])
+def test_several_quantiles_share_two_passes(spark, accuracy):
+    """Small, large, constant and one-valued groups; nulls and NaN take no part; a large group keeps only its brackets."""
+    import numpy as np
+
+    groups = {
+        "one": [4.0], "two": [1.0, 9.0], "same": [2.5] * 700, "large": [((i * 7919) % 3001) / 7.0 for i in range(3000)],
+        "skew": [0.0] * 900 + [float(i) for i in range(100)], "wide": [(-1.0) ** i * 1.5 ** (i % 90) for i in range(1500)],
+    }
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("one", None), ("two", float("nan")), ("none", None)]
+    wanted = {"low": 0.0, "p10": 0.1, "p11": 0.11, "p50": 0.5, "p90": 0.9, "high": 1.0}
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r.k: r for r in medians.grouped_quantiles(df, ["k"], "v", wanted, top="most", accuracy=accuracy).collect()}
+    assert sorted(got) == sorted(groups)
+    for k, vs in groups.items():
+        assert got[k].n == len(vs) and got[k].most == max(vs)
+        assert [got[k][c] for c in wanted] == pytest.approx([float(np.percentile(vs, q * 100)) for q in wanted.values()], rel=1e-12)
+    assert medians.grouped_quantiles(df.limit(0), ["k"], "v", wanted).count() == 0
+
+
 def test_decayed_means_and_peer_coefficients():
     import numpy as np
 
