@@ -30,6 +30,62 @@ def ellipsoidal(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
     return F.hypot(north, east)
 
 
+#: metres beyond which distances are taken on the sphere
+SPHEROID_REACH_M = 100_000.0
+
+
+def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Metres on the spheroid up to 100 km, on the sphere beyond; the longitudes are less than half a turn apart."""
+    far = haversine(lon1, lat1, lon2, lat2)
+    return F.when(far <= SPHEROID_REACH_M, ellipsoidal(lon1, lat1, lon2, lat2)).otherwise(far)
+
+
+def foot_of(px, py, s: Column) -> Column:
+    """struct(lon, lat): the point of a segment (ax, ay, bx, by) nearest to a point, by the local scale at that point.
+
+    The segment is first turned by whole turns next to the point, so it may lie across 180 degrees.
+    """
+    turn = F.rint((s["ax"] - px) / 360.0) * 360.0
+    dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
+    e2 = 0.0066943799901413165
+    w = 1 - F.pow(F.sin(F.radians(py)), 2) * e2
+    scale = F.cos(F.radians(py)) * w / (1 - e2)  # metres per degree east over metres per degree north
+    east, north = (px + turn - s["ax"]) * scale, py - s["ay"]
+    length = F.pow(dx * scale, 2) + F.pow(dy, 2)
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce((east * dx * scale + north * dy) / F.nullif(length, F.lit(0.0)), F.lit(0.0))))
+    return F.struct((s["ax"] - turn + t * dx).alias("lon"), (s["ay"] + t * dy).alias("lat"))
+
+
+def unbroken(coords: Column) -> Column:
+    """Vertices by longitudes that do not jump at 180 degrees, the smallest at least -180; shapes up to half a turn wide."""
+    first = F.element_at(coords, 1)["lon"]
+
+    def near_first(c: Column) -> Column:
+        return F.when(F.abs(c["lon"] - first) > 180.0, c["lon"] + F.signum(first - c["lon"]) * 360.0).otherwise(c["lon"])
+
+    joined = F.transform(coords, lambda c: F.struct(near_first(c).alias("lon"), c["lat"].alias("lat")))
+    west = F.array_min(F.transform(joined, lambda c: c["lon"])) < -180.0
+    return F.transform(joined, lambda c: F.struct(F.when(west, c["lon"] + 360.0).otherwise(c["lon"]).alias("lon"), c["lat"].alias("lat")))
+
+
+def is_ring(coords: Column) -> Column:
+    return (F.size(coords) >= 4) & (F.element_at(coords, 1) == F.element_at(coords, -1))
+
+
+def shape_segments(coords: Column) -> Column:
+    """Segments of a point, line or ring; a single vertex is a segment of no length."""
+    return segments(F.when(F.size(coords) == 1, F.concat(coords, coords)).otherwise(coords))
+
+
+def shape_distance(lon: Column, lat: Column, coords: Column) -> Column:
+    """Metres on the spheroid from a point to a point, line or area (a closed ring, 0 inside)."""
+    shape = unbroken(coords)
+    feet = F.transform(shape_segments(shape), lambda s: foot_of(lon, lat, s))
+    edge = F.array_min(F.transform(feet, lambda f: geodesic(lon, lat, f["lon"], f["lat"])))
+    inside = point_in_ring(lon, lat, shape) | point_in_ring(lon + 360.0, lat, shape)
+    return F.when(is_ring(shape) & inside, 0.0).otherwise(edge)
+
+
 def mx(lat: Column) -> Column:
     """Metres per degree of longitude at a latitude (local plane)."""
     return F.cos(F.radians(lat)) * METRES_PER_DEGREE_LON

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules
-from ..functions.geometry import haversine, point_in_ring, point_to_segment, segments
+from ..functions.geometry import (
+    foot_of, geodesic, haversine, is_ring, point_in_ring, point_to_segment, segments, shape_distance, shape_segments, unbroken,
+)
 from ..functions.rounding import round_up
 from ..params import EARTH_RADIUS_M
 from ..session import materialize
@@ -105,8 +107,73 @@ def within(
     return pairs.withColumn(out, distance).where(F.col(out) <= radius_m)
 
 
+def pieces(seg: DataFrame, length_m: float) -> DataFrame:
+    """Segments (ax, ay, bx, by) cut into parts about ``length_m`` long: adds the boxes x0, y0, x1, y1 of the parts."""
+    n = F.greatest(F.ceil(haversine(*[F.col(c) for c in ("ax", "ay", "bx", "by")]) / length_m), F.lit(1))
+    cut = seg.withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
+
+    def span(a: str, c: str) -> tuple[Column, Column]:
+        at = [F.col(a) + (F.col(c) - F.col(a)) * ((F.col("_k") + i) / F.col("_n")) for i in (0, 1)]
+        return F.least(*at), F.greatest(*at)
+
+    (x0, x1), (y0, y1) = span("ax", "bx"), span("ay", "by")
+    return cut.select("*", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")).drop("_n", "_k")
+
+
+def shapes_near(points: DataFrame, shapes: DataFrame, radius_m: float, on: list[str] | None = None, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """(plon, plat, *on, target_id, distance) of points, lines and areas (target_id, coords) within the radius of places.
+
+    Distances are metres on the spheroid to the nearest point of a shape, across 180 degrees too; a closed ring is an area, and
+    a place inside it has distance 0. Shapes are indexed by the buckets of the pieces of their segments, so what is visited
+    grows with the length of a shape and not with its box. ``on`` adds equality columns. Places and shapes that are null,
+    empty or not finite are near nothing; a shape is at most half a turn wide.
+    """
+    keys = on or []
+    whole = shapes.where(F.size("coords") > 0).select("target_id", *keys, unbroken(F.col("coords")).alias("coords"))
+    places = points.select("plon", "plat", *keys).distinct()
+    b = Buckets(max(radius_m, 1.0) * 1.01)  # a degree is shorter on the spheroid by up to 0.7 %
+    ends = ["ax", "ay", "bx", "by"]
+    seg = whole.select("target_id", *keys, F.explode(shape_segments(F.col("coords"))).alias("s")).select("target_id", *keys, "s.*")
+    covered = (
+        pieces(seg, 4 * max(radius_m, 1.0))
+        .withColumn("_b", F.explode(b.reach(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])))
+        .select("target_id", *keys, *ends, "_b.cx", "_b.cy")
+        .distinct()
+    )
+    build = places.withColumn("_b", b.of(F.col("plon"), F.col("plat"))).select("*", "_b.cx", "_b.cy").drop("_b")
+    edge = (
+        salted_bucket_join(covered, build, ["cx", "cy", *keys], salt_rows)
+        .withColumn("_f", foot_of(F.col("plon"), F.col("plat"), F.struct(*ends)))
+        .withColumn("distance", geodesic(F.col("plon"), F.col("plat"), F.col("_f.lon"), F.col("_f.lat")))
+        .where(F.col("distance") <= radius_m)
+        .select("plon", "plat", *keys, "target_id", "distance")
+    )
+    # a ring beyond 180 degrees is also asked for places one turn further
+    turned = places.withColumn("lon", F.explode(F.when(F.col("plon") < 0, F.array("plon", F.col("plon") + 360.0)).otherwise(F.array("plon"))))
+    areas = whole.where(is_ring(F.col("coords"))).withColumnRenamed("target_id", "line_id")
+    inside = points_in_rings(turned.withColumn("lat", F.col("plat")).withColumn("point_id", F.struct("plon", "plat")), areas, keys, salt_rows)
+    within_area = inside.select("point_id.plon", "point_id.plat", *keys, F.col("line_id").alias("target_id"), F.lit(0.0).alias("distance"))
+    return edge.union(within_area).groupBy("plon", "plat", *keys, "target_id").agg(F.min("distance").alias("distance"))
+
+
+def near_assets(places: DataFrame, assets: DataFrame, radius_m: float, key: str = "asset_id") -> DataFrame:
+    """Pairs of places (plon, plat, ...) and assets within the radius, by the column ``coords`` of the assets if they have one."""
+    if "coords" not in assets.columns:
+        return within(places, assets, radius_m)
+    found = shapes_near(places, assets.select(F.col(key).alias("target_id"), "coords"), radius_m)
+    found = found.withColumnRenamed("target_id", key)
+    return places.join(found, ["plon", "plat"]).join(assets.drop("coords", "lon", "lat"), key)
+
+
+def attributes(assets: DataFrame, *names: str) -> list[str]:
+    """These columns of the assets and where they are."""
+    return [*names, *(["coords"] if "coords" in assets.columns else ["lon", "lat"])]
+
+
 def from_point(df: DataFrame, lon: float, lat: float) -> DataFrame:
-    """Adds the distance from one point."""
+    """Adds the distance from one point: to the lines and areas of a column ``coords``, else to lon/lat."""
+    if "coords" in df.columns:
+        return df.withColumn("distance", shape_distance(F.lit(float(lon)), F.lit(float(lat)), F.col("coords")))
     return df.withColumn("distance", haversine(F.lit(lon), F.lit(lat), F.col("lon"), F.col("lat")))
 
 
@@ -201,14 +268,19 @@ def nearest_per_type(assets: DataFrame, lon: float, lat: float) -> DataFrame:
 def nearest_join(
     points: DataFrame, targets: DataFrame, start_m: float = 100.0, on: list[str] | None = None
 ) -> DataFrame:
-    """For every point (point_id, plon, plat) its nearest target (target_id, lon, lat): adds target_id, distance.
+    """For every point (point_id, plon, plat) its nearest target (target_id, lon, lat or coords): adds target_id, distance.
 
     Radii grow fourfold until every point has a hit; a hit within the radius is exact, because all targets within it
     were seen. Points that share a place are searched once and targets that share a place are reduced to the
     smallest id. Points without any target (of their ``on`` group) are left out.
     """
     keys = on or []
-    places = targets.groupBy("lon", "lat", *keys).agg(F.min("target_id").alias("target_id"))
+    if "coords" in targets.columns:
+        targets = targets.where(F.size("coords") > 0)
+        near = lambda radius: shapes_near(pending, targets, radius, keys)
+    else:
+        places = targets.groupBy("lon", "lat", *keys).agg(F.min("target_id").alias("target_id"))
+        near = lambda radius: within(pending, places, radius, keys)
     if keys:  # groups without targets can never be served
         points = points.join(targets.select(*keys).distinct(), keys, "left_semi")
     elif targets.isEmpty():
@@ -218,7 +290,7 @@ def nearest_join(
     radius = start_m
     while not pending.isEmpty():
         best = F.min(F.struct("distance", "target_id")).alias("b")
-        hits = materialize(within(pending, places, radius, keys).groupBy("plon", "plat", *keys).agg(best), "nearest-hits")
+        hits = materialize(near(radius).groupBy("plon", "plat", *keys).agg(best), "nearest-hits")
         found = hits if found is None else found.unionByName(hits)
         if radius > math.pi * EARTH_RADIUS_M:
             break
@@ -244,7 +316,7 @@ def assets_near_anomalies(
     The search runs once per distinct anomaly place, so a sensor with very many anomalies costs one probe.
     """
     places = anomalies.select("lon", "lat").distinct()
-    near = within(_as_probe(places), assets.select("asset_id", "asset_type", "name", "lon", "lat"), radius_m)
+    near = near_assets(_as_probe(places), assets.select(*attributes(assets, "asset_id", "asset_type", "name")), radius_m)
     near = near.select(
         "plon", "plat", F.col("asset_id").alias("near_asset_id"), "asset_type", "name", "distance"
     )
@@ -264,9 +336,8 @@ def assets_near_anomalies(
 def nearby_asset_counts(anomalies: DataFrame, assets: DataFrame, radius_m: float) -> DataFrame:
     """Every anomaly with the number of other assets within the radius; counted per place, then handed out."""
     places = anomalies.select("lon", "lat", "asset_id").distinct()
-    near = within(
-        _as_probe(places), assets.select(F.col("asset_id").alias("near_asset_id"), "lon", "lat"), radius_m
-    ).where(F.col("near_asset_id") != F.col("asset_id"))
+    others = assets.select(*attributes(assets, F.col("asset_id").alias("near_asset_id")))
+    near = near_assets(_as_probe(places), others, radius_m, "near_asset_id").where(F.col("near_asset_id") != F.col("asset_id"))
     counts = near.groupBy("plon", "plat", "asset_id").agg(F.count("*").alias("nearby_assets"))
     return (
         _as_probe(anomalies.select("anomaly_id", "asset_id", "lon", "lat"))
@@ -282,7 +353,7 @@ def assets_near_active(anomalies: DataFrame, assets: DataFrame, as_of, radius_m:
         F.max(rules.severity_rank(F.col("severity"))).alias("_rank"),
         F.min("anomaly_id").alias("_first"),
     )
-    pairs = within(_as_probe(places), assets.select("asset_id", "name", "asset_type", "is_simulated", "lon", "lat"), radius_m)
+    pairs = near_assets(_as_probe(places), assets.select(*attributes(assets, "asset_id", "name", "asset_type", "is_simulated")), radius_m)
     return (
         pairs.groupBy("asset_id", "name", "asset_type", "is_simulated")
         .agg(
@@ -305,17 +376,9 @@ def points_near_lines(points: DataFrame, lines: DataFrame, radius_m: float) -> D
     """
     b = Buckets(max(radius_m, 1.0))
     seg = lines.select("line_id", F.explode(segments(F.col("coords"))).alias("s")).select("line_id", "s.*")
-    length = haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    pieces = F.greatest(F.ceil(length / (4 * max(radius_m, 1.0))), F.lit(1))
-    cut = seg.withColumn("_n", pieces).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
-
-    def at(a, c, k):
-        return F.col(a) + (F.col(c) - F.col(a)) * (k / F.col("_n"))
-
-    x0, x1 = at("ax", "bx", F.col("_k")), at("ax", "bx", F.col("_k") + 1)
-    y0, y1 = at("ay", "by", F.col("_k")), at("ay", "by", F.col("_k") + 1)
     covered = (
-        cut.withColumn("_b", F.explode(b.reach(F.least(x0, x1), F.least(y0, y1), F.greatest(x0, x1), F.greatest(y0, y1))))
+        pieces(seg, 4 * max(radius_m, 1.0))
+        .withColumn("_b", F.explode(b.reach(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])))
         .select("line_id", "ax", "ay", "bx", "by", "_b.cx", "_b.cy")
         .distinct()
     )
@@ -330,17 +393,16 @@ def points_near_lines(points: DataFrame, lines: DataFrame, radius_m: float) -> D
     )
 
 
-def points_in_rings(points: DataFrame, rings: DataFrame) -> DataFrame:
-    """(line_id, point_id) for points inside the closed rings among (line_id, coords).
+def points_in_rings(points: DataFrame, rings: DataFrame, on: list[str] | None = None, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """(line_id, point_id, *on) for points inside the closed rings among (line_id, coords). ``on`` adds equality columns.
 
     A ring is looked up on the level of a quadrupling grid whose cells are at least as large as its bounding box, so it
-    meets at most four cells; a point has one cell on each of the ten levels. The cell's candidates are tested exactly.
+    meets at most four cells; a point has one cell on each of the ten levels. The cell's candidates are tested exactly, in salted parts where a cell is crowded.
     """
-    levels = 10
+    levels, keys = 10, on or []
     x, y = F.transform("coords", lambda p: p["lon"]), F.transform("coords", lambda p: p["lat"])
-    closed_ring = (F.size("coords") >= 4) & (F.element_at("coords", 1) == F.element_at("coords", -1))
-    boxed = rings.where(closed_ring).select(
-        "line_id", "coords", F.array_min(x).alias("x0"), F.array_max(x).alias("x1"), F.array_min(y).alias("y0"), F.array_max(y).alias("y1")
+    boxed = rings.where(is_ring(F.col("coords"))).select(
+        "line_id", "coords", *keys, F.array_min(x).alias("x0"), F.array_max(x).alias("x1"), F.array_min(y).alias("y0"), F.array_max(y).alias("y1")
     )
     extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(0.001))
     level = F.least(F.ceil(F.log(4.0, extent / 0.001) - 1e-9), F.lit(levels - 1)).cast("int")
@@ -350,12 +412,13 @@ def points_in_rings(points: DataFrame, rings: DataFrame) -> DataFrame:
         boxed.withColumn("level", level)
         .withColumn("cx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1")))))
         .withColumn("cy", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1")))))
-        .select("line_id", "coords", "level", "cx", "cy")
+        .select("line_id", "coords", "level", "cx", "cy", *keys)
     )
     placed = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).select(
-        "point_id", "lon", "lat", "level", cell(F.col("lon")).alias("cx"), cell(F.col("lat")).alias("cy")
+        "point_id", "lon", "lat", "level", *keys, cell(F.col("lon")).alias("cx"), cell(F.col("lat")).alias("cy")
     )
-    return met.join(placed, ["level", "cx", "cy"]).where(point_in_ring(F.col("lon"), F.col("lat"), F.col("coords"))).select("line_id", "point_id")
+    pairs = salted_bucket_join(met, placed, ["level", "cx", "cy", *keys], salt_rows)
+    return pairs.where(point_in_ring(F.col("lon"), F.col("lat"), F.col("coords"))).select("line_id", "point_id", *keys)
 
 
 def sensors_in_asset_areas(sensors: DataFrame, areas: DataFrame, buffer_m: float = 25.0) -> DataFrame:

@@ -131,6 +131,61 @@ GROUP BY asset_id, ring
 oracle("shapes_within_radius", f"""
 SELECT asset_id, {up('d', 1)} AS distance_m, inside FROM (SELECT *, CASE WHEN inside THEN 0.0 ELSE edge_m END AS d FROM shaped) WHERE d <= 400
 """)
+# points, lines and areas on the spheroid: every place against every side
+A_M, E2 = 6378137.0, 0.0066943799901413165
+cte("side", """
+SELECT asset_id, num % 3 = 2 AS ring, lon AS ax, lat AS ay, lon AS bx, lat AS byy FROM vtx WHERE num % 3 = 0
+UNION ALL SELECT asset_id, num % 3 = 2, lon, lat, lon2, lat2 FROM vtx WHERE num % 3 > 0
+UNION ALL SELECT asset_id, num % 3 = 2, lon2, lat2, lon3, lat3 FROM vtx WHERE num % 3 > 0
+UNION ALL SELECT asset_id, true, lon3, lat3, lon, lat FROM vtx WHERE num % 3 = 2
+""")
+cte("spot", "SELECT DISTINCT lon AS px, lat AS py FROM sn UNION SELECT lon, lat FROM ctr")
+cte("sided", f"""
+SELECT px, py, asset_id, ring, ax, ay, bx - ax AS dx, byy - ay AS dy, px - ax AS ex, py - ay AS ey,
+       cos(radians(py)) * (1 - {E2} * pow(sin(radians(py)), 2)) / {1 - E2!r} AS k FROM spot, side
+""")
+cte("foot", """
+SELECT *, ax + t * dx AS fx, ay + t * dy AS fy FROM (
+  SELECT *, CASE WHEN dx = 0 AND dy = 0 THEN 0.0
+            ELSE greatest(0.0, least(1.0, (ex * dx * k * k + ey * dy) / (pow(dx * k, 2) + dy * dy))) END AS t FROM sided)
+""")
+cte("reached", f"""
+SELECT px, py, asset_id, CASE WHEN bool_and(ring) AND (bool_and(dx * ey - dy * ex > 0) OR bool_and(dx * ey - dy * ex < 0)) THEN 0.0
+       ELSE min(sqrt(pow(radians(fy - py) * {A_M * (1 - E2)!r} / pow(1 - {E2} * pow(sin(radians((py + fy) / 2)), 2), 1.5), 2)
+         + pow(radians(fx - px) * cos(radians((py + fy) / 2)) * {A_M} / sqrt(1 - {E2} * pow(sin(radians((py + fy) / 2)), 2)), 2))) END AS d
+FROM foot GROUP BY px, py, asset_id
+""")
+cte("shape_near", """
+SELECT an.anomaly_id, an.asset_id, an.s_us, an.e_us, an.rk, a.asset_id AS near_id, a.asset_type, a.name, a.is_simulated, r.d
+FROM an JOIN reached r ON r.px = an.lon AND r.py = an.lat JOIN assets a ON a.asset_id = r.asset_id WHERE r.d <= 300
+""")
+oracle("shapes_near_anomaly", f"""
+SELECT anomaly_id, near_id AS near_asset_id, asset_type, {up('d', 1)} AS distance_m FROM shape_near WHERE d <= 100 AND near_id <> asset_id
+""")
+oracle("nearby_shape_counts", """
+SELECT anomaly_id, (SELECT count(*) FROM shape_near s WHERE s.anomaly_id = an.anomaly_id AND d <= 100 AND near_id <> an.asset_id) AS nearby_assets FROM an
+""")
+oracle("shapes_near_active", f"""
+SELECT near_id AS asset_id, name, asset_type, is_simulated, count(*) AS active_anomalies,
+       ['low', 'medium', 'high', 'critical'][max(rk)] AS max_severity, arg_min(anomaly_id, (d, anomaly_id)) AS nearest_anomaly_id,
+       {up('min(d)', 1)} AS distance_m
+FROM shape_near, now WHERE s_us <= now.us AND e_us >= now.us GROUP BY 1, 2, 3, 4
+""")
+oracle("nearest_shape", f"""
+SELECT sensor_id AS point_id, arg_min(r.asset_id, (d, r.asset_id)) AS target_id, {up('min(d)', 1)} AS distance_m FROM sn JOIN reached r ON px = lon AND py = lat GROUP BY sensor_id
+""")
+oracle("nearest_shape_by_type", f"""
+SELECT sensor_id AS point_id, a.asset_type, arg_min(a.asset_id, (d, a.asset_id)) AS target_id, {up('min(d)', 1)} AS distance_m
+FROM sn JOIN reached r ON px = sn.lon AND py = sn.lat JOIN assets a ON a.asset_id = r.asset_id GROUP BY 1, 2
+""")
+cte("shaped_types", """
+SELECT a.*, d FROM reached r JOIN ctr ON px = ctr.lon AND py = ctr.lat JOIN assets a ON a.asset_id = r.asset_id
+""")
+oracle("nearest_shape_per_type", f"""
+SELECT searched_type, asset_id, asset_type, name, {up('d', 1)} AS distance_m FROM (
+  SELECT *, row_number() OVER (PARTITION BY searched_type ORDER BY d, asset_id) AS rn FROM (
+    SELECT asset_type AS searched_type, * FROM shaped_types UNION ALL SELECT 'any type', * FROM shaped_types)) WHERE rn = 1
+""")
 oracle("road_proximity_rollup", """
 SELECT l.asset_id AS line_id, count(*) AS sensors_nearby, CAST(coalesce(sum(n), 0) AS BIGINT) AS anomalies_nearby,
        CAST(coalesce(sum(act), 0) AS BIGINT) AS active_anomalies, CAST(coalesce(sum(w), 0) AS DOUBLE) AS weighted_severity

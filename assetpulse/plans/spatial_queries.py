@@ -66,6 +66,48 @@ def assets_near_active(p: Plant) -> DataFrame:
     return proximity.assets_near_active(p.anomalies, p.assets, as_of(p), 300.0)
 
 
+def _shapes(p: Plant) -> DataFrame:
+    """The assets as points, lines and areas in turn; an area is a line closed to a ring."""
+    form, c = F.pmod("num", F.lit(3)), F.col("coords")
+    first = F.slice(c, F.lit(1), F.lit(1))
+    return p.lines.withColumn("coords", F.when(form == 0, first).when(form == 1, c).otherwise(F.concat(c, first)))
+
+
+@query
+def shapes_near_anomaly(p: Plant) -> DataFrame:
+    near = proximity.assets_near_anomalies(p.anomalies, _shapes(p), p.params.proximity_m)
+    return near.select("anomaly_id", "near_asset_id", "asset_type", "distance_m")
+
+
+@query
+def nearby_shape_counts(p: Plant) -> DataFrame:
+    return proximity.nearby_asset_counts(p.anomalies, _shapes(p), p.params.proximity_m)
+
+
+@query
+def shapes_near_active(p: Plant) -> DataFrame:
+    return proximity.assets_near_active(p.anomalies, _shapes(p), as_of(p), 300.0)
+
+
+@query
+def nearest_shape(p: Plant) -> DataFrame:
+    """Nearest point, line or area of every sensor, on the spheroid."""
+    n = proximity.nearest_join(_points(p), _shapes(p).select(F.col("asset_id").alias("target_id"), "coords"), 50.0)
+    return n.select("point_id", "target_id", round_up(F.col("distance"), 1).alias("distance_m"))
+
+
+@query
+def nearest_shape_by_type(p: Plant) -> DataFrame:
+    points = _points(p).crossJoin(F.broadcast(p.assets.select("asset_type").distinct()))  # the asset types are a short fixed list
+    n = proximity.nearest_join(points, _shapes(p).select(F.col("asset_id").alias("target_id"), "coords", "asset_type"), 200.0, ["asset_type"])
+    return n.select("point_id", "asset_type", "target_id", round_up(F.col("distance"), 1).alias("distance_m"))
+
+
+@query
+def nearest_shape_per_type(p: Plant) -> DataFrame:
+    return proximity.nearest_per_type(_shapes(p), *CENTRE)
+
+
 def _targets(p: Plant, types: bool = False) -> DataFrame:
     return p.assets.select(F.col("asset_id").alias("target_id"), "lon", "lat", *(["asset_type"] if types else []))
 

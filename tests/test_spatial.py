@@ -50,6 +50,65 @@ def test_metres_not_degrees(spark):
     assert [r.d for r in d] == pytest.approx([111.0, 101.69], abs=0.05)
 
 
+def spheroid(a, b):
+    """Metres between near places by the radii of curvature at the middle latitude, on the sphere beyond 100 km."""
+    if hav(a, b) > 100_000:
+        return hav(a, b)
+    mid, e2 = math.radians((a[1] + b[1]) / 2), 0.0066943799901413165
+    w = 1 - e2 * math.sin(mid) ** 2
+    north = math.radians(b[1] - a[1]) * 6378137.0 * (1 - e2) / w**1.5
+    return math.hypot(north, math.radians(b[0] - a[0]) * math.cos(mid) * 6378137.0 / math.sqrt(w))
+
+
+def to_shape(p, coords):
+    """Distance of a place to a shape whose vertices do not jump: the best of many points along each side, 0 inside."""
+    turns = [(p[0] + k, p[1]) for k in (-360.0, 0.0, 360.0)]
+    if len(coords) >= 4 and coords[0] == coords[-1]:
+        for x, y in turns:
+            sides = [(a, b) for a, b in zip(coords, coords[1:]) if (a[1] > y) != (b[1] > y)]
+            if sum(x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in sides) % 2:
+                return 0.0
+    sides = list(zip(coords, coords[1:])) or [(coords[0], coords[0])]
+    along = lambda a, b, t: (a[0] + (b[0] - a[0]) * t, a[1] + (b[1] - a[1]) * t)
+    best = math.inf
+    for a, b in sides:
+        low, high = 0.0, 1.0
+        for _ in range(7):  # the distance along a side has one minimum
+            step = (high - low) / 20
+            t = min((low + step * i for i in range(21)), key=lambda t: min(spheroid(q, along(a, b, t)) for q in turns))
+            low, high = max(0.0, t - step), min(1.0, t + step)
+        best = min(best, min(spheroid(q, along(a, b, t)) for q in turns))
+    return best
+
+
+@pytest.mark.parametrize("lon, lat", [(-100.0, 37.75), (179.9995, 10.0), (20.0, -71.0)])
+def test_shapes_equal_brute_force(spark, lon, lat):
+    """Points, lines and areas around places, at 180 degrees too; missing shapes and places are near nothing."""
+    rng = random.Random(12)
+    wrap = lambda x: (x + 180.0) % 360.0 - 180.0
+    shapes = {}
+    for i in range(24):
+        x, y, size = lon + rng.uniform(-1, 1) * 0.01, lat + rng.uniform(-1, 1) * 0.01, rng.choice([0.0002, 0.003])
+        ring = [(x + size, y), (x, y + size), (x - size, y), (x, y + size / 4), (x, y - size)]  # not convex
+        shapes[f"s{i:02d}"] = [[(x, y)], ring[:3], ring + ring[:1]][i % 3]
+    shapes["long"] = [(lon - 0.5, lat - 0.2), (lon + 0.5, lat + 0.2)]
+    places = [(lon + rng.uniform(-1, 1) * 0.012, lat + rng.uniform(-1, 1) * 0.012) for _ in range(25)]
+    rows = [(k, [(wrap(x), y) for x, y in v]) for k, v in shapes.items()] + [("null", None), ("empty", [])]
+    df = spark.createDataFrame(rows, "target_id string, coords array<struct<lon:double,lat:double>>")
+    points = spark.createDataFrame([(i, wrap(x), y) for i, (x, y) in enumerate(places)] + [(98, None, lat), (99, lon, None)], "point_id int, plon double, plat double")
+    want = {(i, k): to_shape(p, v) for i, p in enumerate(places) for k, v in shapes.items()}
+    found = points.join(proximity.shapes_near(points, df, 300.0, salt_rows=5), ["plon", "plat"]).collect()
+    assert {(r.point_id, r.target_id): r.distance for r in found} == pytest.approx({k: d for k, d in want.items() if d <= 300}, abs=0.01)
+    assert any(r.distance == 0 for r in found)
+    best = {r.point_id: r for r in proximity.nearest_join(points.where("point_id < 90"), df, 20.0).collect()}
+    assert sorted(best) == list(range(25))
+    for i, r in best.items():
+        assert r.distance == pytest.approx(min(want[i, k] for k in shapes), abs=0.01)
+        assert want[i, r.target_id] == pytest.approx(r.distance, abs=0.01)
+    one = {r.target_id: r.distance for r in proximity.from_point(df.where(F.size("coords") > 0), wrap(places[0][0]), places[0][1]).collect()}
+    assert one == pytest.approx({k: want[0, k] for k in shapes}, abs=0.01)
+
+
 @pytest.mark.parametrize("lon, lat, radius", [(179.9995, 10.0, 250.0), (-180.0, -3.0, 400.0), (20.0, 89.97, 8000.0), (20.0, -89.999, 3e6), (5.0, 60.0, 2.1e7), (5.0, 60.0, 500.0)])
 def test_radius_reaches_across_the_globe(spark, lon, lat, radius):
     """Equal to the distance of every asset, at 180 degrees, over a pole and around the globe."""
