@@ -126,11 +126,21 @@ def shapes_near(points: DataFrame, shapes: DataFrame, radius_m: float, on: list[
     Distances are metres on the spheroid to the nearest point of a shape, across 180 degrees too; a closed ring is an area, and
     a place inside it has distance 0. Shapes are indexed by the buckets of the pieces of their segments, so what is visited
     grows with the length of a shape and not with its box. ``on`` adds equality columns. Places and shapes that are null,
-    empty or not finite are near nothing; a shape is at most half a turn wide.
+    empty or not finite are near nothing; a shape is at most half a turn wide. Places and shapes are stored once, because the
+    search reads them several times.
     """
+    places = materialize(points.select("plon", "plat", *(on or [])).distinct(), "shape-places")
+    return _shapes_near(places, stored_shapes(shapes, on), radius_m, on, salt_rows)
+
+
+def stored_shapes(shapes: DataFrame, on: list[str] | None = None) -> DataFrame:
+    whole = shapes.where(F.size("coords") > 0).select("target_id", *(on or []), unbroken(F.col("coords")).alias("coords"))
+    return materialize(whole, "shapes")
+
+
+def _shapes_near(places: DataFrame, whole: DataFrame, radius_m: float, on: list[str] | None = None, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """``shapes_near`` of distinct stored places and of ``stored_shapes``."""
     keys = on or []
-    whole = shapes.where(F.size("coords") > 0).select("target_id", *keys, unbroken(F.col("coords")).alias("coords"))
-    places = points.select("plon", "plat", *keys).distinct()
     b = Buckets(max(radius_m, 1.0) * 1.01)  # a degree is shorter on the spheroid by up to 0.7 %
     ends = ["ax", "ay", "bx", "by"]
     seg = whole.select("target_id", *keys, F.explode(shape_segments(F.col("coords"))).alias("s")).select("target_id", *keys, "s.*")
@@ -276,8 +286,8 @@ def nearest_join(
     """
     keys = on or []
     if "coords" in targets.columns:
-        targets = targets.where(F.size("coords") > 0)
-        near = lambda radius: shapes_near(pending, targets, radius, keys)
+        targets = stored_shapes(targets, keys)
+        near = lambda radius: _shapes_near(pending, targets, radius, keys)
     else:
         places = targets.groupBy("lon", "lat", *keys).agg(F.min("target_id").alias("target_id"))
         near = lambda radius: within(pending, places, radius, keys)
