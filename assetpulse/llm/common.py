@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,24 @@ def word_count(text: Column) -> Column:
     return (F.size(words) - empty).cast("long")
 
 
+class Ranges:
+    """A union of spans (start, end), asked in logarithmic time whether a span meets it."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)  # ranges that start before b
+        return i > 0 and self.ends[i - 1] > a
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names for intermediate results that ``df`` does not have in any case of letters."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .common import small_batches, unused, without
+from .common import Ranges, small_batches, unused, without
 
 BASE = ("email", "ip", "card", "phone")
 LOOSE = ("masked_email", "local_phone", "iban", "ssn", "name")
@@ -116,12 +116,12 @@ class Finder:
 
     def candidates(self, text: str) -> list[dict]:
         found = self.known(text)
-        taken = [(a, b) for _, a, b in found]
+        taken, free = Ranges((a, b) for _, a, b in found), 0  # accepted candidates end before free
         wanted = sorted((m.start(), -m.end(), len(BASE) + i) for i, (_, p) in enumerate(self.loose) for m in p.finditer(text))
         for a, negative, kind in wanted:
-            if not any(a < end and start < -negative for start, end in taken):
-                taken.append((a, -negative))
-                found.append((kind, a, -negative))
+            if a >= free and not taken.meets(a, -negative):
+                free = -negative
+                found.append((kind, a, free))
         return [self.judged(text, *span) for span in sorted(found)]
 
     def judged(self, text: str, kind: int, start: int, end: int) -> dict:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_batches, without
+from .common import Ranges, small_batches, without
 
 KINDS = ("assign", "access", "hex", "random")
 # fixed patterns
@@ -93,9 +93,8 @@ class Scanner:
                 found.append((at + x.start(), 2, at + x.end()))
             if self.random(s):
                 strings.append((at, 3, m.end()))
-        for a, kind, b in strings:
-            if not any(a < end and start < b for start, _, end in found):
-                found.append((a, kind, b))
+        taken = Ranges((a, b) for a, _, b in found)
+        found += [(a, kind, b) for a, kind, b in strings if not taken.meets(a, b)]
         return [(KINDS[kind], a, b, text[a:b]) for a, kind, b in sorted(found)]
 
 

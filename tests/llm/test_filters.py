@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,6 +13,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from assetpulse.llm import language_id, personal_data, secret_scan, url_filter
+from assetpulse.llm.common import Ranges
 from assetpulse.llm.queries import SITE_RULES
 
 from .util import corpus, empty, frame
@@ -158,6 +161,27 @@ def test_long_runs_stay_linear():
         FIND.candidates(text)
 
 
+def test_ranges_equal_every_comparison():
+    rng = random.Random(3)
+    for _ in range(200):
+        spans = [(a, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(8)))]
+        have = Ranges(spans)
+        for a in range(70):
+            for b in (a + 1, a + 5):
+                assert have.meets(a, b) == any(a < end and start < b for start, end in spans)
+
+
+def test_texts_full_of_spans_stay_linear():
+    """A text with 60,000 spans: comparing every span with every other would take minutes."""
+    text = " ".join(f"call (212) 555-{i % 10_000:04d} or a{i}@mail.example.com" for i in range(30_000))
+    begin = time.perf_counter()
+    assert len(FIND.candidates(text)) >= 60_000
+    keys = " ".join(f"{'%032x' % (i * 7919)} Zq{i % 10}xW9kLm4Tv7Rb2Ny8Hc{i:05d}" for i in range(30_000))
+    found = SCAN.spans(keys)
+    assert sum(kind == "hex" for kind, *_ in found) == 30_000 and any(kind == "random" for kind, *_ in found)
+    assert time.perf_counter() - begin < 60
+
+
 def test_reliabilities_and_classifier_separate_classes():
     p = personal_data.reliabilities([("++0000", 500), ("+00000", 100), ("0-0-00", 400), ("00000-", 50)])
     assert p["++0000"] > 0.9 > 0.5 > p["0-0-00"]
