@@ -365,3 +365,37 @@ def test_nearest_cell_of_points_outside(spark):
         want = own[i] if own[i] in kept else min(kept, key=lambda c: ((x - kept[c][0]) ** 2 + (y - kept[c][1]) ** 2, c))
         assert got[i] == want
     assert {r.cell_id for r in risk.nearest_cell_fallback(df, cells.limit(0), edge).collect()} == {None}
+
+
+def test_buckets_of_level_and_steep_segments(spark):
+    rng = random.Random(5)
+    ends = [(-100.0, 37.75, -99.98, 37.75), (-100.0, 37.75, -100.0, 37.73), (-100.0, 37.75, -99.99, 37.76), (-100.0, 37.75, -100.0, 37.75), (-100.0, float("nan"), 0.0, 0.0)]
+    seg = spark.createDataFrame([(i, *e) for i, e in enumerate(ends)], "i int, ax double, ay double, bx double, by double")
+    b = proximity.Buckets(40.0)
+    rows = [(r.i, r.cx, r.cy) for r in proximity.cells_along(seg, b).collect()]
+    assert len(rows) == len(set(rows)) and not any(i == 4 for i, _, _ in rows)
+    # every place within the radius of a segment lies in one of its buckets
+    near = []
+    for i, (ax, ay, bx, by) in enumerate(ends[:4]):
+        for _ in range(200):
+            t, turn, far = rng.random(), rng.random() * 2 * math.pi, rng.random() * 39.9
+            lat = ay + t * (by - ay) + far * math.sin(turn) / 111195.0
+            near.append((i, ax + t * (bx - ax) + far * math.cos(turn) / (111195.0 * math.cos(math.radians(lat))), lat))
+    p = spark.createDataFrame(near, "i int, lon double, lat double")
+    visited = p.select("i", b.of(F.col("lon"), F.col("lat")).alias("b")).select("i", "b.cx", "b.cy").collect()
+    assert {(r.i, r.cx, r.cy) for r in visited} <= set(rows)
+
+
+def test_nearest_join_of_dense_targets_starts_small(spark):
+    rng = random.Random(7)
+    targets = [(f"T{i:04d}", -100.0 + rng.random() * 0.002, 37.75 + rng.random() * 0.002) for i in range(2000)]
+    points = [(i, -100.0 + rng.random() * 0.002, 37.75 + rng.random() * 0.002) for i in range(100)] + [(100, -99.9, 37.9)]
+    t = spark.createDataFrame(targets, "target_id string, lon double, lat double")
+    p = spark.createDataFrame(points, "point_id int, plon double, plat double")
+    assert proximity.first_radius(t, 200.0) < 10.0
+    assert proximity.first_radius(t.limit(1), 200.0) == 200.0
+    got = {r.point_id: (r.distance, r.target_id) for r in proximity.nearest_join(p, t, 200.0).collect()}
+    assert len(got) == len(points)
+    for i, *at in points:
+        d, target = min((hav(at, c), name) for name, *c in targets)
+        assert got[i][1] == target and abs(got[i][0] - d) < 1e-6
