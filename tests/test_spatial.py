@@ -399,3 +399,10 @@ def test_nearest_join_of_dense_targets_starts_small(spark):
     for i, *at in points:
         d, target = min((hav(at, c), name) for name, *c in targets)
         assert got[i][1] == target and abs(got[i][0] - d) < 1e-6
+
+
+def test_shapes_within_radius_reach_the_plane_and_not_the_sphere(spark):
+    # 399.9 m north in the local plane, 402.3 m on the sphere
+    line = [(-100.0, 37.7535 + 399.9 / 110540.0), (-100.0, 37.77)]
+    shapes = spark.createDataFrame([("a", line)], "asset_id string, coords array<struct<lon:double,lat:double>>")
+    assert [tuple(r) for r in proximity.shapes_within_radius(shapes, -100.0, 37.7535, 400.0).collect()] == [("a", 399.9, False)]
