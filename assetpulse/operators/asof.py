@@ -24,10 +24,9 @@ def with_scores(readings: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def latest_per_sensor(readings: DataFrame, columns: tuple[str, ...] = ("value",)) -> DataFrame:
-    """Newest reading per sensor: a grouped ``max_by`` that combines before the shuffle."""
-    return readings.groupBy("sensor_id").agg(
-        F.max("ts").alias("ts"), *[F.max_by(c, "ts").alias(c) for c in columns]
-    )
+    """Newest reading per sensor, of equal times the one with the greatest value; combined before the shuffle."""
+    newest = F.max(F.struct("ts", *columns)).alias("_r")
+    return readings.groupBy("sensor_id").agg(newest).select("sensor_id", "_r.*")
 
 
 def sensor_latest(sensors: DataFrame, readings: DataFrame, columns: tuple[str, ...] = ("value",)) -> DataFrame:

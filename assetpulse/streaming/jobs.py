@@ -52,8 +52,8 @@ def cell_windows(readings: DataFrame, axis: TimeAxis, lateness: str | None = Non
     moved = readings.withColumn("at", F.timestamp_micros(F.unix_micros("ts") - 1))
     moved = moved.withWatermark("at", lateness) if lateness else moved
     w = F.window("at", f"{axis.step_s} seconds", f"{axis.step_s} seconds", f"{offset} microseconds")
-    return moved.groupBy("sensor_id", w.alias("w")).agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value")).select(
-        "sensor_id", axis.cell(F.col("w.end")).alias("cell"), "ts", "value"
+    return moved.groupBy("sensor_id", w.alias("w")).agg(F.max(F.struct("ts", "value")).alias("r")).select(
+        "sensor_id", axis.cell(F.col("w.end")).alias("cell"), "r.ts", "r.value"
     ).where(F.col("cell").between(0, axis.count - 1))
 
 

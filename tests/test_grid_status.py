@@ -207,3 +207,16 @@ def test_sensor_status_at_equals_series(spark):
         one = asof.sensor_status_at(sensors, limits, scored, an, at(step * 3600)).collect()
         assert {r.sensor_id: r.status for r in one} == {s: series[(s, step)] for s in ("s1", "s2", "s3")}
     assert [series[("s1", t)] for t in range(7)] == ["normal", "anomaly", "anomaly", "offline", "offline", "normal", "normal"]
+
+
+@pytest.mark.parametrize("values", [(1.0, 9.0), (9.0, 1.0)])
+def test_readings_of_equal_time_give_one_answer_in_any_order(spark, values):
+    from assetpulse.streaming.jobs import cell_windows
+
+    at = datetime(2024, 1, 1, 6)
+    rows = [("S1", datetime(2024, 1, 1), 5.0), *[("S1", at, v) for v in values]]
+    readings = spark.createDataFrame(rows, "sensor_id string, ts timestamp, value double").coalesce(1)
+    axis = TimeAxis.of(readings, 3600)
+    assert asof.latest_per_sensor(readings).first()["value"] == 9.0
+    for cells in (grid.to_cells(readings, axis), cell_windows(readings, axis)):
+        assert [r["value"] for r in cells.orderBy("cell").collect()][-1] == 9.0
