@@ -406,3 +406,16 @@ def test_shapes_within_radius_reach_the_plane_and_not_the_sphere(spark):
     line = [(-100.0, 37.7535 + 399.9 / 110540.0), (-100.0, 37.77)]
     shapes = spark.createDataFrame([("a", line)], "asset_id string, coords array<struct<lon:double,lat:double>>")
     assert [tuple(r) for r in proximity.shapes_within_radius(shapes, -100.0, 37.7535, 400.0).collect()] == [("a", 399.9, False)]
+
+
+def test_anomalies_travel_with_their_places(spark, monkeypatch):
+    monkeypatch.setattr(proximity, "PLACE_ROWS", 4)
+    an = [(f"N{i:03d}", f"A{i % 3}", -100.0 + (i % 2) * 0.0005, 37.75) for i in range(40)]
+    assets = [(f"A{i}", "road", f"n{i}", -100.0 + i * 0.0004, 37.75) for i in range(5)]
+    a = spark.createDataFrame(an, "anomaly_id string, asset_id string, lon double, lat double")
+    t = spark.createDataFrame(assets, "asset_id string, asset_type string, name string, lon double, lat double")
+    near = proximity.assets_near_anomalies(a, t, 60.0)
+    want = sorted((n, x) for n, host, *p in an for x, _, _, *q in assets if hav(p, q) <= 60.0 and x != host)
+    assert sorted((r.anomaly_id, r.near_asset_id) for r in near.collect()) == want
+    plan = near._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert 0 < plan.index("ASIN") < plan.index("Exchange")  # pairs are not shuffled after the distance test
