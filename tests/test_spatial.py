@@ -419,3 +419,42 @@ def test_anomalies_travel_with_their_places(spark, monkeypatch):
     assert sorted((r.anomaly_id, r.near_asset_id) for r in near.collect()) == want
     plan = near._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert 0 < plan.index("ASIN") < plan.index("Exchange")  # pairs are not shuffled after the distance test
+
+
+def test_tiles_equal_pairs_of_shapes(spark, monkeypatch):
+    """Counts, weights and lists by tiles are those of single pairs, across 180 degrees, with crowded tiles in parts and wide shapes."""
+    from assetpulse.operators import tiles
+
+    monkeypatch.setattr(tiles, "LIST_PLACES", 5)
+    monkeypatch.setattr(tiles.Tiling.__init__, "__defaults__", (6, 10))
+    rng, lon, lat = random.Random(3), 179.9999, 37.75
+    wrap = lambda x: (x + 180.0) % 360.0 - 180.0
+    shapes = {}
+    for i in range(30):
+        x, y = lon + rng.uniform(-1, 1) * 0.004, lat + rng.uniform(-1, 1) * 0.003
+        ring = [(x, y), (x + 0.002, y + 0.0005), (x + 0.0005, y + 0.002)]
+        shapes[f"A{i:02d}"] = [ring[:1], ring, ring + ring[:1]][i % 3]
+    shapes["A90"] = [(lon - 0.3, lat), (lon + 0.3, lat + 0.001)]
+    rows = [(k, "road", f"n{k}", False, [(wrap(x), y) for x, y in v]) for k, v in shapes.items()]
+    assets = spark.createDataFrame(rows, "asset_id string, asset_type string, name string, is_simulated boolean, coords array<struct<lon:double,lat:double>>")
+    an = [(f"N{i:02d}", f"A{i % 30:02d}", lon + rng.uniform(-1, 1) * 0.004, lat + rng.uniform(-1, 1) * 0.003) for i in range(24)]
+    an += [("N90", "A01", *an[0][2:]), ("N91", "A02", None, lat)]
+    a = spark.createDataFrame([(*r[:2], None if r[2] is None else wrap(r[2]), r[3]) for r in an], "anomaly_id string, asset_id string, lon double, lat double")
+    want = {(n, k): to_shape(p, v) for n, _, *p in an if p[0] is not None for k, v in shapes.items()}
+    hosts = {n: host for n, host, *_ in an}
+    pairs = {(n, k): d for (n, k), d in want.items() if d <= 150.0 and hosts[n] != k}
+    got = proximity.assets_near_anomalies(a, assets, 150.0).collect()
+    assert {(r.anomaly_id, r.near_asset_id): r.distance_m for r in got} == pytest.approx(pairs, abs=0.06) and len(got) == len(pairs)
+    counts = {r.anomaly_id: r.nearby_assets for r in proximity.nearby_asset_counts(a, assets, 150.0).collect()}
+    assert counts == {n: sum(1 for m, _ in pairs if m == n) for n in hosts} and max(counts.values()) > 1
+    lists = {r.anomaly_id: r.nearby for r in proximity.with_nearby_assets(a, assets, 150.0).collect()}
+    assert {n: sorted(x.near_asset_id for x in v or []) for n, v in lists.items()} == {n: sorted(k for m, k in pairs if m == n) for n in hosts}
+    assert all(v is None or [x.distance_m for x in v] == sorted(x.distance_m for x in v) for v in lists.values())
+
+
+def test_pairs_near_places_are_not_shuffled(spark):
+    """What leaves a tile is a row a place: no exchange above the distances of lists, none of pairs anywhere."""
+    a = spark.createDataFrame([(f"N{i}", f"A{i}", -100.0 + i * 0.0002, 37.75) for i in range(9)], "anomaly_id string, asset_id string, lon double, lat double")
+    assets = spark.createDataFrame([(f"A{i}", -100.0 + i * 0.0002, 37.75) for i in range(9)], "asset_id string, lon double, lat double")
+    plan = proximity.with_nearby_assets(a, assets, 60.0)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan and "Exchange" not in plan[: plan.index("CoGroup")]
