@@ -403,6 +403,25 @@ def one_to_one(pairs: DataFrame, left: str, right: str, distance: str = "distanc
     return taken if taken is not None else rest
 
 
+def one_to_one_within(near, left: str, right: str, radius_m: float, bands: int = 4) -> DataFrame:
+    """``one_to_one`` of all pairs within a radius, which are formed only as far as the matching needs them.
+
+    ``near(radius, taken)`` gives the pairs (left, right, distance) at most a radius apart whose sides are not in ``taken``
+    (None at first). Radii grow fourfold to the whole one: a shorter pair is always taken before a longer one, so the matching
+    within a smaller radius is a part of the whole one, and what it took meets nobody any more.
+    """
+    taken: DataFrame | None = None
+    for k in reversed(range(bands)):
+        found = one_to_one(near(radius_m / 4.0**k, taken), left, right)
+        taken = found if taken is None else materialize(taken.unionByName(found), "matched")
+    return taken
+
+
+def free(df: DataFrame, column: str, taken: DataFrame | None, side: str) -> DataFrame:
+    """Rows whose column is not among a side of the matched pairs."""
+    return df if taken is None else df.join(taken.select(F.col(side).alias(column)), column, "left_anti")
+
+
 def decode_inventory(features: DataFrame, pivot_year: int) -> DataFrame:
     """Typed bridge records from (attributes map, lon, lat); rows without identifier or point are dropped."""
     from .quality import coordinate_check
@@ -453,12 +472,13 @@ def attach_inventory(records: DataFrame, chains: DataFrame, box: Box, radius_m:
 
     inside = in_box(F.col("lon"), F.col("lat"), box)
     usable = records.where((F.col("location_check") == "ok") & inside)
-    near = points_near_lines(
-        usable.select(F.col("structure_number").alias("point_id"), "lon", "lat"),
-        chains.where(F.col("bridge_class").startswith("highway:")).select(F.col("chain_id").alias("line_id"), "coords"),
-        radius_m,
-    )
-    matched = one_to_one(near, "point_id", "line_id").select(
+    points = usable.select(F.col("structure_number").alias("point_id"), "lon", "lat")
+    lines = chains.where(F.col("bridge_class").startswith("highway:")).select(F.col("chain_id").alias("line_id"), "coords")
+
+    def near(radius: float, taken: DataFrame | None) -> DataFrame:
+        return points_near_lines(free(points, "point_id", taken, "point_id"), free(lines, "line_id", taken, "line_id"), radius)
+
+    matched = one_to_one_within(near, "point_id", "line_id", radius_m).select(
         F.col("point_id").alias("structure_number"), F.col("line_id").alias("chain_id"),
         (F.rint(F.col("distance") * 10) / 10).alias("match_distance_m"),
     )

@@ -458,3 +458,21 @@ def test_pairs_near_places_are_not_shuffled(spark):
     assets = spark.createDataFrame([(f"A{i}", -100.0 + i * 0.0002, 37.75) for i in range(9)], "asset_id string, lon double, lat double")
     plan = proximity.with_nearby_assets(a, assets, 60.0)._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" in plan and "Exchange" not in plan[: plan.index("CoGroup")]
+
+
+def test_matching_forms_few_pairs(spark):
+    """Matching in growing radii is the matching of all pairs, and dense sides meet only as far as they must."""
+    rng = random.Random(8)
+    a = spark.createDataFrame([(i, -100.0 + rng.random() * 0.002, 37.75 + rng.random() * 0.001) for i in range(40)], "i int, plon double, plat double")
+    b = spark.createDataFrame([(j, -100.0 + rng.random() * 0.002, 37.75 + rng.random() * 0.001) for j in range(90)], "j int, lon double, lat double")
+    formed = []
+
+    def near(radius, taken):
+        pairs = proximity.within(gis.free(a, "i", taken, "i"), gis.free(b, "j", taken, "j"), radius).select("i", "j", "distance")
+        formed.append(pairs.count())
+        return pairs
+
+    whole = proximity.within(a, b, 60.0).select("i", "j", "distance")
+    got = sorted(tuple(r) for r in gis.one_to_one_within(near, "i", "j", 60.0).collect())
+    assert got == sorted(tuple(r) for r in gis.one_to_one(whole, "i", "j").collect()) and got
+    assert sum(formed) < whole.count() / 2
