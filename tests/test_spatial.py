@@ -476,3 +476,33 @@ def test_matching_forms_few_pairs(spark):
     got = sorted(tuple(r) for r in gis.one_to_one_within(near, "i", "j", 60.0).collect())
     assert got == sorted(tuple(r) for r in gis.one_to_one(whole, "i", "j").collect()) and got
     assert sum(formed) < whole.count() / 2
+
+
+@pytest.mark.parametrize("accuracy", [3, 10_000])
+def test_counted_quantiles_equal_those_of_single_rows(spark, accuracy):
+    from assetpulse.operators import medians
+
+    rng = random.Random(3)
+    rows = [("ab"[i % 2], float(rng.randrange(9)), rng.randrange(1, 2500)) for i in range(40)] + [("c", 4.0, 1), ("d", None, 2), ("d", math.nan, 2)]
+    df = spark.createDataFrame(rows, "k string, v double, n bigint")
+    wanted = {"p50": 0.5, "p90": 0.9}
+    singles = df.withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int")))).drop("_")
+    want = sorted(map(tuple, medians.grouped_quantiles(singles, ["k"], "v", wanted, top="top").collect()))
+    got = sorted(map(tuple, medians.counted_quantiles(df, ["k"], "v", "n", wanted, top="top", accuracy=accuracy).collect()))
+    assert got == want and len(got) == 3
+
+
+def test_zonal_heights_take_equal_pixels_and_equal_rings_once(spark):
+    from assetpulse.operators import zonal
+
+    def square(k, x, side):
+        return (k, [(x, 0.0), (x + side, 0.0), (x + side, side), (x, side)])
+
+    polygons = spark.createDataFrame([square(1, 0.5, 39.0), square(2, 0.5, 39.0), square(3, 500.0, 9.0)], "polygon_id bigint, ring array<struct<lon:double,lat:double>>")
+    pixels = [("old", 15.0, 15.0, 7.0)] + [("new", 5.0 + 10 * (i % 4), 5.0, 3.0 + i % 2) for i in range(400)] + [("new", 5.0, 5.0, None)]
+    df = spark.createDataFrame(pixels, "project string, px double, py double, value double")
+    assert zonal.stacked(df).count() == 5
+    projects = spark.createDataFrame([("old", "2013"), ("new", "2018")], "project string, collected string")
+    got = {r.polygon_id: tuple(r)[1:] for r in zonal.zonal_heights(polygons, df, projects, 10.0, 200.0).collect()}
+    one = ("new", 400, 3.5, 4.0, 4.0, "ok")
+    assert got == {1: one, 2: one, 3: (None, 0, None, None, None, "no_coverage")}
