@@ -302,13 +302,52 @@ def node_assets(nodes: DataFrame, box: Box) -> DataFrame:
     )
 
 
-def _first_names(ways: dict, before: list[tuple[int, bool]], first: int, behind: list[tuple[int, bool]]) -> list[str]:
+def _first_names(names: list, before: list[int], first: int, behind: list[int]) -> list[str]:
     """Names of a chain without repeats: where a name occurs on both sides, that behind the first way stays."""
-    later = list(dict.fromkeys(n for i in (first, *(i for i, _ in behind)) if (n := ways[i].name)))
-    outward = list(dict.fromkeys(n for i, _ in reversed(before) if (n := ways[i].name) and n not in later))
+    later = list(dict.fromkeys(n for i in (first, *behind) if (n := names[i])))
+    outward = list(dict.fromkeys(n for i in reversed(before) if (n := names[i]) and n not in later))
     return outward[::-1] + later
 
 
+def _walk_chains(heads, tails, names) -> list[dict]:
+    """The chains of ways in the order of their ids: paths of places from 1 (negative: from tail to head), and their names."""
+    at_node: dict[str, list[int]] = {}
+    for i in range(len(heads) - 1, -1, -1):  # the lowest id of a node is the last of its list
+        for node in {heads[i], tails[i]}:
+            at_node.setdefault(node, []).append(i)
+    free = dict.fromkeys(range(len(heads)))
+
+    def walk(node: str) -> list[tuple[int, bool]]:
+        """Free ways from a node onwards, each with whether it is walked from its head to its tail."""
+        steps = []
+        while True:
+            here = at_node[node]
+            while here and here[-1] not in free:
+                here.pop()
+            if not here:
+                return steps
+            i = here.pop()
+            del free[i]
+            ahead = heads[i] == node
+            node = tails[i] if ahead else heads[i]
+            steps.append((i, ahead))
+
+    found = []
+    while free:
+        first = next(iter(free))
+        del free[first]
+        behind = walk(tails[first])
+        before = [(i, not ahead) for i, ahead in reversed(walk(heads[first]))]
+        path = [i + 1 if ahead else -i - 1 for i, ahead in (*before, (first, True), *behind)]
+        named = _first_names(names, [i for i, _ in before], first, [i for i, _ in behind])
+        found.append({"path": path, "names": named})
+    return found
+
+
+def _chain_walks(heads: pd.Series, tails: pd.Series, names: pd.Series) -> pd.Series:
+    return pd.Series([_walk_chains(h, t, n) for h, t, n in zip(heads, tails, names)])
+
+
 def merge_chains(ways: DataFrame) -> DataFrame:
     """Bridge ways (id, bridge_class, nodes, coords, name) of one class that share end nodes, as one line each.
 
@@ -333,49 +372,26 @@ def merge_chains(ways: DataFrame) -> DataFrame:
     edges = touching.join(lowest, ["bridge_class", "end"]).where("id <> dst").select(F.col("id").alias("src"), "dst")
     component = connected_components(ends.select("id"), edges)
 
-    def chains(pdf: pd.DataFrame) -> pd.DataFrame:
-        ways = {r.id: r for r in pdf.sort_values("id").itertuples()}
-        at_node: dict[str, list[int]] = {}
-        for way in reversed(ways.values()):  # the lowest id of a node is the last of its list
-            for node in {way.head, way.tail}:
-                at_node.setdefault(node, []).append(way.id)
-        free = dict.fromkeys(ways)
-
-        def walk(node: str) -> list[tuple[int, bool]]:
-            """Free ways from a node onwards, each with whether it is walked from its head to its tail."""
-            steps = []
-            while True:
-                here = at_node[node]
-                while here and here[-1] not in free:
-                    here.pop()
-                if not here:
-                    return steps
-                way = ways[here.pop()]
-                del free[way.id]
-                ahead = way.head == node
-                node = way.tail if ahead else way.head
-                steps.append((way.id, ahead))
-
-        found = []
-        while free:
-            first = ways[next(iter(free))]
-            del free[first.id]
-            behind = walk(first.tail)
-            before = [(i, not way_ahead) for i, way_ahead in reversed(walk(first.head))]
-            path = [*before, (first.id, True), *behind]
-            line: list = []
-            for i, way_ahead in path:
-                points = list(ways[i].coords) if way_ahead else list(ways[i].coords)[::-1]
-                line += points[1:] if line else points
-            ids = [i for i, _ in path]
-            found.append((min(ids), first.bridge_class, ids, line, _first_names(ways, before, first.id, behind)))
-        return pd.DataFrame(found, columns=["chain_id", "bridge_class", "way_ids", "coords", "names"])
-
-    schema = (
-        "chain_id bigint, bridge_class string, way_ids array<bigint>, coords array<struct<lon:double,lat:double>>, "
-        "names array<string>"
+    # a chain's ways in one row, by id; the task sees no coordinates and answers with places in that row
+    way = F.struct("id", "head", "tail", "name", "bridge_class", "coords")
+    whole = ends.join(component, "id").groupBy("component").agg(F.array_sort(F.collect_list(way)).alias("ways"))
+    listed = F.transform("ways", lambda w: F.struct(w["head"].alias("head"), w["tail"].alias("tail"), w["name"].alias("name")))
+    walk = F.pandas_udf(_chain_walks, "array<struct<path:array<int>,names:array<string>>>")
+    walked = whole.withColumn("chain", F.explode(walk(listed["head"], listed["tail"], listed["name"])))
+    at = lambda step: F.element_at("ways", F.abs(step).cast("int"))
+
+    def points(step: Column, i: Column) -> Column:
+        """Vertices of a way as walked, without the one it shares with the way before."""
+        line = at(step)["coords"]
+        line = F.when(step > 0, line).otherwise(F.reverse(line))
+        return F.when(i == 0, line).otherwise(F.slice(line, F.lit(2), F.size(line)))
+
+    path = F.col("chain.path")
+    ids = F.transform(path, lambda step: at(step)["id"])
+    return walked.select(
+        F.array_min(ids).alias("chain_id"), at(path[0])["bridge_class"].alias("bridge_class"), ids.alias("way_ids"),
+        F.flatten(F.transform(path, points)).alias("coords"), F.col("chain.names").alias("names"),
     )
-    return ends.join(component, "id").groupBy("component").applyInPandas(chains, schema)
 
 
 def one_to_one(pairs: DataFrame, left: str, right: str, distance: str = "distance") -> DataFrame:

@@ -478,6 +478,23 @@ def test_matching_forms_few_pairs(spark):
     assert sum(formed) < whole.count() / 2
 
 
+def test_chains_are_walked_without_a_task_call_per_chain(spark):
+    at = lambda *xs: [(float(x), 0.0) for x in xs]
+    rows = [
+        (5, "a", [1, 9, 2], at(0, 1, 2), "west"), (2, "a", [3, 8, 2], at(4, 3, 2), "mid"), (9, "a", [3, 7, 4], at(4, 5, 6), "west"),
+        (7, "b", [4, 6], at(6, 7), None), (11, "a", [20, 21, 20], at(9, 10, 9), "loop"),
+    ]
+    ways = spark.createDataFrame(rows, "id bigint, bridge_class string, nodes array<bigint>, coords array<struct<lon:double,lat:double>>, name string")
+    df = gis.merge_chains(ways)
+    got = {r.chain_id: (r.bridge_class, r.way_ids, [c.lon for c in r.coords], r.names) for r in df.collect()}
+    assert got == {
+        2: ("a", [9, 2, 5], [6.0, 5.0, 4.0, 3.0, 2.0, 1.0, 0.0], ["mid", "west"]),
+        7: ("b", [7], [6.0, 7.0], []),
+        11: ("a", [11], [9.0, 10.0, 9.0], ["loop"]),
+    }
+    assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("accuracy", [3, 10_000])
 def test_counted_quantiles_equal_those_of_single_rows(spark, accuracy):
     from assetpulse.operators import medians
