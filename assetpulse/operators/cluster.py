@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.rounding import round_up
 from ..functions.rules import severity_of_rank, severity_rank
 from ..params import HULL_BUFFER_M
-from ..session import materialize, number_rows
+from ..session import dealt, materialize, number_rows
 from .components import connected_components
 
 UNIT = ["ux", "uy", "ut"]
@@ -78,6 +78,32 @@ def unit_pairs(units: DataFrame, eps_m: float, eps_s: float) -> DataFrame:
     )
 
 
+def outermost(core: DataFrame) -> DataFrame:
+    """At most eight members of every unit: those farthest out in the plane, and the first and last in time."""
+    ends = [f(F.struct(F.col(c).alias("_by"), "id", "x", "y", "s", "e")) for c in ("x", "y", "s", "e") for f in (F.min, F.max)]
+    named = [m.alias(f"_m{i}") for i, m in enumerate(ends)]
+    pick = F.array(*[F.struct(*[F.col(f"_m{i}")[c].alias(c) for c in ("id", "x", "y", "s", "e")]) for i in range(len(ends))])
+    return core.groupBy("unit").agg(*named).select("unit", F.explode(F.array_distinct(pick)).alias("m")).select("unit", "m.*")
+
+
+def _bridges(pairs: DataFrame, unit_component: DataFrame, members: DataFrame, eps_m: float, eps_s: float) -> DataFrame:
+    """(src, dst): components of which two of these members are neighbours, over the pairs of units not yet in one component.
+
+    One row per pair of components at most leaves a task; the partial aggregate absorbs the point tests.
+    """
+    left = unit_component.select(F.col("unit").alias("u"), F.col("component").alias("_cu"))
+    right = unit_component.select(F.col("unit").alias("v"), F.col("component").alias("_cv"))
+    apart = dealt(pairs.join(left, "u").join(right, "v").where("_cu <> _cv"), "u", "v")
+    return (
+        apart.alias("m")
+        .join(members.alias("p"), F.col("m.u") == F.col("p.unit"))
+        .join(members.alias("q"), F.col("m.v") == F.col("q.unit"))
+        .where(_close("p", "q", eps_m, eps_s))
+        .select(F.col("m._cu").alias("src"), F.col("m._cv").alias("dst"))
+        .distinct()
+    )
+
+
 def dbscan(points: DataFrame, eps_m: float, eps_hours: float, min_points: int) -> DataFrame:
     """(id, label) of the clustered points; the label is the smallest core id of the cluster.
 
@@ -101,7 +127,7 @@ def dbscan(points: DataFrame, eps_m: float, eps_hours: float, min_points: int) -
         "unit", (F.col("n") + F.coalesce("_near", F.lit(0))).alias("certain")
     )
     open_units = counted.where(F.col("certain") < min_points)  # such a unit has fewer than min_points members
-    maybe = both.where("NOT sure").select("u", "v")
+    maybe = dealt(both.where("NOT sure").select("u", "v"), "u", "v")
     thin = placed.join(open_units, "unit")
     tests = (
         thin.alias("p").join(maybe.alias("m"), F.col("p.unit") == F.col("m.u"))
@@ -127,24 +153,16 @@ def dbscan(points: DataFrame, eps_m: float, eps_hours: float, min_points: int) -
     )
     sure_edges = linked.where("sure").select(F.col("u").alias("src"), F.col("v").alias("dst"))
     first = connected_components(ids, sure_edges)
-    left = first.select(F.col("id").alias("u"), F.col("component").alias("_cu"))
-    right = first.select(F.col("id").alias("v"), F.col("component").alias("_cv"))
-    apart = linked.where("NOT sure").join(left, "u").join(right, "v").where("_cu <> _cv").select("u", "v", "_cu", "_cv")
-    # One row per pair of units at most leaves this join; the partial aggregate absorbs the point tests.
-    bridges = (
-        apart.alias("m")
-        .join(core.alias("p"), F.col("m.u") == F.col("p.unit"))
-        .join(core.alias("q"), F.col("m.v") == F.col("q.unit"))
-        .where(_close("p", "q", eps_m, eps_s))
-        .select(F.col("m._cu").alias("src"), F.col("m._cv").alias("dst"))
-        .distinct()
-    )
-    bridges = materialize(bridges, "cluster-bridges")
+    undecided = linked.where("NOT sure").select("u", "v")
     unit_component = first.withColumnRenamed("id", "unit")
-    if not bridges.isEmpty():
-        second = connected_components(first.select(F.col("component").alias("id")).distinct(), bridges)
-        renamed = second.select(F.col("id").alias("component"), F.col("component").alias("_final"))
-        unit_component = unit_component.join(renamed, "component").select("unit", F.col("_final").alias("component"))
+    # The outermost members of two units link most units that touch; all members are tested only where units stay apart.
+    for members in (outermost(core), core):
+        bridges = materialize(_bridges(undecided, unit_component, members, eps_m, eps_s), "cluster-bridges")
+        if not bridges.isEmpty():
+            second = connected_components(unit_component.select(F.col("component").alias("id")).distinct(), bridges)
+            renamed = second.select(F.col("id").alias("component"), F.col("component").alias("_final"))
+            joined = unit_component.join(renamed, "component").select("unit", F.col("_final").alias("component"))
+            unit_component = materialize(joined, "cluster-components")
     unit_label = unit_component.join(nodes.select(F.col("id").alias("unit"), "_first"), "unit")
     component_label = unit_label.groupBy("component").agg(F.min("_first").alias("label"))
     unit_label = materialize(unit_component.join(component_label, "component").select("unit", "label"), "cluster-labels")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from assetpulse.functions import geometry as geo
 from assetpulse.operators import cluster, components, gis, placement, proximity, risk
+from assetpulse.session import dealt
 
 R = 6371008.8
 
@@ -478,6 +479,19 @@ def test_matching_forms_few_pairs(spark):
     assert sum(formed) < whole.count() / 2
 
 
+def test_dense_units_are_linked_by_their_outermost_members(spark):
+    rng = random.Random(7)
+    blob = lambda x0, n: [(x0 + rng.random() * 60, rng.random() * 60) for _ in range(n)]
+    places = blob(0, 120) + blob(75, 120) + blob(400, 60)
+    pts = [(i, x, y, 0.0, 0.0) for i, (x, y) in enumerate(places)]
+    df = spark.createDataFrame(pts, "id bigint, x double, y double, s double, e double")
+    placed = cluster.place_in_units(df, 100.0, 3600.0)
+    assert max(r["count"] for r in cluster.outermost(placed).groupBy("unit").count().collect()) <= 8
+    assert dealt(spark.createDataFrame([("a", "b")], "u string, v string"), "u", "v").rdd.getNumPartitions() > 1
+    labels = {r.id: r.label for r in cluster.dbscan(df, 100.0, 1.0, 3).collect()}
+    assert labels == {i: 0 if i < 240 else 240 for i in range(300)}
+
+
 def test_chains_are_walked_without_a_task_call_per_chain(spark):
     at = lambda *xs: [(float(x), 0.0) for x in xs]
     rows = [
