@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assetpulse.functions import geometry as geo
-from assetpulse.operators import cluster, components, gis, placement, proximity, risk
+from assetpulse.operators import cluster, components, gis, placement, proximity, risk, tiles
 from assetpulse.session import dealt
 
 R = 6371008.8
@@ -537,3 +537,10 @@ def test_zonal_heights_take_equal_pixels_and_equal_rings_once(spark):
     got = {r.polygon_id: tuple(r)[1:] for r in zonal.zonal_heights(polygons, df, projects, 10.0, 200.0).collect()}
     one = ("new", 400, 3.5, 4.0, 4.0, "ok")
     assert got == {1: one, 2: one, 3: (None, 0, None, None, None, "no_coverage")}
+
+
+def test_distances_to_shapes_from_one_point_use_all_cores(spark):
+    one = spark.createDataFrame([(f"A{i}", [(i * 0.001, 0.0)]) for i in range(9)], "asset_id string, coords array<struct<lon:double,lat:double>>").coalesce(1)
+    df = proximity.from_point(one, 0.0, 0.0)
+    assert df.rdd.getNumPartitions() > 1
+    assert df.orderBy("distance").first().asset_id == "A0"
