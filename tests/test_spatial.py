@@ -539,6 +539,29 @@ def test_zonal_heights_take_equal_pixels_and_equal_rings_once(spark):
     assert got == {1: one, 2: one, 3: (None, 0, None, None, None, "no_coverage")}
 
 
+def test_nearest_shape_takes_areas_first_and_the_smallest_id_at_zero(spark):
+    rng = random.Random(5)
+    shapes = []
+    for k in range(300):
+        x, y, a = -100.0 + rng.random() * 0.01, 37.75 + rng.random() * 0.01, 0.0005 + rng.random() * 0.002
+        ring = [(x, y), (x + a, y), (x + a, y + a), (x, y)]
+        shapes.append((f"T{k:03d}", [ring, ring[:3], ring[:1]][k % 3]))
+    far = [("Z1", [(179.9, 10.0), (-179.9, 10.0), (-179.9, 10.1), (179.9, 10.0)])]
+    places = [(i, -100.002 + rng.random() * 0.014, 37.748 + rng.random() * 0.014) for i in range(80)]
+    places += [(80 + i, *shapes[3 * i + 2][1][0]) for i in range(20)] + [(100, -179.95, 10.01), (101, 180.0, 10.0), (102, -99.5, 37.7)]
+    t = spark.createDataFrame(shapes + far, "target_id string, coords array<struct<lon:double,lat:double>>")
+    p = spark.createDataFrame(places, "point_id bigint, plon double, plat double")
+    at = tiles.first_touching(p.select("plon", "plat").distinct(), proximity.stored_shapes(t)).count()
+    d = geo.shape_distance(F.col("plon"), F.col("plat"), F.col("coords"))
+    want = p.crossJoin(t).withColumn("d", d).groupBy("point_id").agg(F.min(F.struct("d", "target_id")).alias("b")).select("point_id", "b.*")
+    want = {r.point_id: r for r in want.collect()}
+    assert at == sum(r.d == 0 for r in want.values()) > 20
+    got = {r.point_id: r for r in proximity.nearest_join(p, t, 50.0).collect()}
+    assert {k: r.target_id for k, r in got.items()} == {k: r.target_id for k, r in want.items()}
+    assert all(abs(got[k].distance - want[k].d) < 1e-6 for k in want if want[k].d < 50_000)
+    assert tiles.first_touching(p.select("plon", "plat"), t.where("size(coords) = 1")) is None
+
+
 def test_distances_to_shapes_from_one_point_use_all_cores(spark):
     one = spark.createDataFrame([(f"A{i}", [(i * 0.001, 0.0)]) for i in range(9)], "asset_id string, coords array<struct<lon:double,lat:double>>").coalesce(1)
     df = proximity.from_point(one, 0.0, 0.0)
