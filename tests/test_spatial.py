@@ -567,3 +567,11 @@ def test_distances_to_shapes_from_one_point_use_all_cores(spark):
     df = proximity.from_point(one, 0.0, 0.0)
     assert df.rdd.getNumPartitions() > 1
     assert df.orderBy("distance").first().asset_id == "A0"
+
+
+def test_points_near_lines_reach_the_radius_of_the_local_plane_without_a_distinct(spark):
+    lines = spark.createDataFrame([("L", [(0.0, 0.0), (0.001, 0.0), (0.001, 0.001)])], "line_id string, coords array<struct<lon:double,lat:double>>")
+    points = spark.createDataFrame([("P", 0.0009, 0.0001), ("Q", 0.0, 30.1 / 110540.0), ("R", 0.0, 29.99 / 110540.0)], "point_id string, lon double, lat double")
+    near = proximity.points_near_lines(points, lines, 30.0)
+    assert sorted((r.point_id, round(r.distance, 2)) for r in near.collect()) == [("P", 11.05), ("R", 29.99)]
+    assert near._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [line_id") == 1  # the pairs alone
