@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.components import connected_components
-from ..session import forget, materialize, stored
+from ..session import forget, materialize, merged, stored
 from .common import row_hashes, small_batches, unused
 
 BLOCKS = 8
@@ -187,21 +187,21 @@ def centres(fps: DataFrame, bits: int) -> DataFrame:
     else:
         raise ValueError("links are defined for one or two bits")
     least = named.groupBy("pair", "centre").agg(F.min("fp").alias("dst"), F.max("fp").alias("top")).where("dst < top").drop("top")
-    return named.join(least, ["pair", "centre"]).select("fp", "dst", "pair", "centre")
+    return merged(named).join(least, ["pair", "centre"]).select("fp", "dst", "pair", "centre")
 
 
 def close_pairs(fps: DataFrame, bits: int, crowd: int) -> tuple[DataFrame, DataFrame]:
     """(src, dst) pairs of distinct fingerprints within ``bits`` bits of cells up to ``crowd``, and (fp) those in larger cells."""
     placed = cells(fps, bits)
     sized = placed.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(placed.join(sized, ["grid", "cell"]), "simhash-cells")  # fingerprints that are alone in a cell are gone
+    shared = materialize(merged(placed).join(sized, ["grid", "cell"]), "simhash-cells")  # fingerprints that are alone in a cell are gone
     small = shared.where(F.col("n") <= crowd)
     a, b = small.alias("a"), small.alias("b")
     near = (
         (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp"))
         & (manhattan(F.col("a.embedding"), F.col("b.embedding")) <= bits) & (hamming(F.col("a.fp"), F.col("b.fp")) <= bits)
     )
-    pairs = a.join(b, near).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
+    pairs = merged(a).join(b, near).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
     return pairs, shared.where(F.col("n") > crowd).select("fp").distinct()
 
 

@@ -75,6 +75,28 @@ def test_links_connect_what_is_close(spark, near_values, bits, crowd):
         assert len(edges) < len(pairs)
 
 
+def first_plans(monkeypatch):
+    """The plans, before any size is measured, of the tables that simhash stores from here on."""
+    plans = []
+
+    def kept(store):
+        return lambda df, *args: (plans.append(df._jdf.queryExecution().executedPlan().toString()), store(df, *args))[1]
+
+    for name in ("materialize", "stored"):
+        monkeypatch.setattr(simhash, name, kept(getattr(simhash, name)))
+    return plans
+
+
+def test_exploded_cells_are_not_broadcast_by_a_guess(spark, near_values, monkeypatch):
+    """Spark takes 28 cells of a fingerprint for one row; a join on them must not collect them in the driver."""
+    fps = materialize(spark.createDataFrame([(simhash.signed(v),) for v in near_values], "fp bigint"), "test-fps")
+    plans = first_plans(monkeypatch)
+    pairs, crowded = simhash.close_pairs(fps, 2, 4)
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (pairs, simhash.centres(crowded, 2))]
+    assert sum("Join" in p for p in plans) == 3
+    assert not [p for p in plans if "BroadcastExchange" in p]
+
+
 def test_manhattan_of_segment_counts_bounds_distance(spark):
     rng = random.Random(5)
     rows = [(simhash.signed(rng.getrandbits(64)), simhash.signed(rng.getrandbits(64))) for _ in range(200)] + [(-1, 0), (0, 0)]
