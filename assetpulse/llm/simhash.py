@@ -244,7 +244,7 @@ def rare_buckets(sets: DataFrame, similarity: float) -> DataFrame:
     reach = int(np.ceil(-np.log(similarity) / step))
     each = sets.select("node", "size", F.explode("hashes").alias("hash"))
     held = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    known = each.join(held, "hash").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "hash"))).alias("known"))  # bounded by one text
+    known = merged(each).join(held, "hash").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "hash"))).alias("known"))  # bounded by one text
     own = F.floor(F.log("size") / step).cast("int")
     classes = known.select("node", "size", "known", own.alias("own"), F.explode(F.sequence(own - reach, own + reach)).alias("other"))
     needed = F.ceil(similarity / (1 + similarity) * (F.col("size") + F.ceil(F.exp(F.col("other") * step) - 1e-6)) - 1e-6)
@@ -254,7 +254,7 @@ def rare_buckets(sets: DataFrame, similarity: float) -> DataFrame:
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     rows = met.select(F.lit(-4).alias("sample"), F.xxhash64(F.col("k.hash"), pair).alias("key"), "node", side.alias("side"))
     sides = rows.groupBy("sample", "key").agg(F.count("*").alias("n"), F.min("side").alias("one"), F.max("side").alias("other"))
-    return rows.join(sides.where("n > 1 AND (other = 0 OR one < other)").select("sample", "key"), ["sample", "key"])
+    return merged(rows).join(sides.where("n > 1 AND (other = 0 OR one < other)").select("sample", "key"), ["sample", "key"])
 
 
 def classes_of(edges: DataFrame) -> DataFrame:
@@ -370,7 +370,7 @@ def keep_one(
     close = close_buckets(first.select("fp").distinct(), bits, crowd)
     buckets = buckets.union(first.where(~wordless).join(close, "fp").select("sample", "key", "node"))
     shared = buckets.groupBy("sample", "key").agg(F.count("*").alias("n")).where("n > 1").select("sample", "key")
-    buckets = materialize(buckets.join(shared, ["sample", "key"]), "simhash-buckets")
+    buckets = materialize(merged(buckets).join(shared, ["sample", "key"]), "simhash-buckets")
     wanted = first.join(buckets.select("node").distinct(), "node").select("node", F.col("row.a").alias("a"), F.col("row.b").alias("b"))
     texts = marked.select(F.col(key[0]).alias("a"), F.col(key[1]).alias("b"), F.col(text_col).alias("text")).join(wanted, ["a", "b"])
     sets = texts.select("node", shingle_set(F.col("text"), shingle).alias("hashes")).select("node", F.size("hashes").alias("size"), "hashes")

@@ -97,6 +97,27 @@ def test_exploded_cells_are_not_broadcast_by_a_guess(spark, near_values, monkeyp
     assert not [p for p in plans if "BroadcastExchange" in p]
 
 
+def test_exploded_samples_and_hashes_are_not_broadcast_by_a_guess(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [words(rng, "en", 40) for _ in range(20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts + texts[:5])]
+    plans = first_plans(monkeypatch)
+    simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    exploded = [p for p in plans if "Generate explode" in p or "Generate posexplode" in p]
+    assert len(exploded) >= 3
+    for plan in exploded:
+        lines = plan.splitlines()
+        for i, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                at = line.index("BroadcastExchange")
+                below = []
+                for x in lines[i + 1 :]:  # what stands deeper in the tree
+                    if len(x) - len(x.lstrip(" :+-")) <= at:
+                        break
+                    below.append(x)
+                assert not [x for x in below if "Generate" in x], plan
+
+
 def test_manhattan_of_segment_counts_bounds_distance(spark):
     rng = random.Random(5)
     rows = [(simhash.signed(rng.getrandbits(64)), simhash.signed(rng.getrandbits(64))) for _ in range(200)] + [(-1, 0), (0, 0)]
