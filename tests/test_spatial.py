@@ -461,6 +461,48 @@ def test_pairs_near_places_are_not_shuffled(spark):
     assert "CoGroup" in plan and "Exchange" not in plan[: plan.index("CoGroup")]
 
 
+def test_matching_of_a_chain_takes_few_rounds(spark, monkeypatch):
+    """Each pair of the chain waits for the one before; rounds of grouped minima take the start, one task the rest."""
+    stored, store = [], gis.materialize
+    monkeypatch.setattr(gis, "materialize", lambda *args: (stored.append(args[1]), store(*args))[1])
+    pairs = [(f"l{i:03}", f"r{i:03}", float(2 * i)) for i in range(60)] + [(f"l{i + 1:03}", f"r{i:03}", float(2 * i + 1)) for i in range(59)]
+    df = spark.createDataFrame(pairs, "l string, r string, distance double")
+    want = {(f"l{i:03}", f"r{i:03}") for i in range(60)}
+    assert {(r.l, r.r) for r in gis.one_to_one(df, "l", "r").collect()} == want
+    assert len(stored) <= 2
+    monkeypatch.setattr(gis, "FEW_PAIRS", 115)
+    assert {(r.l, r.r) for r in gis.one_to_one(df, "l", "r").collect()} == want
+    assert gis.one_to_one(df.where("false"), "l", "r").count() == 0
+
+
+def test_buckets_of_lines_are_not_broadcast_by_a_guess(spark, monkeypatch):
+    """A line of a kilometre has thousands of buckets, and Spark takes them for one row."""
+    rng = random.Random(2)
+    lines = [(i, [(-100.0 + rng.random() * 0.01, 37.7 + rng.random() * 0.01) for _ in range(3)]) for i in range(6)]
+    lines = spark.createDataFrame(lines, "line_id int, coords array<struct<lon:double,lat:double>>")
+    points = spark.createDataFrame([(i, -100.0 + rng.random() * 0.01, 37.7 + rng.random() * 0.01) for i in range(400)], "point_id int, lon double, lat double")
+    few = {(r.line_id, r.point_id): r.distance for r in proximity.points_near_lines(points, lines, 20.0).collect()}
+    monkeypatch.setattr(proximity, "SALT_ROWS", 100)
+    near = proximity.points_near_lines(points, lines, 20.0)
+    assert {(r.line_id, r.point_id): r.distance for r in near.collect()} == few and few
+    assert "ShuffledHashJoin" in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_inventory_is_decoded_once(spark, monkeypatch):
+    """Every radius reads the decoded records; a plan that decodes them in its filters has megabytes."""
+    plans, store = {}, gis.materialize
+    def kept(df, label, *args):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, label, *args)
+    monkeypatch.setattr(gis, "materialize", kept)
+    entries = {"STRUCTURE_NUMBER_008": "B1", "LAT_016": "37450600", "LONG_017": "100005400", "FACILITY_CARRIED_007": "MAIN ST"}
+    features = spark.createDataFrame([(entries, -100.015, 37.7518)], "attributes map<string,string>, lon double, lat double")
+    chains = spark.createDataFrame([(7, "highway:primary", [(-100.016, 37.7518), (-100.014, 37.7518)])], "chain_id bigint, bridge_class string, coords array<struct<lon:double,lat:double>>")
+    found = gis.attach_inventory(gis.decode_inventory(features, 2024), chains, (-100.1, 37.7, -100.0, 37.8))
+    assert [(r.outcome, r.chain_id) for r in found.collect()] == [("matched", 7)]
+    assert max(len(p) for p in plans["match-pairs"]) < 50_000
+
+
 def test_matching_forms_few_pairs(spark):
     """Matching in growing radii is the matching of all pairs, and dense sides meet only as far as they must."""
     rng = random.Random(8)
