@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.timeaxis import TimeAxis
 from ..operators import ingest
+from ..params import GRID_TOLERANCE
 
 
 def ingest_stream(raw: DataFrame, sensors: DataFrame, out: str, rejects: str, checkpoint: str, source: str) -> StreamingQuery:
@@ -45,11 +46,14 @@ def ingest_stream(raw: DataFrame, sensors: DataFrame, out: str, rejects: str, ch
 def cell_windows(readings: DataFrame, axis: TimeAxis, lateness: str | None = None) -> DataFrame:
     """Last value per sensor and grid cell of the axis, as an event-time window over ``(t - step, t]``.
 
-    Shifting the time by one microsecond turns the half-open window of the engine into the cell rule. On a stream,
-    ``lateness`` closes windows (and drops what comes later); without it nothing is dropped.
+    Shifting the time by one microsecond and by the tolerance of the axis, and holding it inside its cell, turns the half-open
+    window of the engine into the cell rule. On a stream, ``lateness`` closes windows (and drops what comes later); without it
+    nothing is dropped.
     """
     offset = axis.start_us % axis.step_us
-    moved = readings.withColumn("at", F.timestamp_micros(F.unix_micros("ts") - 1))
+    end = F.unix_micros(axis.at(axis.cell(F.col("ts"))))
+    time = F.unix_micros("ts") - round(GRID_TOLERANCE * axis.step_us) - 1
+    moved = readings.withColumn("at", F.timestamp_micros(F.greatest(F.least(time, end - 1), end - axis.step_us)))
     moved = moved.withWatermark("at", lateness) if lateness else moved
     w = F.window("at", f"{axis.step_s} seconds", f"{axis.step_s} seconds", f"{offset} microseconds")
     return moved.groupBy("sensor_id", w.alias("w")).agg(F.max(F.struct("ts", "value")).alias("r")).select(

@@ -220,3 +220,24 @@ def test_readings_of_equal_time_give_one_answer_in_any_order(spark, values):
     assert asof.latest_per_sensor(readings).first()["value"] == 9.0
     for cells in (grid.to_cells(readings, axis), cell_windows(readings, axis)):
         assert [r["value"] for r in cells.orderBy("cell").collect()][-1] == 9.0
+
+
+#: microseconds behind a grid point: an hour's cell takes in readings up to 3,600 behind it
+BEHIND = (-1, 0, 1, 3_599, 3_600, 3_601, 40_000)
+
+
+def late_readings(spark):
+    rows = [("S", at(0), 1.0), ("S", at(6 * 3600), 2.0)]
+    rows += [(f"S{i}", at(2 * 3600) + timedelta(microseconds=us), 10.0 + i) for i, us in enumerate(BEHIND)]
+    rows += [(f"S{i}", at(3 * 3600) + timedelta(microseconds=us), 30.0 + i) for i, us in enumerate(BEHIND)]
+    return spark.createDataFrame(rows, "sensor_id string, ts timestamp, value double")
+
+
+def test_stream_windows_take_in_what_the_cells_do(spark):
+    from assetpulse.streaming.jobs import cell_windows
+
+    readings = late_readings(spark)
+    axis = TimeAxis.of(readings, 3600)
+    want = sorted(map(tuple, grid.to_cells(readings, axis).collect()))
+    assert {r[1] for r in want if r[0] == "S4"} == {2, 3} and {r[1] for r in want if r[0] == "S5"} == {3, 4}
+    assert sorted(map(tuple, cell_windows(readings, axis).select("sensor_id", "cell", "ts", "value").collect())) == want
