@@ -241,3 +241,18 @@ def test_stream_windows_take_in_what_the_cells_do(spark):
     want = sorted(map(tuple, grid.to_cells(readings, axis).collect()))
     assert {r[1] for r in want if r[0] == "S4"} == {2, 3} and {r[1] for r in want if r[0] == "S5"} == {3, 4}
     assert sorted(map(tuple, cell_windows(readings, axis).select("sensor_id", "cell", "ts", "value").collect())) == want
+
+
+def test_status_at_one_time_of_gridded_readings_equals_the_series(spark, monkeypatch, tmp_path):
+    """The parity query on readings just behind the as-of step and the step before it."""
+    from assetpulse.plans import list_queries
+    from assetpulse.plans.tables import Plant, STEP_S
+
+    step = datetime(2024, 1, 20)
+    rows = [(0, step - timedelta(days=5), 7, 20.0), (1, step + timedelta(days=5), 7, 20.0)]
+    for i, us in enumerate((-1, 0, 1, 43_199, 43_201, 90_000)):
+        for k in (0, 1):
+            rows.append((2 + 2 * i + k, step - timedelta(seconds=k * STEP_S) + timedelta(microseconds=us), 10 + i, 120.0 - 100 * k))
+    events = [(e, t.replace(tzinfo=timezone.utc), u, "view", v, "") for e, t, u, v in rows]
+    spark.createDataFrame(events, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert tuple(list_queries.status_parity(Plant(spark, str(tmp_path))).first()) == (7, 0, 0)
