@@ -503,6 +503,29 @@ def test_inventory_is_decoded_once(spark, monkeypatch):
     assert max(len(p) for p in plans["match-pairs"]) < 50_000
 
 
+def test_sensors_in_areas_are_the_same_in_parts_and_pairs_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(12)
+    spot = lambda: (-100.0 + rng.random() * 0.004, 37.7 + rng.random() * 0.003)
+    areas = []
+    for i in range(30):
+        line = [spot() for _ in range(3)]
+        areas.append((f"A{i:02}", line + line[:1] if i % 3 == 0 else line))
+    areas = spark.createDataFrame(areas, "asset_id string, coords array<struct<lon:double,lat:double>>")
+    sensors = spark.createDataFrame([(f"S{i:03}", f"A{i % 30:02}", "t", "p", *spot()) for i in range(300)], "sensor_id string, asset_id string, sensor_type string, placement string, lon double, lat double")
+    shapes, points = areas.withColumnRenamed("asset_id", "line_id"), sensors.withColumnRenamed("sensor_id", "point_id")
+    want = {(r.line_id, r.point_id): r.distance for r in proximity.points_near_lines(points, shapes, 25.0).collect()}
+    want |= {(r.line_id, r.point_id): 0.0 for r in proximity.points_in_rings(points, shapes).collect()}
+    for rows in (100_000, 100, 10):  # at once, in four parts, by buckets
+        monkeypatch.setattr(proximity, "SALT_ROWS", rows)
+        found = proximity.sensors_in_asset_areas(sensors, areas).collect()
+        assert {(r.asset_id, r.sensor_id) for r in found} == set(want) and len(found) == len(want) > 300
+        assert all(abs(r.distance_m - want[(r.asset_id, r.sensor_id)]) <= 0.0501 and r.mounted_on_this_asset == (r.host_asset_id == r.asset_id) for r in found)
+    monkeypatch.setattr(proximity, "SALT_ROWS", 100_000)
+    plan = proximity.points_near_lines(points, shapes, 25.0)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "hashpartitioning(line_id" in plan
+    assert not [x for x in plan.splitlines() if "hashpartitioning(line_id" in x and "point_id" in x]
+
+
 def test_matching_forms_few_pairs(spark):
     """Matching in growing radii is the matching of all pairs, and dense sides meet only as far as they must."""
     rng = random.Random(8)
