@@ -526,6 +526,16 @@ def test_sensors_in_areas_are_the_same_in_parts_and_pairs_are_not_shuffled(spark
     assert not [x for x in plan.splitlines() if "hashpartitioning(line_id" in x and "point_id" in x]
 
 
+def test_crowds_of_pairs_are_spread(spark):
+    """A few kilobytes of places bring many pairs: they are not gathered in one task for their size."""
+    rng = random.Random(3)
+    assets = spark.createDataFrame([(f"A{i:03}", "road", "n", -100.0 + rng.random() * 0.002, 37.7) for i in range(200)], "asset_id string, asset_type string, name string, lon double, lat double")
+    anomalies = spark.createDataFrame([(f"N{i:03}", "A000", -100.0 + rng.random() * 0.002, 37.7) for i in range(200)], "anomaly_id string, asset_id string, lon double, lat double")
+    near = proximity.assets_near_anomalies(anomalies, assets, 500.0)
+    assert near.count() == 200 * 199
+    assert "REPARTITION_BY_NUM" in near._jdf.queryExecution().executedPlan().toString()
+
+
 def test_matching_forms_few_pairs(spark):
     """Matching in growing radii is the matching of all pairs, and dense sides meet only as far as they must."""
     rng = random.Random(8)
